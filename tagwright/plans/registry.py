@@ -34,8 +34,9 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(c):
-    return F.round(c.cast("double") if not isinstance(c, str) else F.col(c).cast("double"), DIGITS)
+    """Round to 6 places; ``+ 0.0`` turns a rounded ``-0.0`` into ``0.0``."""
+    return F.round(c.cast("double") if not isinstance(c, str) else F.col(c).cast("double"), DIGITS) + F.lit(0.0)
 
 
 def s6(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {DIGITS})"
+    return f"(round(CAST({expr} AS DOUBLE), {DIGITS}) + 0.0)"
