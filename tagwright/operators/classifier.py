@@ -229,30 +229,41 @@ def train_tagger(
     )
 
 
-def fit_hinge_ml(train: DataFrame, n_tags: int, cw: np.ndarray, d: int, n: int, tol: float = 1e-6):
+def fit_hinge_ml(train: DataFrame, n_tags: int, cw: np.ndarray, d: int, n: int, tol: float = 1e-6, max_iter: int = 100):
     """C4: plain hinge per tag with Spark ML ``LinearSVC`` (regParam = 1/n
     because the balanced weights sum to n; intercept not regularised).  The
-    support vectors are the rows with ``y * f <= 1 + 1e-6``."""
+    tags are fitted from concurrent driver threads (each fit is its own
+    distributed job), and the support vectors - rows with ``y * f <= 1 +
+    1e-6`` - of all tags are counted in one aggregation."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.functions import array_to_vector
 
-    vec = train.select(array_to_vector(F.array(*[F.col(f"z{j}") for j in range(d)])).alias("features"), "*")
-    w = np.zeros((n_tags, d + 1))
-    counts = []
-    for k in range(n_tags):
+    vec = train.select(array_to_vector(F.array(*[F.col(f"z{j}") for j in range(d)])).alias("features"), "*").cache()
+
+    def fit(k: int):
         data = vec.select(
             "features",
             F.col(f"y{k}").cast("double").alias("label"),
             F.when(F.col(f"y{k}") == 1, F.lit(float(cw[k, 0]))).otherwise(F.lit(float(cw[k, 1]))).alias("weight"),
         )
         m = LinearSVC(
-            regParam=1.0 / n, standardization=False, weightCol="weight", maxIter=200, tol=tol, fitIntercept=True
+            regParam=1.0 / n, standardization=False, weightCol="weight", maxIter=max_iter, tol=tol, fitIntercept=True
         ).fit(data)
-        w[k, :d] = m.coefficients.toArray()
-        w[k, d] = m.intercept
-        margin = F.lit(float(m.intercept))
+        return np.append(m.coefficients.toArray(), m.intercept)
+
+    with ThreadPoolExecutor(max_workers=min(8, max(1, n_tags))) as pool:
+        w = np.vstack(list(pool.map(fit, range(n_tags))))
+    counts = []
+    aggs = []
+    for k in range(n_tags):
+        margin = F.lit(float(w[k, d]))
         for j in range(d):
             margin = margin + F.lit(float(w[k, j])) * F.col(f"z{j}")
         y = F.col(f"y{k}") * 2 - 1
-        counts.append(int(train.where(y * margin <= 1 + 1e-6).count()))
+        aggs.append(F.sum((y * margin <= 1 + 1e-6).cast("long")).alias(f"sv{k}"))
+    row = train.agg(*aggs).first()
+    counts = [int(row[f"sv{k}"] or 0) for k in range(n_tags)]
+    vec.unpersist()
     return w, counts
