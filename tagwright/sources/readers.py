@@ -295,7 +295,7 @@ def read_label_entries(spark: SparkSession, path: str) -> DataFrame:
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(v)
     arr = F.when(kind.startswith("ARRAY"), F.to_json(v)).when(
-        F.schema_of_variant(F.variant_get(v, "$.entries")).startswith("ARRAY"), F.to_json(F.variant_get(v, "$.entries"))
+        F.schema_of_variant(F.variant_get(v, "$.entries", "variant")).startswith("ARRAY"), F.to_json(F.variant_get(v, "$.entries", "variant"))
     )
     if whole.where(arr.isNull()).limit(1).count():
         raise InputError("labels JSON must be a list or an object with an entries list")
