@@ -471,3 +471,41 @@ def q_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["Window", "prepare_training"]
+
+
+# ----------------------------------------------------------------------------
+# M4 / M7 - neighbour graph and density clustering
+# ----------------------------------------------------------------------------
+KNN_K = 15
+
+
+@register(
+    "m4_knn_graph",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 12), nbr) AS rank FROM d)
+    SELECT id, CAST(rank AS INTEGER) AS rank, nbr, {s6('dist')} AS dist FROM r WHERE rank <= {KNN_K}""",
+)
+def q_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.density import knn_graph
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    g = knn_graph(emb, "vec_id", "embedding", k=KNN_K, metric="euclidean")
+    return g.select("id", F.col("rank").cast("int"), "nbr", r6("dist").alias("dist"))
+
+
+@register("m7_density_clusters")
+def q_m7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INV + brute force (tests): HDBSCAN*-style clustering of the embeddings
+    with min_cluster_size 50 (the reference default)."""
+    from ..operators.density import hdbscan
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    labels, _ = hdbscan(emb, "vec_id", "embedding", min_cluster_size=50)
+    return labels
+
+
+@register("m7_m8_density_run_facts")
+def q_m7_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 for M7: cluster count (noise excluded), noise count and fraction."""
+    return cl.run_facts(q_m7(spark, sf_dir))

@@ -7,7 +7,9 @@ for tests and benchmarks and resolves the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,13 +63,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back.
 
     Used by iterative operators so that a lost executor only recomputes from
-    the last written round, never from the start of the lineage.
+    the last written round, never from the start of the lineage.  A written
+    table (rather than ``Dataset.checkpoint``) also gives the re-read plan
+    fresh attributes, so the next round can join it with itself safely.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = posixpath.join(base, "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
