@@ -340,7 +340,7 @@ def read_subcluster_sizes(spark: SparkSession, root: str) -> DataFrame:
     id comes from the folder name (other folders are skipped), label
     ``"N.M"``, a missing fraction becomes 0.0."""
     df = spark.read.json(f"{root.rstrip('/')}/cluster_*/cluster_summary*")
-    top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/cluster_summary[^/]*$", 1)
+    top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/cluster_summary[^/]*(/[^/]+)?$", 1)
     frac = F.col("fraction").cast("double") if "fraction" in df.columns else F.lit(None).cast("double")
     out = df.select(
         F.when(top != "", top.cast("int")).alias("top_cluster"),
