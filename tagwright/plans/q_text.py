@@ -239,3 +239,21 @@ def q_x9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select("item_id", tx.slugify("text").alias("slug"))
 
 
+
+
+S2_CAP = 40
+
+
+@register(
+    "s2_capped_train_responses",
+    f"WITH {RAW_RESPONSES}, capped AS (SELECT conv_id FROM split WHERE source_split = 'train' "
+    f"ORDER BY conv_id LIMIT {S2_CAP}) SELECT r.* FROM responses r JOIN capped c ON r.source_row = c.conv_id",
+)
+def q_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split's first 40 conversations (by id), then flattened."""
+    from ..sources.readers import cap_flat_conversations
+
+    conv = read_table(spark, sf_dir, "conversations")
+    split, _ = split_assignment(conv, "conv_id", seed=SEED)
+    train = conv.where(split == "train")
+    return responses_from_flat(cap_flat_conversations(train, "conv_id", S2_CAP), "train")

@@ -41,6 +41,15 @@ def cap_conversations(df: DataFrame, order_cols: Sequence[str], max_rows: int |
     return df if max_rows is None else df.orderBy(*order_cols).limit(max_rows)
 
 
+def cap_flat_conversations(conv: DataFrame, id_col: str, max_rows: int | None) -> DataFrame:
+    """S2 for flat message rows: keep the messages of the first ``max_rows``
+    conversation ids (a top-k over distinct ids, then a semi join)."""
+    if max_rows is None:
+        return conv
+    ids = conv.select(id_col).distinct().orderBy(id_col).limit(max_rows)
+    return conv.join(ids, id_col, "left_semi")
+
+
 def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
     """Schema checks that fail before any job runs."""
     missing = sorted(set(columns) - set(df.columns))
