@@ -128,26 +128,36 @@ def core_distances(df: DataFrame, id_col: str, vec_col: str, min_samples: int, b
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, group_cols: list[str] | None = None, max_rounds: int = 200) -> DataFrame:
+def connected_components(
+    nodes: DataFrame, edges: DataFrame, group_cols: list[str] | None = None, max_rounds: int = 200
+) -> DataFrame:
     """Min-label propagation with pointer jumping: ``(group..., node, comp)``
     with ``comp`` = smallest node id of the component.  ``edges`` has
-    ``(group..., a, b)``; all groups (e.g. ladder levels) run together."""
+    ``(group..., a, b)``; all groups (e.g. ladder levels) run together.
+
+    Each round propagates labels across edges and then follows label
+    pointers twice; the round's labels are written under the shared
+    checkpoint folder (a short plan for the next round, and a lost executor
+    recomputes one round at most).
+    """
     g = list(group_cols or [])
     lab = nodes.select(*g, "node", F.col("node").alias("comp"))
     und = edges.select(*g, F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(*g, F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     und = cut_lineage(und)
-    for r in range(max_rounds):
+
+    def jump(df: DataFrame) -> DataFrame:
+        look = df.select(*g, F.col("node").alias("comp"), F.col("comp").alias("comp2"))
+        hop = df.join(look, [*g, "comp"], "left")
+        return hop.select(*g, "node", F.least("comp", F.coalesce("comp2", "comp")).alias("comp"))
+
+    for r in range(1, max_rounds + 1):
         prop = und.join(lab.withColumnRenamed("node", "src"), [*g, "src"]).select(*g, F.col("dst").alias("node"), "comp")
         new = lab.unionByName(prop).groupBy(*g, "node").agg(F.min("comp").alias("comp"))
-        # pointer jumping: follow the label's own label once
-        hop = new.alias("x").join(
-            new.select(*g, F.col("node").alias("comp"), F.col("comp").alias("comp2")), [*g, "comp"], "left"
-        )
-        new = hop.select(*g, "node", F.least("comp", F.coalesce("comp2", "comp")).alias("comp"))
+        new = jump(jump(new))
         new = cut_lineage(new)
-        changed = new.alias("n").join(lab.alias("o"), [*g, "node"]).where(F.col("n.comp") != F.col("o.comp")).limit(1).count()
+        changed = new.join(lab.withColumnRenamed("comp", "old"), [*g, "node"]).where(F.col("comp") != F.col("old")).limit(1).count()
         lab = new
         if not changed:
             break

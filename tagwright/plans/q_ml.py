@@ -509,3 +509,23 @@ def q_m7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_m7_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 for M7: cluster count (noise excluded), noise count and fraction."""
     return cl.run_facts(q_m7(spark, sf_dir))
+
+
+@register("m7_behavior_density_clusters")
+def q_m7_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 (behavior mode) + M7 on the marked responses: standardised
+    10-feature behaviour vectors, min_cluster_size 15, min_samples 5.  Output:
+    members and mean marker flags per found cluster."""
+    from ..operators.density import hdbscan
+
+    resp = marked_responses(spark, sf_dir)
+    feats = resp.select(*KEYS, *tx.cluster_feature_columns("assistant_output")).withColumn(
+        "rid", F.xxhash64(*KEYS)
+    )
+    vecs = feature_mode(feats, "behavior", [], tx.CLUSTER_FEATURES)
+    labels, _ = hdbscan(vecs, "rid", "features", min_cluster_size=15, min_samples=5)
+    j = feats.join(labels, "rid")
+    return j.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("members"),
+        *[F.round(F.avg(c), 3).alias(c) for c in ["list_format", "code_block", "refusal_marker", "politeness_marker"]],
+    )
