@@ -41,45 +41,55 @@ def _design(pdf: pd.DataFrame, d: int) -> np.ndarray:
     return x
 
 
+def _accumulate(pdf: pd.DataFrame, x: np.ndarray, w: np.ndarray, cw: np.ndarray, c: float, g, h, obj) -> None:
+    """Add one Arrow batch's loss, gradient and active-set Hessian."""
+    for k in range(w.shape[0]):
+        y = pdf[f"y{k}"].to_numpy(dtype=float) * 2 - 1
+        cost = np.where(y > 0, cw[k, 0], cw[k, 1]) * c
+        margin = x @ w[k]
+        viol = 1 - y * margin
+        act = viol > 0
+        if not act.any():
+            continue
+        xa, ca = x[act], cost[act]
+        obj[k] += float(np.sum(ca * viol[act] ** 2))
+        g[k] += 2 * ((ca * (margin[act] - y[act])) @ xa)
+        h[k] += 2 * (xa.T * ca) @ xa
+
+
+def _emit(g, h, obj, d: int) -> list[tuple[int, int, float]]:
+    rows = []
+    for k in range(g.shape[0]):
+        rows.append((k, -1, float(obj[k])))
+        rows += [(k, j, float(v)) for j, v in enumerate(g[k])]
+        rows += [(k, d + 1 + j, float(v)) for j, v in enumerate(h[k].ravel())]
+    return rows
+
+
 def _grad_hess_fn(w: np.ndarray, cw: np.ndarray, c: float, d: int):
-    """Partition function: partial gradient / Hessian of the loss part."""
+    """Partition function: partial loss, gradient and Hessian of all tags."""
     t = w.shape[0]
 
     def fn(batches):
-        g = np.zeros((t, d + 1))
-        h = np.zeros((t, d + 1, d + 1))
-        obj = np.zeros(t)
+        g, h, obj = np.zeros((t, d + 1)), np.zeros((t, d + 1, d + 1)), np.zeros(t)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = _design(pdf, d)
-            for k in range(t):
-                y = pdf[f"y{k}"].to_numpy(dtype=float) * 2 - 1
-                cost = np.where(y > 0, cw[k, 0], cw[k, 1]) * c
-                margin = x @ w[k]
-                viol = 1 - y * margin
-                act = viol > 0
-                if not act.any():
-                    continue
-                xa, ca = x[act], cost[act]
-                obj[k] += float(np.sum(ca * viol[act] ** 2))
-                g[k] += 2 * ((ca * (margin[act] - y[act])) @ xa)
-                h[k] += 2 * (xa.T * ca) @ xa
-        rows = []
-        for k in range(t):
-            rows.append((k, -1, float(obj[k])))
-            rows += [(k, j, float(v)) for j, v in enumerate(g[k])]
-            rows += [(k, d + 1 + j, float(v)) for j, v in enumerate(h[k].ravel())]
-        yield pd.DataFrame(rows, columns=["tag", "k", "v"])
+            if not pdf.empty:
+                _accumulate(pdf, _design(pdf, d), w, cw, c, g, h, obj)
+        yield pd.DataFrame(_emit(g, h, obj, d), columns=["tag", "k", "v"])
 
     return fn
 
 
-def _line_fn(w: np.ndarray, step_dir: np.ndarray, cw: np.ndarray, c: float, d: int):
+def _step_fn(w: np.ndarray, step_dir: np.ndarray, cw: np.ndarray, c: float, d: int):
+    """One pass for a Newton round: the loss at every step size of the ladder
+    (``k = -2 - s``) and the loss, gradient and Hessian at the full step
+    (``k >= -1`` as in :func:`_grad_hess_fn`), for all tags."""
     t = w.shape[0]
+    wf = w + step_dir
 
     def fn(batches):
-        obj = np.zeros((t, len(STEPS)))
+        ladder = np.zeros((t, len(STEPS)))
+        g, h, obj = np.zeros((t, d + 1)), np.zeros((t, d + 1, d + 1)), np.zeros(t)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -88,12 +98,12 @@ def _line_fn(w: np.ndarray, step_dir: np.ndarray, cw: np.ndarray, c: float, d: i
                 y = pdf[f"y{k}"].to_numpy(dtype=float) * 2 - 1
                 cost = np.where(y > 0, cw[k, 0], cw[k, 1]) * c
                 base, delta = x @ w[k], x @ step_dir[k]
-                for s, a in enumerate(STEPS):
+                for s_, a in enumerate(STEPS):
                     viol = np.maximum(0.0, 1 - y * (base + a * delta))
-                    obj[k, s] += float(np.sum(cost * viol**2))
-        yield pd.DataFrame(
-            [(k, s, float(obj[k, s])) for k in range(t) for s in range(len(STEPS))], columns=["tag", "k", "v"]
-        )
+                    ladder[k, s_] += float(np.sum(cost * viol**2))
+            _accumulate(pdf, x, wf, cw, c, g, h, obj)
+        rows = [(k, -2 - s_, float(ladder[k, s_])) for k in range(t) for s_ in range(len(STEPS))]
+        yield pd.DataFrame(rows + _emit(g, h, obj, d), columns=["tag", "k", "v"])
 
     return fn
 
@@ -114,12 +124,17 @@ def fit_squared_hinge(
 ) -> tuple[np.ndarray, int]:
     """Newton with backtracking for all tags at once.  ``train`` holds
     ``z0..z{d-1}`` and ``y0..y{T-1}`` (0/1).  Returns the (T, d+1) weights
-    (last entry = intercept) and the number of rounds."""
+    (last entry = intercept) and the number of rounds.
+
+    A round is one pass in the usual case: the pass that scores the step-size
+    ladder also accumulates the gradient and Hessian at the full Newton step,
+    which is what the next round needs whenever the full step is accepted.
+    """
     w = np.zeros((n_tags, d + 1))
     done = np.zeros(n_tags, dtype=bool)
+    sums = _sum_rows(train, _grad_hess_fn(w, class_weights, c, d))
     rounds = 0
     for rounds in range(1, max_iter + 1):
-        sums = _sum_rows(train, _grad_hess_fn(w, class_weights, c, d))
         step_dir = np.zeros_like(w)
         grads = np.zeros_like(w)
         obj0 = np.zeros(n_tags)
@@ -130,25 +145,35 @@ def fit_squared_hinge(
             ).reshape(d + 1, d + 1)
             obj0[k] = 0.5 * w[k] @ w[k] + sums.get((k, -1), 0.0)
             grads[k] = g
-            if np.linalg.norm(g) <= tol * max(1.0, np.linalg.norm(w[k])) or done[k]:
+            if done[k] or np.linalg.norm(g) <= tol * max(1.0, np.linalg.norm(w[k])):
                 done[k] = True
                 continue
             step_dir[k] = -np.linalg.solve(h, g)
         if done.all():
             break
-        objs = _sum_rows(train, _line_fn(w, step_dir, class_weights, c, d))
+        res = _sum_rows(train, _step_fn(w, step_dir, class_weights, c, d))
+        nxt: dict[tuple[int, int], float] = {}
+        stale = False
         for k in range(n_tags):
             if done[k]:
                 continue
             gd = float(grads[k] @ step_dir[k])  # directional derivative (< 0)
-            for s, a in enumerate(STEPS):
+            for s_, a in enumerate(STEPS):
                 wn = w[k] + a * step_dir[k]
-                f = 0.5 * wn @ wn + objs.get((k, s), 0.0)
-                if f <= obj0[k] + 1e-4 * a * min(gd, 0.0) or s == len(STEPS) - 1:
+                f = 0.5 * wn @ wn + res.get((k, -2 - s_), 0.0)
+                if f <= obj0[k] + 1e-4 * a * min(gd, 0.0) or s_ == len(STEPS) - 1:
                     w[k] = wn
                     if abs(obj0[k] - f) <= 1e-15 * max(1.0, abs(obj0[k])):
                         done[k] = True
+                    if s_ == 0:
+                        nxt.update({key: v for key, v in res.items() if key[0] == k and key[1] >= -1})
+                    else:
+                        stale = True
                     break
+        if stale:
+            sums = _sum_rows(train, _grad_hess_fn(w, class_weights, c, d))
+        else:
+            sums = nxt
         if rounds % 5 == 0:
             train = cut_lineage(train)
     return w, rounds
@@ -192,6 +217,10 @@ def train_tagger(
     A tag present in every row is a constant scorer with score 1.0 (C5)."""
     from .tagger import tag_classes
 
+    # the text features are computed once and written to the shared
+    # checkpoint folder; every later pass (scaler, class counts, Newton
+    # rounds) reads the compact table instead of re-running the regexes
+    labelled = cut_lineage(labelled.select(*features, tags_col))
     classes = tag_classes(labelled, tags_col)
     train, scaler, cw, pos = prepare_training(labelled, classes, features, tags_col)
     train = cut_lineage(train)
