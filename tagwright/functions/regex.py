@@ -82,10 +82,32 @@ def _alternation(phrases: list[str]) -> str:
     return "|".join(phrases)
 
 
+# Characters outside ASCII that Unicode case-insensitive matching (Python's
+# re.IGNORECASE and Java's (?iu) alike) treats as ASCII letters: capital I with
+# dot, dotless i, long s, Kelvin sign.  Checked over every code point.
+_EXTRA_CASE = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
+def _caseless(phrase: str) -> str:
+    """A phrase with every ASCII letter spelled as the class of all characters
+    that match it case-insensitively, so the pattern needs no ``(?iu)`` flag
+    (which makes every character comparison a Unicode case mapping)."""
+    out = []
+    for ch in phrase:
+        if "a" <= ch.lower() <= "z":
+            lo = ch.lower()
+            out.append(f"[{lo}{lo.upper()}{_EXTRA_CASE.get(lo, '')}]")
+        else:
+            out.append(ch)
+    return "".join(out)
+
+
 def java_phrases(phrases: list[str]) -> str:
     """Whole-word, case-insensitive alternation for Spark (``rlike`` /
-    ``regexp_count``)."""
-    return f"(?iu)(?<!{WORD_CLASS})(?:{_alternation(phrases)})(?!{WORD_CLASS})"
+    ``regexp_count``), case folded into explicit classes."""
+    _alternation(phrases)
+    alts = "|".join(_caseless(p) for p in phrases)
+    return f"(?<!{WORD_CLASS})(?:{alts})(?!{WORD_CLASS})"
 
 
 def java_list_line_anywhere() -> str:
