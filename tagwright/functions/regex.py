@@ -26,6 +26,9 @@ WS = f"[{WS_CHARS}]"
 NON_WS = f"[^{WS_CHARS}]"
 # str.splitlines() boundaries
 LINE_BREAK = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+LB_CHARS = r"\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
+# whitespace that is not a line boundary: tab, U+001F, space separators
+WS_IN_LINE = r"[\t\x{1f}\p{Zs}]"
 
 # ---------------------------------------------------------------------------
 # The marker phrase lists of the behaviour features.  They must

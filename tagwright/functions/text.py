@@ -72,13 +72,24 @@ def non_blank_lines(text: ColumnOrName) -> Column:
     return F.filter(F.split(_c(text), rx.LINE_BREAK), lambda line: line.rlike(rx.NON_WS))
 
 
+# A non-blank line is a maximal run of non-boundary characters holding a
+# non-space character; a list line starts (after in-line spaces) with a list
+# marker.  Counting them with one regex each avoids building line arrays.
+NON_BLANK_LINE = f"{rx.NON_WS}[^{rx.LB_CHARS}]*"  # first visible character to the end of its line
+LIST_LINE = f"(?:\\A|(?<=[{rx.LB_CHARS}])){rx.WS_IN_LINE}*(?:[-*]|\\p{{Nd}}+[.)]){rx.WS_IN_LINE}+"
+
+
+def non_blank_line_count(text: ColumnOrName) -> Column:
+    return F.regexp_count(_c(text), F.lit(NON_BLANK_LINE)).cast("long")
+
+
 def line_count(text: ColumnOrName) -> Column:
     """``max(1, non-blank lines)``."""
-    return F.greatest(F.lit(1), F.size(non_blank_lines(text))).cast("long")
+    return F.greatest(F.lit(1), non_blank_line_count(text)).cast("long")
 
 
 def list_line_count(text: ColumnOrName) -> Column:
-    return F.size(F.filter(non_blank_lines(text), lambda line: line.rlike(rx.java_list_line_start()))).cast("long")
+    return F.regexp_count(_c(text), F.lit(LIST_LINE)).cast("long")
 
 
 def paragraph_count(text: ColumnOrName) -> Column:
@@ -163,11 +174,11 @@ def with_classifier_features(df, text: str = "assistant_output", prefix: str = "
     tmp = {
         "__w": F.greatest(F.lit(1), word_count(t)).cast("double"),
         "__c": F.greatest(F.lit(1), char_count(t)).cast("double"),
-        "__lines": non_blank_lines(t),
+        "__lines": line_count(t).cast("double"),
     }
     df = df.withColumns(tmp)
-    lines_n = F.greatest(F.lit(1), F.size("__lines")).cast("double")
-    list_lines = F.size(F.filter("__lines", lambda l: l.rlike(rx.java_list_line_start()))).cast("double")
+    lines_n = F.col("__lines")
+    list_lines = list_line_count(t).cast("double")
     w, c = F.col("__w"), F.col("__c")
     feats = {
         "log_words": F.log1p(w),
