@@ -317,11 +317,19 @@ def q_c4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted((m.support_vector_counts or {}).items()), "tag string, support_vectors int")
 
 
-@register("c10_run_header")
+@register(
+    "c10_run_header",
+    f"""WITH {WEAK_SQL}
+    SELECT 'one_vs_rest_linear_svm' AS algorithm, 'linear-svc' AS svm_engine, count(*) AS training_examples,
+           CAST((SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM weak)) AS INTEGER) AS tag_count,
+           CAST(-0.5 AS DOUBLE) AS threshold FROM weak""",
+)
 def q_c10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run header of a prediction file (support-vector counts are
+    only produced by the plain-hinge engine, see c4)."""
     from ..operators.tagger import run_header
 
-    return run_header(spark, trained_model(spark, sf_dir), -0.5)
+    return run_header(spark, trained_model(spark, sf_dir), -0.5).drop("support_vector_counts")
 
 
 @register("pipeline_tag_responses")
