@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CLASSIFIER_FEATURES
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .scale import Standardizer
 from .tagger import LinearTagModel
 
@@ -175,7 +175,8 @@ def fit_squared_hinge(
         else:
             sums = nxt
         if rounds % 5 == 0:
-            train = cut_lineage(train)
+            old, train = train, cut_lineage(train)
+            release(old)
     return w, rounds
 
 
@@ -245,6 +246,8 @@ def train_tagger(
     if svc_counts is not None:
         for k in range(len(classes)):
             svc_counts.setdefault(classes[k], 0)
+    release(train)
+    release(labelled)
     return LinearTagModel(
         tags=list(classes),
         weights=[list(map(float, weights[k, :d])) for k in range(len(classes))],

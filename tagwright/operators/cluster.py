@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .profile import BROADCAST_LIMIT_BYTES, centroids
 from .split import cap_per_group
 
@@ -114,6 +114,7 @@ def grouped_kmeans(
     )
     cents = seeds.select(parent_col, "sub", F.col(vec_col).cast("array<double>").alias("centroid"))
     dims = max(1, len(df.select(vec_col).first()[0]))
+    last_cut = None
     for it in range(iterations):
         table = cents.groupBy(parent_col).agg(F.collect_list(F.struct("sub", "centroid")).alias("__cs"))
         n = table.count()
@@ -151,4 +152,6 @@ def grouped_kmeans(
         )
         if it % 3 == 2:
             cents = cut_lineage(cents)
+            release(last_cut)
+            last_cut = cents
     return df.withColumn("subcluster", F.lit(None).cast("int"))

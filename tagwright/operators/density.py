@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 PAIR_SCHEMA_KNN = "id long, nbr long, dist double"
 
@@ -158,9 +158,11 @@ def connected_components(
         new = jump(jump(new))
         new = cut_lineage(new)
         changed = new.join(lab.withColumnRenamed("comp", "old"), [*g, "node"]).where(F.col("comp") != F.col("old")).limit(1).count()
+        release(lab)
         lab = new
         if not changed:
             break
+    release(und)
     return lab
 
 
@@ -215,18 +217,27 @@ def mutual_reachability_mst(
         cands = _boruvka_candidates(pts.join(comp, "id"), nb)
         best = cands.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
         best = cut_lineage(best)
-        edges = best if edges is None else cut_lineage(edges.unionByName(best).distinct())
+        if edges is None:
+            edges = best
+        else:
+            old_edges, edges = edges, cut_lineage(edges.unionByName(best).distinct())
+            release(old_edges)
         # merge the components joined by this round's edges
         ca = comp.withColumnRenamed("id", "a").withColumnRenamed("comp", "ca")
         cb = comp.withColumnRenamed("id", "b").withColumnRenamed("comp", "cb")
         cedges = best.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         cnodes = comp.select(F.col("comp").alias("node")).distinct()
         merged = connected_components(cnodes, cedges)
+        old_comp = comp
         comp = cut_lineage(
             comp.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp").select(
                 "id", F.col("new").alias("comp")
             )
         )
+        release(old_comp)
+        release(merged)
+        if best is not edges:
+            release(best)
     if edges is None:
         edges = pts.sparkSession.createDataFrame([], "w double, a long, b long")
     return pts.select("id", "vec", "core"), edges.select("a", "b", "w")

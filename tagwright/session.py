@@ -74,7 +74,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = posixpath.join(base, "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    _WRITTEN[id(out)] = path
+    return out
+
+
+_WRITTEN: dict[int, str] = {}
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete the table behind a frame returned by :func:`cut_lineage` once a
+    later round has been written (the later round reads only its own files,
+    so nothing depends on the old one any more)."""
+    if df is None:
+        return
+    path = _WRITTEN.pop(id(df), None)
+    if path is None:
+        return
+    jvm = df.sparkSession.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
