@@ -55,12 +55,20 @@ def blocked_row_number(
     )
 
 
+def bucket_counts(keyed: DataFrame, hash_col: str, prefix_len: int = 4) -> list[tuple[str, int]]:
+    """Rows per hash-prefix bucket (at most ``16**prefix_len`` rows reach the
+    driver); their sum is the row count."""
+    bucket = F.substring(F.col(hash_col), 1, prefix_len)
+    return sorted((r["b"], r["n"]) for r in keyed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+
 def rank_cuts(
     keyed: DataFrame,
     hash_col: str,
     id_col: str,
     ranks: Sequence[int],
     prefix_len: int = 4,
+    counts: list[tuple[str, int]] | None = None,
 ) -> dict[int, tuple[str, object] | None]:
     """Return, for every 0-based rank r, the ``(hash, id)`` of the row at rank r
     in the order ``(hash, id)``; ``None`` when r is past the last row.
@@ -72,9 +80,8 @@ def rank_cuts(
     if not wanted:
         return {}
     bucket = F.substring(F.col(hash_col), 1, prefix_len)
-    counts = sorted(
-        (r["b"], r["n"]) for r in keyed.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    )
+    if counts is None:
+        counts = bucket_counts(keyed, hash_col, prefix_len)
     # locate the bucket of every wanted rank and its rank inside the bucket
     targets: dict[tuple[str, int], int] = {}
     start = 0

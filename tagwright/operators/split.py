@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import before_cut, blocked_row_number, rank_cuts
+from .rank import before_cut, blocked_row_number, bucket_counts, rank_cuts
 
 SPLITS = ("train", "validation", "test", "new_data")
 
@@ -60,19 +60,21 @@ def split_assignment(
     """A column expression giving ``source_split`` for every row of any
     frame that carries ``id_col``, plus the split sizes.
 
-    Work: one distinct over the ids, one count per 4-hex hash bucket, and one
-    ordered pass over the (at most three) buckets holding a cut.  The
+    Work: one aggregation (distinct ids counted per 4-hex hash bucket; the
+    counts also give n) and one ordered pass over the (at most three) buckets
+    holding a cut.  The
     returned expression is then evaluated map-side - no window over the data
     and no join back.
     """
     fractions.validate()
     ids = df.select(id_col).distinct().withColumn("__h", hash_key(id_col, seed))
-    n = ids.count()
+    counts = bucket_counts(ids, "__h")
+    n = sum(c for _, c in counts)
     sizes = fractions.sizes(n)
     b1 = sizes["train"]
     b2 = b1 + sizes["validation"]
     b3 = b2 + sizes["test"]
-    cuts = rank_cuts(ids, "__h", id_col, [b1, b2, b3])
+    cuts = rank_cuts(ids, "__h", id_col, [b1, b2, b3], counts=counts)
     h = hash_key(id_col, seed)
 
     def lt(rank: int) -> Column:
