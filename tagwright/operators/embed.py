@@ -66,7 +66,9 @@ def embed_with(
     """T14 with any encoder: ``make_encoder()`` runs once per Python worker
     and returns ``encode(texts) -> float matrix``; vectors are L2-normalised
     and stored as ``array<float>`` next to the row (no positional files)."""
-    schema = df.schema.add(out, "array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))])
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()

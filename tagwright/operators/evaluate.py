@@ -206,11 +206,12 @@ def primary_confusion(matched: DataFrame, universe: DataFrame) -> DataFrame:
     is outside the universe are left out of the total."""
     tp = true_primary()
     pp = F.try_element_at(F.col("p_predicted_tags"), F.lit(1))
+    from .profile import join_small
+
     cells = matched.select(tp.alias("true_tag"), pp.alias("predicted_tag"))
-    u = F.broadcast(universe.select(F.col("tag").alias("__u")))  # bounded by the tag vocabulary
-    cells = cells.join(u, cells.true_tag == u.__u, "left_semi")
-    u2 = F.broadcast(universe.select(F.col("tag").alias("__v")))
-    cells = cells.join(u2, cells.predicted_tag == u2.__v, "left_semi")
+    # the universe is the tag vocabulary: broadcast after a size check
+    cells = join_small(cells, universe.select(F.col("tag").alias("true_tag")), "true_tag", 64, "left_semi")
+    cells = join_small(cells, universe.select(F.col("tag").alias("predicted_tag")), "predicted_tag", 64, "left_semi")
     return cells.groupBy("true_tag", "predicted_tag").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -134,13 +134,14 @@ def euclidean(a: Column, b: Column) -> Column:
     )
 
 
-def join_small(df: DataFrame, small: DataFrame, on, width_bytes: int) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on, width_bytes: int, how: str = "inner") -> DataFrame:
     """Join ``small`` (bounded by clusters, tags or grid cells) by broadcast
-    only when its measured size is under :data:`BROADCAST_LIMIT_BYTES`."""
+    only when its measured size is under :data:`BROADCAST_LIMIT_BYTES`;
+    otherwise a shuffle join."""
     n = small.count()
     if n * max(width_bytes, 1) <= BROADCAST_LIMIT_BYTES:
-        return df.join(F.broadcast(small), on)
-    return df.join(small, on)
+        return df.join(F.broadcast(small), on, how)
+    return df.join(small, on, how)
 
 
 def representatives(

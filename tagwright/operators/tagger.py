@@ -86,9 +86,12 @@ def balanced_weights(df: DataFrame, tags_col: str, classes: Sequence[str]) -> Da
 
 def weak_labels(responses: DataFrame, tag_matrix: DataFrame, top_col: str = "top_cluster", sub_col: str = "cluster") -> DataFrame:
     """Every member of a subcluster receives all its tags.  The tag
-    matrix is hand-written (one row per subcluster), so it is broadcast."""
+    matrix is hand-written (one row per subcluster): broadcast after a size
+    check, shuffle-joined otherwise."""
+    from .profile import join_small
+
     tm = tag_matrix.select(F.col("top_cluster").alias(top_col), F.col("subcluster").alias(sub_col), "tags")
-    return responses.join(F.broadcast(tm), [top_col, sub_col])
+    return join_small(responses, tm, [top_col, sub_col], 256)
 
 
 def rank_scores(scores: Column) -> Column:

@@ -101,3 +101,34 @@ def test_kmeans_and_grouped(spark):
     g = cl.grouped_kmeans(emb, "label", "vec_id", "embedding", k=2, iterations=3)
     sizes = dict(((r["label"]), r["n"]) for r in g.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
     assert sizes == dict((r["label"], r["count"]) for r in emb.groupBy("label").count().collect())
+
+
+def _char_encoder():
+    def encode(texts):
+        out = np.zeros((len(texts), 8))
+        for i, t in enumerate(texts):
+            for ch in t:
+                out[i, ord(ch) % 8] += 1.0
+        return out
+
+    return encode
+
+
+def test_embed_with_custom_encoder_and_manifest(spark):
+    import json
+    import os
+    import tempfile
+
+    from tagwright.operators.embed import embed_with, unit_norm_violations
+    from tagwright.sources.sinks import write_manifest
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text").alias("assistant_output"))
+    e = embed_with(docs, _char_encoder)
+    assert e.count() == docs.count() and unit_norm_violations(e) == 0
+    row = e.orderBy("doc_id").first()
+    want = _char_encoder()([row["assistant_output"]])[0]
+    assert np.allclose(np.array(row["embedding"]), want / np.linalg.norm(want), atol=1e-6)
+    out = tempfile.mkdtemp(prefix="manifest-", dir=os.path.dirname(spark.conf.get("spark.checkpoint.dir")))
+    write_manifest(spark, {"responses": e.count(), "embedding_shape": [e.count(), 8]}, os.path.join(out, "m"))
+    text = "".join(open(os.path.join(out, "m", f)).read() for f in sorted(os.listdir(os.path.join(out, "m"))) if f.startswith("part-"))
+    assert json.loads(text)["embedding_shape"] == [docs.count(), 8]
