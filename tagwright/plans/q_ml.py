@@ -468,7 +468,60 @@ def q_g8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # K6 - cluster report lines
 # ----------------------------------------------------------------------------
 
-@register("k6_cluster_report_lines")
+def _k6_sql() -> str:
+    from .q_profile import REPS_SQL, _sample_sql
+
+    t = "assistant_output"
+    marks = [
+        sq.list_flag(t), sq.fence_flag(t), sq.flag(t, sq.rx.REFUSAL), sq.flag(t, sq.rx.POLITENESS_CLUSTER),
+        sq.flag(t, sq.rx.ASSIST_OPENING, True), sq.flag(t, sq.rx.INFORMATION_OPENING, True),
+        sq.flag(t, sq.rx.VALIDATION_OPENING, True), sq.flag(t, sq.rx.CLARIFICATION),
+    ]
+    labels = [
+        "List format", "Code blocks", "Refusal markers", "Politeness markers", "Agree-to-help openings",
+        "Agree-to-inform openings", "Agree-with-user openings", "Clarification/uncertainty",
+    ]
+    pre = f"SELECT cluster, {sq.word_count(t)} AS words, " + ", ".join(f"{m} AS f{i}" for i, m in enumerate(marks)) + " FROM cr"
+    prof = (
+        "SELECT cluster, count(*) AS members, count(*) / sum(count(*)) OVER () AS fraction, avg(words) AS avg_words, "
+        + ", ".join(f"avg(f{i}) AS f{i}" for i in range(8))
+        + f" FROM ({pre}) GROUP BY cluster"
+    )
+    head = [
+        "'## ' || CASE WHEN p.cluster = -1 THEN 'Noise' ELSE 'Cluster ' || CAST(p.cluster AS VARCHAR) END",
+        "''",
+        "'- Members: ' || CAST(members AS VARCHAR)",
+        "'- Fraction: ' || printf('%.2f%%', fraction * 100)",
+        "'- Avg words: ' || printf('%.1f', avg_words)",
+        *[f"'- {lab}: ' || printf('%.2f%%', f{i} * 100)" for i, lab in enumerate(labels)],
+        "'- Top terms: ' || coalesce(tl.terms, '')",
+        "''",
+    ]
+    a4 = (
+        f"tk AS (SELECT cluster, source_split, source_row, response_index, {sq.term_tokens(t)} AS toks FROM cr), "
+        "toks AS (SELECT cluster, source_split, source_row, response_index, unnest(toks) AS term, "
+        "unnest(generate_series(0, len(toks) - 1)) AS pos FROM tk), "
+        "tc AS (SELECT cluster, term, count(*) AS count, min({'a': source_split, 'b': source_row, 'c': response_index, 'd': pos}) AS first "
+        "FROM toks GROUP BY cluster, term), "
+        "tr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY count DESC, first) AS rank FROM tc), "
+        "tl AS (SELECT cluster, string_agg(term, ', ' ORDER BY rank) AS terms FROM tr WHERE rank <= 10 GROUP BY cluster)"
+    )
+    return (
+        REPS_SQL
+        + f", prof AS ({prof}), {a4}, "
+        + f"picked AS (SELECT r.cluster, r.rank, {_sample_sql('cr.assistant_output')} AS sample FROM ranked r "
+        "JOIN cr ON r.cluster = cr.cluster AND r.source_row = cr.source_row WHERE r.rank <= 5), "
+        "head AS (SELECT p.cluster, unnest(["
+        + ", ".join(head)
+        + "]) AS line, unnest(generate_series(0, 14)) AS line_no FROM prof p LEFT JOIN tl ON p.cluster = tl.cluster) "
+        "SELECT CAST(cluster AS INTEGER) AS cluster, CAST(line_no AS INTEGER) AS line_no, line FROM head "
+        "UNION ALL SELECT CAST(cluster AS INTEGER), CAST(100 + rank * 2 AS INTEGER), "
+        "'Sample ' || CAST(rank AS VARCHAR) || ': ' || replace(sample, chr(10), ' ') FROM picked "
+        "UNION ALL SELECT CAST(cluster AS INTEGER), CAST(101 + rank * 2 AS INTEGER), '' FROM picked"
+    )
+
+
+@register("k6_cluster_report_lines", _k6_sql())
 def q_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cr = dv.clustered_responses(spark, sf_dir)
     summary = pf.cluster_profile(cr)

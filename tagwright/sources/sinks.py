@@ -11,8 +11,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.sweep import CSV_COLUMNS
 
@@ -42,9 +45,25 @@ def write_manifest(spark: SparkSession, facts: dict, path: str) -> None:
     ).text(path)
 
 
+@F.pandas_udf(T.StringType())
+def _py_fixed2(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if x is None or x != x else f"{x:.2f}")
+
+
+@F.pandas_udf(T.StringType())
+def _py_fixed1(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if x is None or x != x else f"{x:.1f}")
+
+
 def pct(c) -> F.Column:
-    """``{:.2%}`` formatting."""
-    return F.format_string("%.2f%%", c * 100)
+    """``{:.2%}`` formatting with Python's rounding (half-even on the exact
+    binary value; Java's ``%.2f`` rounds the shortest decimal half-up).  Used
+    on report rows only - one row per cluster - so a pandas UDF is fine."""
+    return F.concat(_py_fixed2(c * 100), F.lit("%"))
+
+
+def fixed1(c) -> F.Column:
+    return _py_fixed1(c)
 
 
 def cluster_report_lines(summary: DataFrame, terms: DataFrame, samples: DataFrame) -> DataFrame:
@@ -66,7 +85,7 @@ def cluster_report_lines(summary: DataFrame, terms: DataFrame, samples: DataFram
         F.lit(""),
         F.concat(F.lit("- Members: "), F.col("members").cast("string")),
         F.concat(F.lit("- Fraction: "), pct(F.col("fraction"))),
-        F.concat(F.lit("- Avg words: "), F.format_string("%.1f", F.col("avg_words"))),
+        F.concat(F.lit("- Avg words: "), fixed1(F.col("avg_words"))),
         F.concat(F.lit("- List format: "), pct(F.col("list_format_fraction"))),
         F.concat(F.lit("- Code blocks: "), pct(F.col("code_block_fraction"))),
         F.concat(F.lit("- Refusal markers: "), pct(F.col("refusal_marker_fraction"))),
