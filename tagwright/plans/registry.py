@@ -8,6 +8,7 @@ does not depend on the summation order of either engine.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,22 @@ DIGITS = 6
 
 
 def register(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)`` under ``name`` (with its oracle SQL).
+    The registered callable first makes the package importable on the
+    executors' Python workers."""
+
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
+
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

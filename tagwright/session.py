@@ -10,6 +10,8 @@ import os
 import posixpath
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -98,3 +101,28 @@ def release(df: DataFrame | None) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tagwright`` importable in the Python workers of this context.
+
+    Pandas UDFs and ``mapInPandas``/``applyInPandas`` functions live in this
+    package, and Python workers do not see the driver's ``sys.path``; the
+    package is zipped once per SparkContext and added with ``addPyFile``,
+    which Spark distributes to every executor.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tagwright-pkg-")
+    zpath = os.path.join(folder, "tagwright.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
