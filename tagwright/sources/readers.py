@@ -100,8 +100,8 @@ def subcluster_training_scan(spark: SparkSession, root: str) -> DataFrame:
     appear)."""
     df = spark.read.parquet(f"{root.rstrip('/')}/cluster_*/clustered_responses.parquet")
     require_columns(df, ["assistant_output", "cluster"], root)
-    top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/clustered_responses\.parquet$", 1)
-    return df.withColumn("top_cluster", top.cast("int")).where(F.col("top_cluster").isNotNull())
+    top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/clustered_responses\.parquet(/[^/]+)?$", 1)
+    return df.withColumn("top_cluster", F.when(top != "", top.cast("int"))).where(F.col("top_cluster").isNotNull())
 
 
 # ----------------------------------------------------------------------------

@@ -66,3 +66,27 @@ def test_split_and_sweep_outputs(spark):
     sk.write_disagreements(disagreements(m), os.path.join(out, "dis"))
     dis = spark.read.option("header", True).csv(os.path.join(out, "dis"))
     assert dis.columns == ["id", "source_row", "response_index", "true_tags", "predicted_tags", "missing_tags", "extra_tags", "assistant_preview"]
+
+
+def test_embedding_split_and_subcluster_scan(spark):
+    out = _tmp(spark)
+    cr = dv.clustered_responses(spark, "/root/testdata/sf0.001")
+    keys = ["source_split", "source_row", "response_index"]
+    # S3: metadata and vectors in separate keyed tables must match both ways
+    sk.write_parquet(cr.drop("embedding"), os.path.join(out, "meta"))
+    sk.write_parquet(cr.select(*keys, "embedding"), os.path.join(out, "vec"))
+    both = rd.load_embedding_split(spark, os.path.join(out, "meta"), os.path.join(out, "vec"))
+    assert both.count() == cr.count()
+    sk.write_parquet(cr.select(*keys, "embedding").limit(3), os.path.join(out, "vec_short"))
+    import pytest
+
+    with pytest.raises(rd.InputError):
+        rd.load_embedding_split(spark, os.path.join(out, "meta"), os.path.join(out, "vec_short"))
+    # One scan over cluster_<top>/clustered_responses.parquet folders
+    for top in (1, 4):
+        part = cr.where(F.col("cluster") % 5 == top).select("assistant_output", F.floor(F.col("cluster") / 5).cast("int").alias("cluster"))
+        sk.write_parquet(part, os.path.join(out, "subs", f"cluster_{top}", "clustered_responses.parquet"))
+    scan = rd.subcluster_training_scan(spark, os.path.join(out, "subs"))
+    got = {(r["top_cluster"], r["cluster"]): r["n"] for r in scan.groupBy("top_cluster", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {(top, c // 5): n for (c, n) in ((r["cluster"], r["count"]) for r in cr.groupBy("cluster").count().collect()) for top in (1, 4) if c % 5 == top}
+    assert got == want
