@@ -278,7 +278,10 @@ PREDICTION_RESULT = T.StructType(
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """S13 input side: prediction records as JSON lines (our K8 format), with
     the 4-part key lifted out of ``metadata`` and the file position kept."""
-    df = spark.read.schema(PREDICTION_RESULT).json(path).withColumn("pos", F.monotonically_increasing_id())
+    # file order: part files in name order, rows in offset order inside each
+    # (chunks of one file land in consecutive partitions, so the id grows)
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    df = spark.read.schema(PREDICTION_RESULT).json(path).withColumn("pos", pos)
     m = F.col("metadata")
     return df.select(
         m["source_split"].alias("source_split"),

@@ -130,3 +130,39 @@ def test_flat_and_nested_agree(spark):
     a = sorted(map(tuple, flat.collect()))
     b = sorted(map(tuple, nested_r.collect()))
     assert a == b and len(a) > 0
+
+
+def test_parquet_responses_and_load_order(spark, tmp):
+    p = os.path.join(tmp, "resp.parquet")
+    spark.createDataFrame(
+        [("a1", "p1", 3, None), ("a2", None, 4, "x")], "assistant_output string, prompt_id string, source_row int, extra string"
+    ).coalesce(1).write.parquet(p)
+    got = rd.read_parquet_responses(spark, p).orderBy("item_no").collect()
+    assert [r["response"] for r in got] == ["a1", "a2"]
+    assert got[0]["metadata"] == {"prompt_id": "p1", "source_row": "3"}
+    assert got[1]["metadata"] == {"source_row": "4", "extra": "x"}
+    allr = rd.load_responses(spark, ["inline one", "inline two"], rd.read_parquet_responses(spark, p), max_responses=3)
+    assert [r["response"] for r in allr.collect()] == ["inline one", "inline two", "a1"]
+    with pytest.raises(rd.InputError):
+        rd.load_responses(spark, [], None)
+
+
+def test_prediction_file_round_trip(spark, tmp):
+    from pyspark.sql import functions as F
+
+    from tagwright.operators.evaluate import latest_predictions
+    from tagwright.plans.q_eval import prediction_file
+    from tagwright.sources.sinks import write_json_lines
+
+    pf = prediction_file(spark, "/root/testdata/sf0.001").orderBy("pos")
+    meta = F.create_map(
+        F.lit("source_split"), F.col("source_split"), F.lit("source_row"), F.col("source_row").cast("string"),
+        F.lit("response_index"), F.col("response_index").cast("string"), F.lit("prompt_id"), F.col("prompt_id"),
+    )
+    out = os.path.join(tmp, "preds")
+    write_json_lines(pf.select(meta.alias("metadata"), F.lit("").alias("response_preview"), "predicted_tags", "top_tags").coalesce(1), out)
+    back = latest_predictions(rd.read_prediction_lines(spark, out))
+    want = latest_predictions(pf)
+    a = sorted((r["source_row"], tuple(r["predicted_tags"])) for r in back.collect())
+    b = sorted((r["source_row"], tuple(r["predicted_tags"])) for r in want.collect())
+    assert a == b and len(a) == 500
