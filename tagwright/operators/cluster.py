@@ -78,14 +78,15 @@ def inertia(assigned: DataFrame, distance_col: str = "cluster_distance") -> floa
     return float(assigned.agg(F.sum(F.col(distance_col) * F.col(distance_col))).first()[0] or 0.0)
 
 
-def run_facts(labelled: DataFrame, cluster_col: str = "cluster") -> DataFrame:
-    """M8: cluster count (noise excluded), noise count and fraction - one
-    aggregation."""
+def run_facts(labelled: DataFrame, cluster_col: str = "cluster", extra: Sequence[Column] = ()) -> DataFrame:
+    """M8: cluster count (noise excluded), noise count and fraction (plus any
+    ``extra`` aggregates, e.g. inertia) - one aggregation."""
     c = F.col(cluster_col)
     return labelled.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct(F.when(c != -1, c)).alias("cluster_count"),
         F.sum((c == -1).cast("long")).alias("noise_count"),
+        *extra,
     ).withColumn("noise_fraction", F.col("noise_count") / F.col("rows"))
 
 

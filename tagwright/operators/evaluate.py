@@ -151,8 +151,6 @@ def set_metrics(rows: DataFrame, group_cols: Sequence[str], universe_size: int)
     sides have one row per group).
     """
     g = list(group_cols)
-    if not g:
-        rows, g = rows.withColumn("__g", F.lit(0)), ["__g"]
     st = row_set_stats(rows)
     row_agg = st.groupBy(*g).agg(
         F.count(F.lit(1)).alias("reviewed_examples"),
@@ -170,7 +168,12 @@ def set_metrics(rows: DataFrame, group_cols: Sequence[str], universe_size: int)
     u = F.lit(float(universe_size))
     micro_p = safe_divide("__tp", F.col("__tp") + F.col("__fp"))
     micro_r = safe_divide("__tp", F.col("__tp") + F.col("__fn"))
-    joined = row_agg.join(tm, g, "left")
+    if g:
+        joined = row_agg.join(tm, g, "left")
+    else:
+        # two single-row aggregates: stack them and take each column's only value
+        both = row_agg.unionByName(tm, allowMissingColumns=True)
+        joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return joined.select(
         *g,
         "reviewed_examples",
@@ -189,9 +192,8 @@ def set_metrics(rows: DataFrame, group_cols: Sequence[str], universe_size: int)
 
 
 def overall(matched: DataFrame, universe_size: int) -> DataFrame:
-    """E5-E9 for one evaluation (a single group)."""
-    rows = with_sets(matched).withColumn("__g", F.lit(0))
-    return set_metrics(rows, ["__g"], universe_size).drop("__g")
+    """E5-E9 for one evaluation (no grouping)."""
+    return set_metrics(with_sets(matched), [], universe_size)
 
 
 def true_primary(primary_col: str = "primary_tag", true_col: str = "true_tags") -> Column:

@@ -256,10 +256,8 @@ def q_m6_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     out = cl.assign_nearest(emb, "embedding", _label_centres(spark, sf_dir), out="cluster")
-    facts = cl.run_facts(out)
-    inert = out.agg(F.sum(F.col("cluster_distance") * F.col("cluster_distance")).alias("inertia"))
-    # both sides are single-row aggregates
-    return facts.withColumn("__k", F.lit(1)).join(inert.withColumn("__k", F.lit(1)), "__k").select(
+    facts = cl.run_facts(out, extra=[F.sum(F.col("cluster_distance") * F.col("cluster_distance")).alias("inertia")])
+    return facts.select(
         "rows", "cluster_count", F.col("noise_count").cast("long"), r6("noise_fraction").alias("noise_fraction"), r6("inertia").alias("inertia")
     )
 
