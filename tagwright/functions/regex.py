@@ -110,7 +110,10 @@ def java_phrases(phrases: list[str]) -> str:
     ``regexp_count``), case folded into explicit classes."""
     _alternation(phrases)
     alts = "|".join(_caseless(p) for p in phrases)
-    return f"(?<!{WORD_CLASS})(?:{alts})(?!{WORD_CLASS})"
+    # a cheap first-character test before the Unicode look-behind rejects
+    # most positions early
+    firsts = sorted({ch for p in phrases for ch in _caseless(p[0]).strip("[]")})
+    return f"(?=[{''.join(firsts)}])(?<!{WORD_CLASS})(?:{alts})(?!{WORD_CLASS})"
 
 
 def java_list_line_anywhere() -> str:
