@@ -289,44 +289,61 @@ def hdbscan(
     # parent component (previous level) of every big component
     prev = comps.select((F.col("level") + 1).alias("level"), "node", F.col("comp").alias("parent"))
     bigmem = comps.join(big, ["level", "comp"]).join(prev, ["level", "node"], "left")
-    tree = bigmem.groupBy("level", "comp").agg(F.first("parent", ignorenulls=True).alias("parent"), F.first("size").alias("size"))
-    tree_rows = tree.collect()  # bounded: levels x (n / min_cluster_size)
-    # condensed-cluster ids: a big component continues its parent's cluster
-    # unless the parent has two or more big children (a true split)
-    children: dict[tuple[int, int], list[int]] = {}
-    for r in tree_rows:
-        if r["level"] > 0:
-            children.setdefault((r["level"] - 1, r["parent"]), []).append(r["comp"])
-    cid: dict[tuple[int, int], int] = {}
-    birth: dict[int, float] = {}
-    parent_of: dict[int, int | None] = {}
-    next_id = 0
-    for r in sorted(tree_rows, key=lambda x: (x["level"], x["comp"])):
-        key = (r["level"], r["comp"])
-        if r["level"] == 0:
-            cid[key] = next_id
-            birth[next_id] = 0.0
-            parent_of[next_id] = None
-            next_id += 1
-            continue
-        pkey = (r["level"] - 1, r["parent"])
-        pc = cid.get(pkey)
-        if pc is None:
-            continue
-        if len(children.get(pkey, [])) >= 2:
-            cid[key] = next_id
-            birth[next_id] = lam[r["level"]]
-            parent_of[next_id] = pc
-            next_id += 1
-        else:
-            cid[key] = pc
+    tree = cut_lineage(bigmem.groupBy("level", "comp").agg(F.first("parent", ignorenulls=True).alias("parent")))
+    # a large component starts a new condensed cluster at level 0 or when its
+    # parent has two or more large children; otherwise it continues its
+    # parent's cluster.  Cluster identity is propagated by pointer jumping over
+    # the (level, component) tree in Spark - log2(levels) rounds.
+    nbig = (
+        tree.where(F.col("level") > 0)
+        .groupBy(F.col("level").alias("level"), F.col("parent").alias("parent"))
+        .agg(F.count(F.lit(1)).alias("nbig"))
+    )
+    t = tree.join(nbig, ["level", "parent"], "left")
+    is_new = (F.col("level") == 0) | (F.coalesce(F.col("nbig"), F.lit(0)) >= 2)
+    ptr = cut_lineage(
+        t.select(
+            "level", "comp", is_new.alias("is_new"),
+            F.when(is_new, F.col("level")).otherwise(F.col("level") - 1).alias("plevel"),
+            F.when(is_new, F.col("comp")).otherwise(F.col("parent")).alias("pcomp"),
+        )
+    )
+    for _ in range(64):
+        look = ptr.select(
+            F.col("level").alias("plevel"), F.col("comp").alias("pcomp"), F.col("plevel").alias("pl2"), F.col("pcomp").alias("pc2")
+        )
+        nxt = cut_lineage(
+            ptr.join(look, ["plevel", "pcomp"], "left").select(
+                "level", "comp", "is_new", F.coalesce("pl2", "plevel").alias("plevel"), F.coalesce("pc2", "pcomp").alias("pcomp")
+            )
+        )
+        old = ptr.select("level", "comp", F.col("plevel").alias("ol"), F.col("pcomp").alias("oc"))
+        changed = nxt.join(old, ["level", "comp"]).where((F.col("plevel") != F.col("ol")) | (F.col("pcomp") != F.col("oc"))).limit(1).count()
+        release(ptr)
+        ptr = nxt
+        if not changed:
+            break
+    # the condensed clusters (at most about 2 n / min_cluster_size) and the
+    # cluster each one split from
+    cond = ptr.where("is_new").join(tree, ["level", "comp"]).select("level", "comp", "parent")
+    pkey = ptr.select((F.col("level") + 1).alias("level"), F.col("comp").alias("parent"), F.col("plevel").alias("pkl"), F.col("pcomp").alias("pkc"))
+    cond_rows = sorted(cond.join(pkey, ["level", "parent"], "left").collect(), key=lambda r: (r["level"], r["comp"]))
+    cid: dict[tuple[int, int], int] = {(r["level"], r["comp"]): i for i, r in enumerate(cond_rows)}
+    birth = {cid[(r["level"], r["comp"])]: (0.0 if r["level"] == 0 else lam[r["level"]]) for r in cond_rows}
+    parent_of: dict[int, int | None] = {
+        cid[(r["level"], r["comp"])]: (None if r["level"] == 0 else cid.get((r["pkl"], r["pkc"]))) for r in cond_rows
+    }
     if not cid:
         labels = nodes.select(F.col("node").alias(id_col), F.lit(-1).alias("cluster"))
         return labels, {"algorithm": "hdbscan", "cluster_count": 0, "noise_count": n, "noise_fraction": 1.0 if n else 0.0, "exact_levels": exact}
-    cmap = spark.createDataFrame([(lv_, c, k) for (lv_, c), k in cid.items()], "level int, comp long, cluster_id int")
-    member = comps.join(F.broadcast(cmap), ["level", "comp"])  # (level, node, cluster_id)
+    from .profile import join_small
+
+    idmap = spark.createDataFrame([(lv_, c, k) for (lv_, c), k in cid.items()], "plevel int, pcomp long, cluster_id int")
+    cmap = join_small(ptr, idmap, ["plevel", "pcomp"], 24).select("level", "comp", "cluster_id")
+    member = comps.join(cmap, ["level", "comp"])  # (level, node, cluster_id) of large components
     last = member.groupBy("node", "cluster_id").agg(F.max("level").alias("last"))
     lam_df = spark.createDataFrame(list(lam.items()), "level int, lam double")
+    # the ladder has at most max_levels + 1 rows: a bounded broadcast
     leave = last.join(F.broadcast(lam_df.select((F.col("level") - 1).alias("last"), F.col("lam").alias("lam_leave"))), "last", "left")
     # after the deepest level every point has left: lambda of the last level
     leave = leave.withColumn("lam_leave", F.coalesce("lam_leave", F.lit(lam[L])))
@@ -357,10 +374,11 @@ def hdbscan(
                 stack.extend(kids.get(x, []))
             selected.add(c)
 
-    visit(0)
+    for root in [c for c, p in parent_of.items() if p is None]:
+        visit(root)
     order = {c: i for i, c in enumerate(sorted(selected))}
     sel = spark.createDataFrame([(c, i) for c, i in order.items()], "cluster_id int, cluster int")
-    lab = member.select("node", "cluster_id").distinct().join(F.broadcast(sel), "cluster_id").select("node", "cluster")
+    lab = join_small(member.select("node", "cluster_id").distinct(), sel, "cluster_id", 16).select("node", "cluster")
     labels = nodes.join(lab, "node", "left").select(F.col("node").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     counts = labels.agg(F.sum((F.col("cluster") == -1).cast("long")).alias("noise")).first()
     facts = {
