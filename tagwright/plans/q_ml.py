@@ -272,7 +272,7 @@ def q_m9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------
-# C1, C2, C3-C5, C10 and the end-to-end tagging pipeline
+# C1, C2, C3-C5, C10 and end-to-end tagging of new responses
 # ----------------------------------------------------------------------------
 
 @register(
@@ -330,8 +330,8 @@ def q_c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_header(spark, trained_model(spark, sf_dir), -0.5).drop("support_vector_counts")
 
 
-@register("pipeline_tag_responses")
-def q_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("tag_new_responses")
+def q_tag_new_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path 2 end to end: weak labels -> features -> fit -> tag every
     (marked) conversation response at threshold -0.5, max 5 tags."""
     model = trained_model(spark, sf_dir)
