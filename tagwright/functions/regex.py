@@ -67,7 +67,7 @@ STOPWORDS = [
     "which", "with", "would", "you", "your",
 ]
 
-OPENING_CHARS = 180
+OPENING_CHARS = 180  # = defaults.OPENING_CHARS
 
 # Line that starts a list item: optional indent, then "-", "*", "1." or "1)",
 # then whitespace.

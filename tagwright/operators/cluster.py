@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..session import cut_lineage, release
 from .profile import BROADCAST_LIMIT_BYTES, centroids
 from .split import cap_per_group
@@ -28,7 +29,7 @@ def to_vector(col: str | Column):
     return array_to_vector(c.cast("array<double>"))
 
 
-def kmeans(df: DataFrame, vec_col: str, k: int = 16, seed: int = 393, max_iter: int = 20) -> tuple[DataFrame, dict]:
+def kmeans(df: DataFrame, vec_col: str, k: int = D.KMEANS_CLUSTERS, seed: int = D.SEED, max_iter: int = 20) -> tuple[DataFrame, dict]:
     """M5: labels in ``cluster`` and the run facts (M8)."""
     from pyspark.ml.clustering import KMeans
 
@@ -97,7 +98,7 @@ def grouped_kmeans(
     vec_col: str,
     k: int,
     iterations: int = 10,
-    seed: int = 393,
+    seed: int = D.SEED,
 ) -> DataFrame:
     """M9: k-means inside every parent cluster at once.
 

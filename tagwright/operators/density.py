@@ -40,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..session import cut_lineage, release
 
 PAIR_SCHEMA_KNN = "id long, nbr long, dist double"
@@ -107,7 +108,7 @@ def knn_candidates(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str
     return pairs.groupBy("pa", "pb").applyInPandas(fn, PAIR_SCHEMA_KNN)
 
 
-def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 15, metric: str = "euclidean", block_size: int = 2048) -> DataFrame:
+def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = D.UMAP_NEIGHBOURS, metric: str = "euclidean", block_size: int = 2048) -> DataFrame:
     """M4: the exact ``k``-nearest-neighbour graph (self excluded) as
     ``(id, rank, nbr, dist)``; ties by neighbour id."""
     cands = knn_candidates(df, id_col, vec_col, k + 1, metric, block_size).where(F.col("id") != F.col("nbr"))
@@ -258,7 +259,7 @@ def hdbscan(
     df: DataFrame,
     id_col: str,
     vec_col: str,
-    min_cluster_size: int = 50,
+    min_cluster_size: int = D.MIN_CLUSTER_SIZE,
     min_samples: int | None = None,
     block_size: int = 2048,
     max_levels: int = 512,

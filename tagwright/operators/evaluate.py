@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.text import f1, safe_divide
 
 KEY4 = ["source_split", "source_row", "response_index", "prompt_id"]
@@ -225,7 +226,7 @@ def primary_accuracy(confusion: DataFrame) -> DataFrame:
     ).select(safe_divide("correct", "total").alias("accuracy"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def confusion_pairs(matched: DataFrame, limit: int = 50) -> DataFrame:
+def confusion_pairs(matched: DataFrame, limit: int = D.CONFUSION_PAIRS) -> DataFrame:
     """E11: "missing -> extra" pair counts, most common first, ties by first
     encounter (label position, then sorted missing, then sorted extra).  A row
     contributes at most |missing| x |extra| pairs, bounded by the vocabulary."""

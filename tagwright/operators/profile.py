@@ -22,6 +22,7 @@ from ..functions.text import (
     term_tokens,
     word_count,
 )
+from .. import defaults as D
 from .responses import sample_text
 from .topk import top_k_per_group
 
@@ -103,7 +104,7 @@ def top_terms(
     order_cols: Sequence[str],
     cluster_col: str = "cluster",
     text: str = "assistant_output",
-    limit: int = 10,
+    limit: int = D.TOP_TERMS,
 ) -> DataFrame:
     """A4: the ``limit`` most frequent term tokens per cluster; ties go to the
     term met first in row order (``order_cols``) and token position."""
@@ -149,7 +150,7 @@ def representatives(
     vec_col: str,
     key_cols: Sequence[str],
     cluster_col: str = "cluster",
-    limit: int = 5,
+    limit: int = D.SAMPLES_PER_CLUSTER,
     dims_hint: int = 64,
 ) -> DataFrame:
     """A5: per cluster, all members in key order when there are at most
@@ -170,7 +171,7 @@ def representatives(
     return ranked.drop("__o", "__members", "centroid")
 
 
-def sample_records(reps: DataFrame, sample_chars: int = 1200) -> DataFrame:
+def sample_records(reps: DataFrame, sample_chars: int = D.SAMPLE_CHARS) -> DataFrame:
     """The representatives as an ordered ``samples`` array per cluster
     (at most ``limit`` entries each, so the collect is bounded)."""
     rec = F.struct(

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.text import strip
 
 RESPONSE_COLUMNS = ["source_split", "source_row", "response_index", "prompt_id", "prompt", "assistant_output"]
@@ -114,16 +115,16 @@ def responses_nonempty(df: DataFrame) -> bool:
 def preview_180(text: str | Column = "assistant_output") -> Column:
     """First 180 characters (prediction preview)."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.substring(c, 1, 180)
+    return F.substring(c, 1, D.PREVIEW_CHARS)
 
 
 def preview_300_oneline(text: str | Column = "assistant_output") -> Column:
     """First 300 characters with newlines turned into spaces."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.replace(F.substring(c, 1, 300), F.lit("\n"), F.lit(" "))
+    return F.replace(F.substring(c, 1, D.DISAGREEMENT_PREVIEW_CHARS), F.lit("\n"), F.lit(" "))
 
 
-def sample_text(text: str | Column, sample_chars: int = 1200) -> Column:
+def sample_text(text: str | Column, sample_chars: int = D.SAMPLE_CHARS) -> Column:
     """Cut at ``sample_chars``, right-strip, append ``...`` only when cut."""
     c = F.col(text) if isinstance(text, str) else text
     cut = F.regexp_replace(F.substring(c, 1, sample_chars), r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
+
 
 @dataclass
 class Standardizer:
@@ -56,8 +58,8 @@ def feature_mode(
     mode: str,
     reduced_cols: Sequence[str],
     behavior_cols: Sequence[str],
-    embedding_weight: float = 0.35,
-    behavior_weight: float = 2.0,
+    embedding_weight: float = D.EMBEDDING_WEIGHT,
+    behavior_weight: float = D.BEHAVIOR_WEIGHT,
     out: str = "features",
 ) -> DataFrame:
     """M2: ``embeddings`` (reduced vectors as they are), ``behavior``

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from .rank import before_cut, blocked_row_number, bucket_counts, rank_cuts
 
 SPLITS = ("train", "validation", "test", "new_data")
@@ -22,10 +23,10 @@ SPLITS = ("train", "validation", "test", "new_data")
 
 @dataclass(frozen=True)
 class SplitFractions:
-    discovery: float = 0.25
-    train: float = 0.70
-    validation: float = 0.15
-    test: float = 0.15
+    discovery: float = D.DISCOVERY_FRACTION
+    train: float = D.TRAIN_FRACTION
+    validation: float = D.VALIDATION_FRACTION
+    test: float = D.TEST_FRACTION
 
     def validate(self) -> None:
         """Argument checks, raised before any job runs."""
@@ -55,7 +56,7 @@ def hash_key(id_col: str | Column, seed: int) -> Column:
 
 
 def split_assignment(
-    df: DataFrame, id_col: str, seed: int = 393, fractions: SplitFractions = SplitFractions()
+    df: DataFrame, id_col: str, seed: int = D.SEED, fractions: SplitFractions = SplitFractions()
 ) -> tuple[Column, dict[str, int]]:
     """A column expression giving ``source_split`` for every row of any
     frame that carries ``id_col``, plus the split sizes.
@@ -98,7 +99,7 @@ def split_counts(df: DataFrame, split_col: str = "source_split") -> DataFrame:
     return c.withColumn("fraction", F.round(F.col("rows") / total, 6))
 
 
-def exact_sample(df: DataFrame, id_col: str, size: int | None, seed: int = 393) -> DataFrame:
+def exact_sample(df: DataFrame, id_col: str, size: int | None, seed: int = D.SEED) -> DataFrame:
     """Exactly ``size`` rows (the first in hash order), rows kept in place;
     no-op when ``size`` is None or not below the row count.  ``id_col`` must be
     unique."""
@@ -118,7 +119,7 @@ def before_cut_expr(id_col: str, seed: int, cut) -> Column:
 
 
 def cap_per_group(
-    df: DataFrame, group_cols: list[str], key_col: str, cap: int | None, seed: int = 393
+    df: DataFrame, group_cols: list[str], key_col: str, cap: int | None, seed: int = D.SEED
 ) -> DataFrame:
     """At most ``cap`` rows per group, chosen by hash order of ``key_col``.
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..functions.text import CLASSIFIER_FEATURES
 
 
@@ -112,7 +113,7 @@ def predict_tags(ranked: Column, threshold: float, max_tags: int, allow_empty: b
     return F.when((F.size(tags) == 0) & (F.size(ranked) > 0), F.array(ranked[0]["tag"])).otherwise(tags)
 
 
-def top_tags(ranked: Column, n: int = 5) -> Column:
+def top_tags(ranked: Column, n: int = D.TOP_TAGS) -> Column:
     """The first ``n`` entries of the ranking."""
     return F.slice(ranked, 1, n)
 
@@ -120,9 +121,9 @@ def top_tags(ranked: Column, n: int = 5) -> Column:
 def classify(
     df: DataFrame,
     scores: Column,
-    threshold: float = 0.0,
-    max_predicted_tags: int = 5,
-    n_top: int = 5,
+    threshold: float = D.DECISION_THRESHOLD,
+    max_predicted_tags: int = D.MAX_PREDICTED_TAGS,
+    n_top: int = D.TOP_TAGS,
     text_col: str | None = "assistant_output",
 ) -> DataFrame:
     """C6-C9 on every row: ranking, predicted tags, top tags and the

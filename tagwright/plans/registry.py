@@ -18,7 +18,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
-SEED = 393
+from .. import defaults as _D
+
+SEED = _D.SEED
 DIGITS = 6
 
 
