@@ -262,13 +262,46 @@ def q_m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("m9_grouped_subclusters")
+M9_K, M9_ITERS = 3, 6
+
+
+def _m9_sql(k: int = M9_K, iters: int = M9_ITERS) -> str:
+    """Lloyd rounds unrolled: start from the first k members of each label in
+    hash order, assign (distance rounded to 9 places, ties to the lower sub),
+    average, repeat."""
+    parts = [
+        "dims AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)",
+        f"seeds AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS sub "
+        f"FROM embeddings QUALIFY sub < {k})",
+        "c0 AS (SELECT s.label, s.sub, d.i, CAST(d.v AS DOUBLE) AS m FROM seeds s JOIN dims d ON s.vec_id = d.vec_id)",
+    ]
+    for it in range(iters):
+        parts.append(
+            f"d{it} AS (SELECT d.vec_id, d.label, c.sub, round(sum((CAST(d.v AS DOUBLE) - c.m) * (CAST(d.v AS DOUBLE) - c.m)), 9) AS dd "
+            f"FROM dims d JOIN c{it} c ON d.label = c.label AND d.i = c.i GROUP BY d.vec_id, d.label, c.sub)"
+        )
+        parts.append(f"a{it} AS (SELECT vec_id, label, arg_min(sub, {{'d': dd, 's': sub}}) AS sub FROM d{it} GROUP BY vec_id, label)")
+        if it < iters - 1:
+            parts.append(
+                f"c{it + 1} AS (SELECT a.label, a.sub, d.i, avg(CAST(d.v AS DOUBLE)) AS m FROM a{it} a JOIN dims d ON a.vec_id = d.vec_id "
+                "GROUP BY a.label, a.sub, d.i)"
+            )
+    last = f"a{iters - 1}"
+    return (
+        "WITH " + ", ".join(parts)
+        + f" SELECT CAST(label AS INTEGER) AS label, CAST(sub AS INTEGER) AS subcluster, count(*) AS members FROM {last} GROUP BY label, sub"
+    )
+
+
+@register("m9_grouped_subclusters", _m9_sql())
 def q_m9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """INV: k-means with k=3 inside every label at once; sizes per (parent,
-    sub) must add up to the parent's size."""
+    """M9: k-means with k=3 inside every label at once (6 Lloyd rounds from a
+    hash-ordered start); members per (parent, sub)."""
     emb = read_table(spark, sf_dir, "embeddings")
-    out = cl.grouped_kmeans(emb, "label", "vec_id", "embedding", k=3, iterations=6, seed=SEED)
-    return out.groupBy("label", "subcluster").agg(F.count(F.lit(1)).alias("members"))
+    out = cl.grouped_kmeans(emb, "label", "vec_id", "embedding", k=M9_K, iterations=M9_ITERS, seed=SEED)
+    return out.groupBy(F.col("label").cast("int").alias("label"), F.col("subcluster").cast("int").alias("subcluster")).agg(
+        F.count(F.lit(1)).alias("members")
+    )
 
 
 # ----------------------------------------------------------------------------
