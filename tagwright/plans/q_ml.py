@@ -621,3 +621,19 @@ def q_m7_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("members"),
         *[F.round(F.avg(c), 3).alias(c) for c in ["list_format", "code_block", "refusal_marker", "politeness_marker"]],
     )
+
+
+@register(
+    "m4_knn_graph_cosine",
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT a.vec_id AS id, b.vec_id AS nbr, 1.0 - list_cosine_similarity(a.v, b.v) AS dist FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(dist, 12), nbr) AS rank FROM d)
+    SELECT id, CAST(rank AS INTEGER) AS rank, nbr, {s6('dist')} AS dist FROM r WHERE rank <= {KNN_K}""",
+)
+def q_m4_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 with the cosine distance the reference's neighbour graph uses."""
+    from ..operators.density import knn_graph
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    g = knn_graph(emb, "vec_id", "embedding", k=KNN_K, metric="cosine")
+    return g.select("id", F.col("rank").cast("int"), "nbr", r6("dist").alias("dist"))
