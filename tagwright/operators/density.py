@@ -37,7 +37,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
@@ -395,4 +395,4 @@ def hdbscan(
     return labels, facts
 
 
-__all__ = ["Window", "connected_components", "core_distances", "hdbscan", "knn_graph", "mutual_reachability_mst"]
+__all__ = ["connected_components", "core_distances", "hdbscan", "knn_graph", "mutual_reachability_mst"]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
-from .rank import before_cut, blocked_row_number, bucket_counts, rank_cuts
+from .rank import blocked_row_number, bucket_counts, rank_cuts
 
 SPLITS = ("train", "validation", "test", "new_data")
 
@@ -138,7 +138,6 @@ def cap_per_group(
 __all__ = [
     "SPLITS",
     "SplitFractions",
-    "before_cut",
     "cap_per_group",
     "exact_sample",
     "hash_key",

@@ -6,14 +6,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import cluster as cl
 from ..operators import grid as gd
 from ..operators import profile as pf
-from ..operators.classifier import prepare_training, train_tagger
+from ..operators.classifier import train_tagger
 from ..operators.embed import with_hashed_embedding
 from ..operators.responses import preview_180, preview_300_oneline, sample_text
 from ..operators.scale import Standardizer, feature_mode, fit_pca
@@ -562,8 +562,6 @@ def q_k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.cluster_report_lines(summary, terms, samples)
 
 
-__all__ = ["Window", "prepare_training"]
-
 
 # ----------------------------------------------------------------------------
 # M4 / M7 - neighbour graph and density clustering

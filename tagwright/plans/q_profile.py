@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile as pf
-from ..operators.responses import sample_text
 from ..session import read_table
 from . import derived as dv
 from . import sqltext as sq
@@ -157,5 +156,3 @@ def q_a8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(w).cast("int").alias("position"),
     )
 
-
-__all__ = ["sample_text"]

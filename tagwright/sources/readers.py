@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -366,4 +366,4 @@ def read_subcluster_sizes(spark: SparkSession, root: str) -> DataFrame:
     return out.orderBy("top_cluster", "subcluster")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"annotations", "Window"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]
