@@ -154,3 +154,17 @@ def run_header(spark, model: LinearTagModel, threshold: float) -> DataFrame:
         "algorithm string, svm_engine string, training_examples long, tag_count int, threshold double, "
         "support_vector_counts map<string,int>",
     )
+
+
+def prediction_records(classified: DataFrame, key_cols: Sequence[str], features: Sequence[str] | None = None) -> DataFrame:
+    """K8 record layout (D12): ``metadata`` map of the key columns,
+    ``response_preview``, ``predicted_tags``, ``top_tags`` and, when given,
+    ``feature_names`` / ``features``."""
+    meta = F.create_map(*[x for k in key_cols for x in (F.lit(k), F.col(k).cast("string"))])
+    cols = [meta.alias("metadata"), "response_preview", "predicted_tags", "top_tags"]
+    if features:
+        cols += [
+            F.array(*[F.lit(f) for f in features]).alias("feature_names"),
+            F.array(*[F.col(f).cast("double") for f in features]).alias("features"),
+        ]
+    return classified.select(*cols)

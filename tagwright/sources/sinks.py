@@ -55,6 +55,15 @@ def _py_fixed1(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None or x != x else f"{x:.1f}")
 
 
+def write_evaluation(parts: dict[str, DataFrame], path: str) -> None:
+    """K9: the evaluation as one JSON-lines table per part (overall, per_tag,
+    primary_confusion, confusion_pairs, ...) under ``path/<part>``.  Every
+    part is bounded by the tag vocabulary (or is a single row), so each is
+    written as one file."""
+    for name, df in parts.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+
+
 def pct(c) -> F.Column:
     """``{:.2%}`` formatting with Python's rounding (half-even on the exact
     binary value; Java's ``%.2f`` rounds the shortest decimal half-up).  Used

@@ -90,3 +90,30 @@ def test_embedding_split_and_subcluster_scan(spark):
     got = {(r["top_cluster"], r["cluster"]): r["n"] for r in scan.groupBy("top_cluster", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {(top, c // 5): n for (c, n) in ((r["cluster"], r["count"]) for r in cr.groupBy("cluster").count().collect()) for top in (1, 4) if c % 5 == top}
     assert got == want
+
+
+def test_prediction_records_and_evaluation_parts(spark):
+    import json
+
+    from tagwright.functions.text import CLASSIFIER_FEATURES, with_classifier_features
+    from tagwright.operators import evaluate as ev
+    from tagwright.operators.tagger import LinearTagModel, classify, prediction_records
+    from tagwright.plans import q_eval, q_text
+
+    out = _tmp(spark)
+    model = LinearTagModel(["a", "b"], [[0.5] + [0.0] * 19, [0.0, 1.0] + [0.0] * 18], [0.0, -1.0], [0.0] * 20, [1.0] * 20)
+    resp = with_classifier_features(q_text.marked_responses(spark, "/root/testdata/sf0.001"))
+    keys = ["source_split", "source_row", "response_index", "prompt_id"]
+    recs = prediction_records(classify(resp, model.scores(), -0.5, 5, 5), keys, CLASSIFIER_FEATURES)
+    sk.write_json_lines(recs, os.path.join(out, "preds"))
+    back = rd.read_prediction_lines(spark, os.path.join(out, "preds"))
+    assert back.count() == resp.count()
+    first = json.loads(open(sorted(glob.glob(os.path.join(out, "preds", "part-*.json")))[0]).readline())
+    assert set(first) == {"metadata", "response_preview", "predicted_tags", "top_tags", "feature_names", "features"}
+    assert len(first["features"]) == 20
+    m, preds = q_eval.matched(spark, "/root/testdata/sf0.001")
+    u = ev.universe_eval(m, preds)
+    parts = {"overall": ev.overall(m, u.count()), "per_tag": ev.per_tag(m, u), "confusion_pairs": ev.confusion_pairs(m)}
+    sk.write_evaluation(parts, os.path.join(out, "metrics"))
+    assert spark.read.json(os.path.join(out, "metrics", "overall")).count() == 1
+    assert spark.read.json(os.path.join(out, "metrics", "per_tag")).count() == u.count()
