@@ -157,10 +157,13 @@ def connected_components(
         prop = und.join(lab.withColumnRenamed("node", "src"), [*g, "src"]).select(*g, F.col("dst").alias("node"), "comp")
         new = lab.unionByName(prop).groupBy(*g, "node").agg(F.min("comp").alias("comp"))
         new = jump(jump(new))
-        new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("comp", "old"), [*g, "node"]).where(F.col("comp") != F.col("old")).limit(1).count()
+        # the round's table carries its own change flag, so convergence is a
+        # cheap scan of what was just written
+        new = new.join(lab.withColumnRenamed("comp", "old"), [*g, "node"]).withColumn("chg", F.col("comp") != F.col("old"))
+        new = cut_lineage(new.drop("old"))
+        changed = new.where("chg").limit(1).count()
         release(lab)
-        lab = new
+        lab = new.drop("chg")
         if not changed:
             break
     release(und)
