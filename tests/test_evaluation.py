@@ -103,3 +103,21 @@ def test_primary_for_labels(spark):
     df = spark.createDataFrame([(["b", "a"],), (["zz"],), (["a", "c"],)], "tags array<string>")
     col = ev.primary_for_labels(F.col("tags"), ["a", "b", "c"], {"a": 3, "b": 3, "c": 5})
     assert [r[0] for r in df.select(col).collect()] == ["a", "unlabeled", "c"]
+
+
+def test_sweep_helpers(spark):
+    rows = [(i, t, c, f) for i, (t, c, f) in enumerate([(0.0, 1, 0.5), (0.0, 2, 0.5), (0.5, 1, 0.25), (0.5, 2, 0.75)])]
+    res = spark.createDataFrame(rows, "setting_pos int, threshold double, max_tags int, micro_f1 double")
+    best = {r["threshold"]: r["max_tags"] for r in sw.best_per_threshold(res).collect()}
+    assert best == {0.0: 1, 0.5: 2}  # ties go to the smaller cap
+    with pytest.raises(ValueError):
+        sw.check_metric("accuracy")
+    assert sw.check_metric("macro_f1") == "macro_f1"
+    curve = [(r["max_tags"], r["threshold"]) for r in sw.f1_curves(res).collect()]
+    assert curve == [(1, 0.0), (1, 0.5), (2, 0.0), (2, 0.5)]
+
+
+def test_tags_to_inspect(spark):
+    pt = spark.createDataFrame([("a", 3, 0.5), ("b", 5, 0.1), ("c", 3, 0.9)], "tag string, support long, f1 double")
+    assert ev.tags_to_inspect(pt, None, 2) == ["b", "c"]
+    assert ev.tags_to_inspect(pt, ["z", "a", "b"], 2) == ["z", "a"]
