@@ -19,7 +19,7 @@ from ..functions.regex import LINE_BREAK, WS
 from ..functions.text import strip
 
 RESPONSE_FIELDS = ("response", "assistant_output")
-ITEM_SCHEMA = "response string, metadata map<string,string>, item_no long"
+ITEM_SCHEMA = "response string, metadata map<string,string>, item_file string, item_no long"
 
 
 class InputError(ValueError):
@@ -181,19 +181,24 @@ def _split_errors(parsed: DataFrame, strict: bool, what: str) -> tuple[DataFrame
     ok = parsed.where(F.col("item.kind").isin("string", "object"))
     bad = parsed.where(~F.col("item.kind").isin("string", "object"))
     if strict:
-        sample = bad.select("item_no", "item.kind").orderBy("item_no").limit(5).collect()
+        sample = bad.select("item_file", "item_no", "item.kind").orderBy("item_file", "item_no").limit(5).collect()
         if sample:
             raise InputError(f"{what}: unusable items {[(r['item_no'], r['kind']) for r in sample]}")
-    return ok.select("item.response", "item.metadata", "item_no"), bad
+    return ok.select("item.response", "item.metadata", "item_file", "item_no"), bad
 
 
 def read_jsonl_responses(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One item per non-blank line: a string, or an object with
     ``response`` (else ``assistant_output``); other fields become metadata.
     Line-parallel (``read.text``); the line number is kept per file."""
-    raw = spark.read.text(path).withColumn("__f", F.col("_metadata.file_path"))
-    raw = raw.withColumn("item_no", F.monotonically_increasing_id())
-    parsed = raw.where(F.col("value").rlike(f"[^{WS[1:-1]}]")).select("item_no", _items_from_json_text(F.col("value")).alias("item"))
+    # (item_file, item_no) is the file order: rows keep their offset order
+    # inside a file, and part files sort by name
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("item_file"), F.monotonically_increasing_id().alias("item_no")
+    )
+    parsed = raw.where(F.col("value").rlike(f"[^{WS[1:-1]}]")).select(
+        "item_file", "item_no", _items_from_json_text(F.col("value")).alias("item")
+    )
     ok, _ = _split_errors(parsed, strict, path)
     return ok
 
@@ -207,8 +212,8 @@ def read_json_list_responses(spark: SparkSession, path: str, strict: bool = True
     if strict and not whole.where(~F.coalesce(is_list, F.lit(False))).isEmpty():
         raise InputError(".json input must be a list of strings or objects")
     arr = F.from_json(F.col("value"), "array<variant>")
-    items = whole.where(is_list).select(F.posexplode(arr).alias("item_no", "x"))
-    parsed = items.select("item_no", _items_from_json_text(F.to_json("x")).alias("item"))
+    items = whole.where(is_list).select(F.col("_metadata.file_path").alias("item_file"), F.posexplode(arr).alias("item_no", "x"))
+    parsed = items.select("item_file", "item_no", _items_from_json_text(F.to_json("x")).alias("item"))
     ok, _ = _split_errors(parsed, strict, path)
     return ok
 
@@ -225,6 +230,7 @@ def read_parquet_responses(spark: SparkSession, path: str) -> DataFrame:
     return df.select(
         F.col("assistant_output").cast("string").alias("response"),
         meta.alias("metadata"),
+        F.col("_metadata.file_path").alias("item_file"),
         F.monotonically_increasing_id().alias("item_no"),
     )
 
@@ -234,8 +240,8 @@ def read_text_responses(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     parts = F.split(F.col("value"), f"\\n{WS}*\\n")
     return (
-        whole.select(F.posexplode(parts).alias("item_no", "part"))
-        .select(strip("part").alias("response"), F.create_map().cast("map<string,string>").alias("metadata"), "item_no")
+        whole.select(F.col("_metadata.file_path").alias("item_file"), F.posexplode(parts).alias("item_no", "part"))
+        .select(strip("part").alias("response"), F.create_map().cast("map<string,string>").alias("metadata"), "item_file", "item_no")
         .where(F.col("response") != "")
     )
 
@@ -246,13 +252,15 @@ def load_responses(
     """Inline responses first, then the file's, then an optional cap;
     an error when nothing is left."""
     first = spark.createDataFrame(
-        [(r, {}, i) for i, r in enumerate(inline)], "response string, metadata map<string,string>, item_no long"
+        [(r, {}, "", i) for i, r in enumerate(inline)],
+        "response string, metadata map<string,string>, item_file string, item_no long",
     ).withColumn("__src", F.lit(0))
     out = first
     if file_frame is not None:
-        out = out.unionByName(file_frame.withColumn("__src", F.lit(1)))
+        out = out.unionByName(file_frame.withColumn("__src", F.lit(1)), allowMissingColumns=True)
     if max_responses is not None:
-        out = out.orderBy("__src", "item_no").limit(max_responses)
+        # a cap is the feature here: the first max_responses in input order
+        out = out.orderBy("__src", "item_file", "item_no").limit(max_responses)
     if out.isEmpty():
         raise InputError("pass at least one response or an input file")
     return out.drop("__src")

@@ -166,3 +166,14 @@ def test_prediction_file_round_trip(spark, tmp):
     a = sorted((r["source_row"], tuple(r["predicted_tags"])) for r in back.collect())
     b = sorted((r["source_row"], tuple(r["predicted_tags"])) for r in want.collect())
     assert a == b and len(a) == 500
+
+
+def test_jsonl_multi_file_order_and_cap(spark, tmp):
+    d = os.path.join(tmp, "many")
+    os.makedirs(d)
+    with open(os.path.join(d, "part-a.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(f"a{i}") for i in range(3)) + "\n")
+    with open(os.path.join(d, "part-b.jsonl"), "w") as f:  # larger: Spark reads it first
+        f.write("\n".join(json.dumps("b" * 200 + str(i)) for i in range(500)) + "\n")
+    got = rd.load_responses(spark, ["inline"], rd.read_jsonl_responses(spark, d), max_responses=5)
+    assert [r["response"][:4] for r in got.collect()] == ["inli", "a0", "a1", "a2", "bbbb"]
