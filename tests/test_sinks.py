@@ -117,3 +117,12 @@ def test_prediction_records_and_evaluation_parts(spark):
     sk.write_evaluation(parts, os.path.join(out, "metrics"))
     assert spark.read.json(os.path.join(out, "metrics", "overall")).count() == 1
     assert spark.read.json(os.path.join(out, "metrics", "per_tag")).count() == u.count()
+
+
+def test_profile_approx_median_close_to_exact(spark):
+    cr = dv.clustered_responses(spark, "/root/testdata/sf0.01")
+    exact = {r["cluster"]: r["median_chars"] for r in pf.cluster_profile(cr).collect()}
+    approx = {r["cluster"]: r["median_chars"] for r in pf.cluster_profile(cr, approx_median=True).collect()}
+    assert exact.keys() == approx.keys()
+    for c in exact:
+        assert abs(exact[c] - approx[c]) <= 0.02 * exact[c] + 1
