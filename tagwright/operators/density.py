@@ -153,6 +153,7 @@ def connected_components(
         hop = df.join(look, [*g, "comp"], "left")
         return hop.select(*g, "node", F.least("comp", F.coalesce("comp2", "comp")).alias("comp"))
 
+    written = None  # the previous round's table, deleted once the next is written
     for r in range(1, max_rounds + 1):
         prop = und.join(lab.withColumnRenamed("node", "src"), [*g, "src"]).select(*g, F.col("dst").alias("node"), "comp")
         new = lab.unionByName(prop).groupBy(*g, "node").agg(F.min("comp").alias("comp"))
@@ -162,7 +163,8 @@ def connected_components(
         new = new.join(lab.withColumnRenamed("comp", "old"), [*g, "node"]).withColumn("chg", F.col("comp") != F.col("old"))
         new = cut_lineage(new.drop("old"))
         changed = new.where("chg").limit(1).count()
-        release(lab)
+        release(written)
+        written = new
         lab = new.drop("chg")
         if not changed:
             break

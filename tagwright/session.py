@@ -78,11 +78,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = posixpath.join(base, "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.parquet(path)
-    _WRITTEN[id(out)] = path
+    # keep the frame itself so its id cannot be reused while registered
+    _WRITTEN[id(out)] = (path, out)
     return out
 
 
-_WRITTEN: dict[int, str] = {}
+_WRITTEN: dict[int, tuple[str, DataFrame]] = {}
 
 
 def release(df: DataFrame | None) -> None:
@@ -91,9 +92,10 @@ def release(df: DataFrame | None) -> None:
     so nothing depends on the old one any more)."""
     if df is None:
         return
-    path = _WRITTEN.pop(id(df), None)
-    if path is None:
+    entry = _WRITTEN.get(id(df))
+    if entry is None or entry[1] is not df:
         return
+    path = _WRITTEN.pop(id(df))[0]
     jvm = df.sparkSession.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
