@@ -12,31 +12,36 @@ copy (less than a fifth of the page is not shared) says nothing about the
 template, and the next one is taken.  On pages without an article element, every line
 outside boilerplate is open, so there the alignment alone decides.
 
-Scale: pages are dealt out in ranges of (host, path) and sorted, so that a
-host that holds a third of all pages spreads over many tasks; a page at the
-edge of a range is paired inwards.  A task holds a few pages at a time.
+Scale: only outlines (a digest per line) are sorted and aligned; the pages are
+read a second time to write out the text.  Outlines are numbered in the order
+of (host, path) and cut into blocks of ``BLOCK`` pages plus the few next to its
+borders, so a host that holds a third of all pages is many blocks, and the
+pairing does not depend on how the pages were dealt out.
 
 Edge cases: null or empty html gives an empty text; a null URL counts as the
 empty one; pages alone on their host are judged by their markup; repeated rows
-are copies of each other and so never delete each other's lines; unclosed or
+are one page and share its result; unclosed or
 misnested tags close with their parent; tables may be empty and further
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 OPEN, PROSE, BOILERPLATE = 0, 1, 2
 NEIGHBOURS = 3
+BLOCK = 512
 _TABLE_BITS = 1 << 26
 
 _TOKEN = re.compile(
@@ -263,21 +268,23 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return {*range(lo), *range(x, len(a)), *(p[i] for i in _aligned([a[i] for i in p], q))}
 
 
-def page_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
-    """The lines left after differencing against the nearest page that is not
-    a copy; ``others``: neighbours, nearest first."""
-    mine = [t for t, _ in lines]
-    body = [i for i, (_, kind) in enumerate(lines) if kind != BOILERPLATE]
-    template: set[int] = set()
-    if any(kind == OPEN for _, kind in lines):
-        for other in others:
-            shared = shared_lines(mine, [t for t, _ in other])
-            size = sum(len(mine[i]) for i in body)
-            if 5 * sum(len(mine[i]) for i in body if i not in shared) < size:
-                continue
-            template = shared
-            break
-    return "\n".join(t for i, (t, kind) in enumerate(lines) if kind == PROSE or (kind == OPEN and i not in template))
+def template_lines(
+    lines: list[str], kinds: list[int], sizes: list[int], others: list[list[str]]
+) -> list[int]:
+    """Open lines shared with the nearest page that is not a copy; ``others``:
+    the neighbours' lines, nearest first."""
+    if OPEN not in kinds:
+        return []
+    body = [i for i, kind in enumerate(kinds) if kind != BOILERPLATE]
+    for other in others:
+        shared = shared_lines(lines, other)
+        if 5 * sum(sizes[i] for i in body if i not in shared) >= sum(sizes[i] for i in body):
+            return sorted(i for i in shared if kinds[i] == OPEN)
+    return []
+
+
+def page_text(lines: list[tuple[str, int]], template: set[int]) -> str:
+    return "\n".join(t for i, (t, kind) in enumerate(lines) if kind != BOILERPLATE and i not in template)
 
 
 def _prefix(a: str, b: str) -> int:
@@ -289,49 +296,98 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def _line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def page_outlines(rows: DataFrame) -> DataFrame:
+    """``key, host, path, page_id, hashes, kinds, sizes``: the lines of each
+    page as digests, their kinds and lengths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [read_lines(h) for h in b["html"]]
+            out = b[["key", "host", "path", "page_id"]].astype({"page_id": "Int64"})
+            out["hashes"] = [[_line_hash(t) for t, _ in lines] for lines in read]
+            out["kinds"] = [[k for _, k in lines] for lines in read]
+            out["sizes"] = [[len(t) for t, _ in lines] for lines in read]
+            yield out
+
+    schema = "key string, host string, path string, page_id long, hashes array<long>, kinds array<int>, sizes array<int>"
+    return rows.mapInPandas(run, schema).dropDuplicates(["key"])
+
+
+def template_of(outlines: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """``key, template``: the lines to delete, for pages that have any."""
+    order = ["host", "path", "page_id", "key"]
+    width = int(outlines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = (
+        outlines.repartitionByRange(width, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    )
+    placed = cut_lineage(placed)
+    # one row per range: where its pages begin in the whole order
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    begins = begins.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    at = F.col("begin") + F.col("place")
+    numbered = placed.join(F.broadcast(begins), "part").withColumn("at", at).withColumn("own", F.floor(at / block))
+    # a block also gets the pages next to its borders
+    blocks = F.array_distinct(F.array(F.floor((at - neighbours) / block), F.col("own"), F.floor((at + neighbours) / block)))
+    dealt = numbered.withColumn("block", F.explode(blocks)).drop("part", "place", "begin", "page_id")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pages = group.sort_values("at").to_dict("records")
+        out = []
+        for i, me in enumerate(pages):
+            if me["own"] != me["block"] or OPEN not in me["kinds"]:
+                continue
+            near = sorted(
+                (-_prefix(me["path"], pages[j]["path"]), abs(j - i), j)
+                for j in range(max(0, i - neighbours), min(len(pages), i + neighbours + 1))
+                if j != i and pages[j]["host"] == me["host"]
+            )
+            found = template_lines(
+                list(me["hashes"]), list(me["kinds"]), list(me["sizes"]), [list(pages[j]["hashes"]) for _, _, j in near]
+            )
+            if found:
+                out.append((me["key"], found))
+        return pd.DataFrame(out, columns=["key", "template"])
+
+    return dealt.groupBy("block").applyInPandas(run, "key string, template array<int>")
+
+
 def extract_pages(
     pages: DataFrame, neighbours: int = NEIGHBOURS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """``page_id, url, text`` of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque = deque()  # (page_id, url, host, path, lines)
-        state = {"next": 0}  # position in held of the next page to finish
-
-        def finish(last: bool) -> Iterator[tuple]:
-            while state["next"] < len(held) and (last or state["next"] + neighbours < len(held)):
-                k = state["next"]
-                me = held[k]
-                near = []
-                for j in range(max(0, k - neighbours), min(len(held), k + neighbours + 1)):
-                    if j != k and held[j][2] == me[2]:
-                        near.append((-_prefix(me[3], held[j][3]), abs(j - k), j))
-                yield me[0], me[1], page_text(me[4], [held[j][4] for _, _, j in sorted(near)])
-                state["next"] += 1
-                while state["next"] > neighbours:
-                    held.popleft()
-                    state["next"] -= 1
-
         for b in batches:
-            rows = []
-            for row in zip(b["page_id"], b["url"], b["host"], b["path"], b["html"]):
-                held.append((*row[:4], read_lines(row[4])))
-                rows += finish(False)
-            yield pd.DataFrame(rows, columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
-        yield pd.DataFrame(list(finish(True)), columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
+            out = b[["page_id", "url"]].astype({"page_id": "Int64"})
+            out["text"] = [
+                page_text(read_lines(h), set() if t is None else set(t)) for h, t in zip(b["html"], b["template"])
+            ]
+            yield out
 
     url = F.coalesce(F.col(url_col), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    page_id = F.col(id_col).cast("long")
+    html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        page_id.alias("page_id"), F.col(url_col).alias("url"),
+        F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
+        html.alias("html"),
+        F.md5(F.concat_ws("\x01", F.coalesce(page_id.cast("string"), F.lit("")), url, html).cast("binary")).alias("key"),
+    )
+    template = cut_lineage(template_of(page_outlines(rows), neighbours))
+    return (
+        rows.select("page_id", "url", "html", "key").join(template, "key", "left")
+        .select("page_id", "url", "html", "template")
+        .mapInPandas(run, "page_id long, url string, text string")
     )
-    order = ["host", "path", "page_id"]
-    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    # ties (repeated rows) are spread by a hash of the page
-    dealt = rows.withColumn("tie", F.xxhash64("html")).repartitionByRange(max(width, pages.rdd.getNumPartitions()), *order, "tie")
-    return dealt.sortWithinPartitions(*order, "tie").mapInPandas(run, "page_id long, url string, text string")
 
 
 def html_text_query(pages: DataFrame) -> DataFrame:
