@@ -12,11 +12,11 @@ contexts on, so that copies of one passage are one observation.
 
 Scale: one pass finds the spans and keeps the text only of documents with a
 mention.  Pairs are aggregated with map-side sums; document frequencies are
-counted over all documents, for the terms that are still candidates.  Nothing
+summed over all documents, and only the sums are joined to the candidates.  Nothing
 is collected; a hot entity or term is summed in partial aggregates.
 
-Edge cases: null text is empty; repeated rows are rows of their own in the
-result and one document in the statistics if they share an id; ties in start
+Edge cases: null text is empty; repeated rows are documents of their own (their
+contexts are one, see above); ties in start
 go by kind as listed below; empty tables give empty tables; further columns
 are ignored by the query.
 """
@@ -142,24 +142,24 @@ def disclosing_terms(
     docs: DataFrame, found: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS
 ) -> DataFrame:
     """``entity, term, pmi, ic`` of the pairs over the threshold."""
-    seen = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.entity", "m.context", "m.terms")
+    seen = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", "m.context", "m.terms")
     pairs = (
-        seen.select("doc_id", "entity", "context", F.explode("terms").alias("term"))
+        seen.select("row", "entity", "context", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_both"))
+        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both"))
         .where(F.col("contexts") >= min_contexts)
     )
     pairs = cut_lineage(pairs)
-    n_entity = seen.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_entity"))
+    n_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0))
+    # summed per task before anything moves; only then joined to the candidates
     n_term = (
         docs.where(F.col("text").isNotNull())
-        .select("doc_id", F.explode(F.array_distinct(letters)).alias("term"))
-        .join(pairs.select("term").distinct(), "term", "left_semi")
+        .select(F.explode(F.array_distinct(letters)).alias("term"))
         .groupBy("term")
-        .agg(F.count_distinct("doc_id").alias("n_term"))
+        .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    total = docs.agg(F.count_distinct("doc_id").alias("total"))
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
     scored = (
         pairs.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(total))  # one row
         .withColumn("ic", F.log2(F.col("total") / F.col("n_entity")))
