@@ -26,6 +26,7 @@ from .common import LOWER, UPPER, WS, ascii_lower, cut_lineage, strip_ws
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+SALTS = 32
 
 
 def _lines(text: Column) -> Column:
@@ -58,8 +59,10 @@ def dedup_lines(
         .where(F.col("n") >= min_docs)
         .select("key", "keeper")
     )
+    # a key that a third of all documents hold is dealt out over SALTS tasks
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     drops = (
-        held.join(shared, "key")
+        salted.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
         .where(F.col("id") != F.col("keeper"))
         .groupBy("id")
         .agg(F.collect_set("key").alias("__drop"))
