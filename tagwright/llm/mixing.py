@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 32
 PERIOD = 4_096
 TEMPERATURE = 0.5
-RANGE_ROWS = 10_000
+RANGE_ROWS = 1_000
 #: (source, hash range) pairs whose offsets are broadcast; beyond, they are joined
 BROADCAST_RANGES = 200_000
 COLUMNS = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
