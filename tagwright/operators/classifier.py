@@ -226,6 +226,8 @@ def train_tagger(
     train, scaler, cw, pos = prepare_training(labelled, classes, features, tags_col)
     train = cut_lineage(train)
     n = int(train.count())
+    if n == 0 or not classes:
+        raise ValueError("there are no training responses with tags")
     d = len(features)
     const = [p == n or p == 0 for p in pos]
     fit_idx = [k for k in range(len(classes)) if not const[k]]
@@ -243,9 +245,8 @@ def train_tagger(
         for i, k in enumerate(fit_idx):
             weights[k] = w[i]
     intercepts = [1.0 if pos[k] == n and const[k] else float(weights[k, d]) for k in range(len(classes))]
-    if svc_counts is not None:
-        for k in range(len(classes)):
-            svc_counts.setdefault(classes[k], 0)
+    if any(const):  # a constant scorer has no support vectors to count, so the run reports none at all
+        svc_counts = None
     release(train)
     release(labelled)
     return LinearTagModel(

@@ -125,7 +125,7 @@ def core_distances(df: DataFrame, id_col: str, vec_col: str, min_samples: int, b
     counted first (distance 0)."""
     cands = knn_candidates(df, id_col, vec_col, min_samples, "euclidean", block_size)
     return cands.groupBy("id").agg(
-        F.element_at(F.array_sort(F.collect_list("dist")), F.lit(min_samples)).alias("core")
+        F.element_at(F.array_sort(F.collect_list("dist")), F.least(F.lit(min_samples), F.count(F.lit(1)).cast("int"))).alias("core")
     )
 
 
@@ -168,6 +168,8 @@ def connected_components(
         lab = new.drop("chg")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     release(und)
     return lab
 

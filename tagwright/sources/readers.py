@@ -91,7 +91,12 @@ def filter_to_prior_cluster(
     require_columns(prior, ["cluster", *keys], "prior clustering")
     require_columns(df, list(keys), "responses")
     sel = prior.where(F.col("cluster") == cluster).select(*keys)
-    return df.join(sel, list(keys), "left_semi")
+    if sel.isEmpty():
+        raise InputError(f"the prior clustering has no rows in cluster {cluster}")
+    out = df.join(sel, list(keys), "left_semi")
+    if out.isEmpty():
+        raise InputError(f"no response matches a row of cluster {cluster}")
+    return out
 
 
 def subcluster_training_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -289,7 +294,24 @@ def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     # file order: part files in name order, rows in offset order inside each
     # (chunks of one file land in consecutive partitions, so the id grows)
     pos = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    df = spark.read.schema(PREDICTION_RESULT).json(path).withColumn("pos", pos)
+    df = spark.read.schema(PREDICTION_RESULT).option("mode", "FAILFAST").json(path).withColumn("pos", pos)
+    if df.where(F.col("metadata").isNotNull()).isEmpty() and not df.isEmpty():
+        raise InputError(f"{path} holds no prediction lines (a single document is read by read_prediction_document)")
+    return _prediction_rows(df)
+
+
+def read_prediction_document(spark: SparkSession, path: str) -> DataFrame:
+    """S13 input side: one document ``{..., "results": [...]}`` per file; the
+    position is the file and the place in its list."""
+    schema = T.StructType([T.StructField("results", T.ArrayType(PREDICTION_RESULT))])
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if not docs.where(F.col("results").isNull()).isEmpty():
+        raise InputError(f"{path} has no list of results")
+    rows = docs.select(F.col("_metadata.file_path").alias("file"), F.posexplode("results").alias("row", "r"))
+    return _prediction_rows(rows.select("r.*", F.struct("file", F.col("row").cast("long").alias("row")).alias("pos")))
+
+
+def _prediction_rows(df: DataFrame) -> DataFrame:
     m = F.col("metadata")
     return df.select(
         m["source_split"].alias("source_split"),
@@ -348,18 +370,20 @@ def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(df, ["threshold", "max_tags", "micro_f1", "macro_f1", "mean_jaccard"], path)
 
 
-def read_cluster_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A cluster summary (list of records), required ``cluster`` and
-    ``members``, sorted by cluster."""
-    df = spark.read.option("multiLine", True).json(path) if path.endswith(".json") else spark.read.json(path)
+def read_cluster_summary(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """A cluster summary, required ``cluster`` and ``members``, sorted by
+    cluster: JSON lines, or with ``document`` one list of records per file
+    (which may run over several lines)."""
+    df = spark.read.option("multiLine", document).option("mode", "FAILFAST").json(path)
     return require_columns(df, ["cluster", "members"], path).orderBy("cluster")
 
 
-def read_subcluster_sizes(spark: SparkSession, root: str) -> DataFrame:
+def read_subcluster_sizes(spark: SparkSession, root: str, document: bool = False) -> DataFrame:
     """Every ``cluster_<N>/cluster_summary`` under ``root``; the parent
     id comes from the folder name (other folders are skipped), label
     ``"N.M"``, a missing fraction becomes 0.0."""
-    df = spark.read.json(f"{root.rstrip('/')}/cluster_*/cluster_summary*")
+    reader = spark.read.option("multiLine", document).option("mode", "FAILFAST")
+    df = reader.json(f"{root.rstrip('/')}/cluster_*/cluster_summary{{,.json,.jsonl}}")
     top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/cluster_summary[^/]*(/[^/]+)?$", 1)
     frac = F.col("fraction").cast("double") if "fraction" in df.columns else F.lit(None).cast("double")
     out = df.select(
