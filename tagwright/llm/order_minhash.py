@@ -17,14 +17,13 @@ then lie further than ``(a + b) (1 - t) / (1 + t)`` off the diagonal, which is
 the band.  Groups are the connected components of the links.
 
 Scale.  Texts with equal words are one class, and only classes are compared.
-In a bucket every class is first compared with a leader, in several rounds of
-different leaders, which joins a group of thousands of copies with one
-comparison each; then the groups still apart in some bucket are compared with
-each other, class by class: block against block, where a product of incidence
-matrices counts the shared shingles of all pairs and only pairs that share
-enough are aligned.  So no link that joins two groups is missed among the
+In a bucket every class is first compared with a few leaders, which joins a
+group of thousands of copies with few comparisons each; then the groups still
+apart in some bucket are compared with each other, class by class: block
+against block, where a product of incidence matrices counts the shared
+shingles of all pairs and only pairs that share enough are aligned.  So no link that joins two groups is missed among the
 candidates, and no group is written out in pairs.  Buckets are
-spread by join keys, never collected.  Rounds are written tables.
+spread by join keys, never collected.  Every step is a written table.
 
 Edge cases: null texts and texts without a word are nobody's copy (a class of
 their own); a row without an id gets null class and group; repeated rows are
@@ -226,11 +225,10 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(large)
         release(edges)
         edges, after = small, mark(small)
         if after == before:
@@ -250,47 +248,43 @@ def near_duplicates(
     """``id_col, class_id, group_id`` of every row: the smallest id with the
     same words, and the smallest id in the connected group."""
     sketched = cut_lineage(sketch_documents(docs, id_col, text_col))
+    worded = sketched.where(F.col("cls").isNotNull())
     classes = (
-        sketched.where(F.col("cls").isNotNull() & F.col("id").isNotNull())
+        worded.where(F.col("id").isNotNull())
         .groupBy("cls")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"))
     )
-    entries = cut_lineage(classes.select("cls", "rep", "n", F.explode("entries").alias("h")))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    entries = classes.select("cls", "rep", "n", F.explode("entries").alias("h"))
+    # the leaders of a bucket: the classes whose hashes with the leader's number are smallest
+    leads = [
+        F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("x"), F.col("cls").alias("leader"), F.col("n").alias("ln")))
+        for r in range(leader_rounds)
+    ]
+    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.array(*leads).alias("leaders")).where("k > 1")
     members = cut_lineage(entries.join(shared, "h"))
     sequences = cut_lineage(_sequences(docs, members.select("cls", "rep").distinct(), id_col, text_col))
 
-    def fits(a: str, b: str):
-        return F.least(a, b) >= threshold * F.greatest(a, b)
-
-    compared = None
-    links = None
-    apart = members.select("h", "cls", "n")
-    for r in range(leader_rounds):
-        # another leader in every round: the class whose hash with the round's number is smallest
-        lead = F.struct(F.xxhash64("cls", F.lit(r)).alias("x"), F.col("cls").alias("leader"), F.col("n").alias("ln"))
-        leaders = apart.groupBy("h").agg(F.min(lead).alias("l")).select("h", "l.leader", "l.ln")
-        pairs = (
-            apart.join(leaders, "h")
-            .where((F.col("cls") != F.col("leader")) & fits("n", "ln"))
-            .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-            .distinct()
-        )
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        found = _verified(pairs, sequences, threshold)
-        links = cut_lineage(found if links is None else links.unionByName(found))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        roots = components(links)
-        apart = _apart(members, roots)
-    links = cut_lineage(links.unionByName(_across(apart, sequences, threshold)))
-    roots = components(links)
-    grouped = sketched.select("id", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "cls"))
-    class_ids = grouped.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("class_id"))
-    group_ids = grouped.where("cls IS NOT NULL").groupBy("root").agg(F.min("id").alias("group_id"))
-    out = grouped.join(class_ids, "cls", "left").join(group_ids, "root", "left")
+    pairs = (
+        members.select("cls", "n", F.explode("leaders").alias("l"))
+        .select("cls", "n", "l.leader", "l.ln")
+        .where((F.col("cls") != F.col("leader")) & (F.least("n", "ln") >= threshold * F.greatest("n", "ln")))
+        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+        .distinct()
+    )
+    links = cut_lineage(_verified(pairs, sequences, threshold))
+    first = components(links)
+    across = cut_lineage(_across(_apart(members, first), sequences, threshold))
+    second = components(across)
+    grouped = (
+        worded.groupBy("cls")
+        .agg(F.min("id").alias("class_id"))
+        .join(first.select(F.col("node").alias("cls"), F.col("root").alias("r1")), "cls", "left")
+        .withColumn("r1", F.coalesce("r1", "cls"))
+        .join(second.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
+        .select("cls", "class_id", F.coalesce("r2", "r1").alias("root"))
+    )
+    group_ids = grouped.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    out = sketched.select("id", "cls").join(grouped.join(group_ids, "root").select("cls", "class_id", "group_id"), "cls", "left")
     alone = F.col("cls").isNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -318,8 +312,8 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def block_links(left: list[tuple], right: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes, float]]:
-    """Links between classes of different groups of two blocks of
-    ``(cls, root, seq)``; a pair whose groups a link of this call has joined
+    """Links between the groups of two blocks of ``(cls, root, seq)``, each
+    by two classes of them; a pair whose groups a link of this call has joined
     already is skipped."""
     joined: dict[bytes, bytes] = {}
 
@@ -333,14 +327,14 @@ def block_links(left: list[tuple], right: list[tuple], threshold: float) -> Iter
     b = np.array([len(s) for _, _, s in right])
     need = threshold * (a[:, None] + b[None, :]) / (1 + threshold)
     for i, j in zip(*np.nonzero(counts >= need - 1e-6)):
-        (x, rx, sx), (y, ry, sy) = left[i], right[j]
+        (_, rx, sx), (_, ry, sy) = left[i], right[j]
         if rx != ry and (p := root(rx)) != (q := root(ry)) and (sim := alignment(sx, sy, threshold)) >= threshold - 1e-12:
             joined[max(p, q)] = min(p, q)
-            yield min(x, y), max(x, y), sim
+            yield min(rx, ry), max(rx, ry), sim
 
 
 def _across(apart: DataFrame, sequences: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links between different groups in the same bucket."""
+    """Links ``a, b`` between the groups (by their roots) that share a bucket."""
     sizes = apart.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cells = cut_lineage(
         apart.join(sizes, "h")
@@ -364,11 +358,13 @@ def _across(apart: DataFrame, sequences: DataFrame, threshold: float, block: int
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their group so far, in buckets that hold several groups."""
-    known = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "h", "cls", "n", F.coalesce("root", "cls").alias("root")
+    """Members with their group so far, in buckets that hold several groups.
+    In a bucket of two classes the leader has met the other one already."""
+    known = (
+        members.where("k > 2")
+        .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        .select("h", "cls", F.coalesce("root", "cls").alias("root"))
     )
-    known = cut_lineage(known)
     several = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
     return cut_lineage(known.join(several, "h"))
 
