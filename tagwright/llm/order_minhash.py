@@ -255,17 +255,20 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"))
     )
     entries = classes.select("cls", "rep", "n", F.explode("entries").alias("h"))
+    # counted alone: most buckets hold one class, and then only their hash and count are shuffled
+    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = cut_lineage(entries.join(shared, "h"))
+    sequences = cut_lineage(_sequences(docs, members.select("cls", "rep").distinct(), id_col, text_col))
+
     # the leaders of a bucket: the classes whose hashes with the leader's number are smallest
     leads = [
         F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("x"), F.col("cls").alias("leader"), F.col("n").alias("ln")))
         for r in range(leader_rounds)
     ]
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.array(*leads).alias("leaders")).where("k > 1")
-    members = cut_lineage(entries.join(shared, "h"))
-    sequences = cut_lineage(_sequences(docs, members.select("cls", "rep").distinct(), id_col, text_col))
-
+    leaders = members.groupBy("h").agg(F.array(*leads).alias("leaders"))
     pairs = (
-        members.select("cls", "n", F.explode("leaders").alias("l"))
+        members.join(leaders, "h")
+        .select("cls", "n", F.explode("leaders").alias("l"))
         .select("cls", "n", "l.leader", "l.ln")
         .where((F.col("cls") != F.col("leader")) & (F.least("n", "ln") >= threshold * F.greatest("n", "ln")))
         .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
