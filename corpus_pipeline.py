@@ -51,15 +51,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
+    """All documents, written in the order of the mix (a file holds a range of it)."""
     prepare(spark)
     return in_order(mix(docs)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences, in the order of the mix."""
+    """Pieces of all documents in training sequences, in the order of the mix.
+    Files are read largest first, so the order is worked out again rather than
+    taken from the reading: it follows from ids and sources alone."""
     prepare(spark)
-    return pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"), order_col=None)
+    mixed = mix(docs).select("doc_id", "text", "mix_position")
+    return pack(mixed, tokenizer_path("byte_bpe_50k.tiktoken"), order_col="mix_position")
 
 
 STAGES = [
