@@ -9,11 +9,11 @@ each source is less than one block away from its target share, as long as it
 has blocks.  A source that has run out leaves its slots empty and the others
 keep their proportions; no document is dropped or repeated.
 
-Weights are rounded to multiples of ``1 / period`` (largest remainder, at least
-one slot each), and the schedule repeats after ``period`` slots.  So the
-earliest-deadline-first order is worked out once for a period of bounded
-length, broadcast, and every block finds its slot by arithmetic: blocks are
-never scheduled one after the other on one machine.
+Weights are exact integer ratios, never rounded.  The earliest-deadline-first
+order is worked out from the block counts alone, a heap entry per source: one
+task reads them and streams out one row per block (a 32nd of the rows), to
+which the rows are joined.  Blocks that a source does not have take no slot, so
+the work does not grow with the empty slots of sources that ran out.
 
 Without given weights the target is ``count ** temperature``, normalised.
 
@@ -22,8 +22,9 @@ third of all rows spreads over many tasks; range sizes are prefix-summed.
 
 Edge cases: a null source is a source of its own; rows without an id are
 ordered by their reading position; repeated rows are rows like any other;
-sources without a given weight raise an error, as do more sources than slots;
-an empty table gives an empty result; columns named like the operator's are
+sources without a given weight raise an error; ``period`` asks for weights
+rounded to multiples of ``1 / period``, and then more sources than slots raise
+one too; an empty table gives an empty result; columns named like the operator's are
 replaced.
 """
 
@@ -31,16 +32,23 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 BLOCK_ROWS = 32
 PERIOD = 4_096
 TEMPERATURE = 0.5
 RANGE_ROWS = 1_000
 #: (source, hash range) pairs whose offsets are broadcast; beyond, they are joined
 BROADCAST_RANGES = 200_000
+#: blocks whose slots are broadcast; beyond, they are joined
+BROADCAST_BLOCKS = 200_000
 COLUMNS = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
 
 
@@ -64,25 +72,60 @@ def whole_slots(weights: dict[str, float], period: int = PERIOD) -> dict[str, in
     return slots
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``(source, block of the period, slot, release, deadline)`` of one
-    period, by earliest deadline first."""
-    period = sum(slots.values())
-    waiting = [(0, k, 0) for k in sorted(slots)]
+def whole_ratios(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the ratios of the weights."""
+    if not all(w > 0 and math.isfinite(w) for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    pairs = {k: w.as_integer_ratio() for k, w in weights.items()}
+    scale = math.lcm(*[d for _, d in pairs.values()]) if pairs else 1
+    whole = {k: n * (scale // d) for k, (n, d) in pairs.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {k: n // common for k, n in whole.items()}
+
+
+def block_slots(ratios: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """``(source, block, slot, release, deadline)`` of all blocks, by earliest
+    deadline first; slots in which no block is ready stay empty."""
+    total = sum(ratios.values())
+    waiting = [(0, k, 0) for k in sorted(ratios) if blocks[k]]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for t in range(period):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             release, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[k]), release, k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // ratios[k]), release, k, j))
         deadline, release, k, j = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
-        out.append((k, j, t, release, deadline))
-        if j + 1 < slots[k]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[k], k, j + 1))
-    return out
+        yield k, j, t, release, deadline
+        if j + 1 < blocks[k]:
+            heapq.heappush(waiting, ((j + 1) * total // ratios[k], k, j + 1))
+        t += 1
+
+
+def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The blocks of one period of ``sum(slots)`` slots."""
+    return list(block_slots(slots, slots))
+
+
+_SLOTS = "__src string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
+
+
+def slot_table(spark: SparkSession, ratios: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """One row per block; written where it is too large to be broadcast."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                rows = block_slots(ratios, blocks)
+                while part := list(islice(rows, 50_000)):
+                    yield pd.DataFrame(part, columns=[f.split()[0] for f in _SLOTS.split(", ")])
+
+    table = spark.range(0, 1, 1, 1).mapInPandas(run, _SLOTS)
+    return F.broadcast(table) if sum(blocks.values()) <= BROADCAST_BLOCKS else cut_lineage(table)
 
 
 def source_key(col: str):
@@ -95,7 +138,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """``docs`` with ``mix_block`` (of its source), ``mix_slot``,
@@ -103,7 +146,7 @@ def mix(
     spark = docs.sparkSession
     docs = docs.drop(*COLUMNS)
     keyed = docs.withColumn("__src", source_key(source_col))
-    counts = {r["__src"]: r["count"] for r in keyed.groupBy("__src").count().limit(period + 1).collect()}
+    counts = {r["__src"]: r["count"] for r in keyed.groupBy("__src").count().collect()}
     if weights is None:
         target = {k: float(n) ** temperature for k, n in counts.items()}
     else:
@@ -111,14 +154,8 @@ def mix(
         if missing := sorted(set(counts) - set(given)):
             raise ValueError(f"no weight for sources {missing[:5]}")
         target = {k: given[k] for k in counts}
-    slots = whole_slots(target, period)
-    n_slots = sum(slots.values()) or 1
-    template = F.broadcast(
-        spark.createDataFrame(
-            [(k, slots[k], *rest) for k, *rest in schedule(slots)],
-            "__src string, __per long, __j long, __at long, __rel long, __due long",
-        )
-    )  # one period
+    ratios = whole_ratios({k: float(w) for k, w in target.items()}) if period is None else whole_slots(target, period)
+    slots = slot_table(spark, ratios, {k: -(-n // block_rows) for k, n in counts.items()})
     # number the rows of a source in hash order
     ranges = max(1, -(-max(counts.values(), default=0) // RANGE_ROWS))
     row = F.monotonically_increasing_id()
@@ -136,18 +173,9 @@ def mix(
     if ranges * len(counts) <= BROADCAST_RANGES:
         offsets = F.broadcast(offsets)
     numbered = numbered.join(offsets, ["__src", "__range"]).withColumn("__n", (F.col("__n") + F.col("__off")).cast("long"))
-    per = F.element_at(
-        F.create_map(*[x for k, n in slots.items() for x in (F.lit(k), F.lit(n))]) if slots else F.create_map(F.lit(""), F.lit(1)),
-        F.col("__src"),
-    )
     numbered = (
         numbered.withColumn("mix_block", F.floor(F.col("__n") / block_rows))
-        .withColumn("__j", F.pmod(F.col("mix_block"), per))
-        .join(template, ["__src", "__j"])
-        .withColumn("__start", F.floor(F.col("mix_block") / F.col("__per")) * n_slots)
-        .withColumn("mix_slot", F.col("__start") + F.col("__at"))
-        .withColumn("mix_release", F.col("__start") + F.col("__rel"))
-        .withColumn("mix_deadline", F.col("__start") + F.col("__due"))
+        .join(slots, ["__src", "mix_block"])
         .withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod(F.col("__n"), F.lit(block_rows)))
     )
     return numbered.select(*docs.columns, *COLUMNS)

@@ -34,3 +34,35 @@ def test_packing_follows_the_mix_over_files_of_unequal_size(ready):
     got = [r["doc_id"] for r in packed.orderBy("sequence_id").collect()]
     want = [r["doc_id"] for r in mix(docs).orderBy("mix_position").collect()]
     assert got == want
+
+
+def test_weights_hold_at_any_length(ready):
+    from tagwright.llm.mixing import mix
+
+    rows = [(i, "t", "en", "abc"[i % 3]) for i in range(15_000)] + [(20_000 + i, "t", "en", "rare") for i in range(3)]
+    weights = {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "rare": 1e-4}
+    out = mix(ready.createDataFrame(rows, SCHEMA), weights, block_rows=1).select("source", "mix_slot").collect()
+    total, seen = sum(weights.values()), Counter()
+    for n, r in enumerate(sorted(out, key=lambda r: r["mix_slot"])[:14_900], 1):
+        assert r["mix_slot"] == n - 1
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - w / total * n) < 1 for s, w in weights.items())
+    assert len(out) == len(rows)
+
+
+def test_more_sources_than_slots_of_a_period(ready):
+    from tagwright.llm.mixing import mix
+
+    rows = [(i, "t", "en", f"s{i % 4_200}") for i in range(4_300)]
+    out = mix(ready.createDataFrame(rows, SCHEMA)).select("doc_id", "mix_slot", "mix_position").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(4_300))
+    assert len({r["mix_position"] for r in out}) == 4_300 and len({r["mix_slot"] for r in out}) == 4_200
+
+
+def test_large_slot_tables_are_joined(ready, monkeypatch):
+    from tagwright.llm import mixing
+
+    docs = ready.createDataFrame([(i, "t", "en", "abc"[i % 7 % 3]) for i in range(900)], SCHEMA)
+    small = {tuple(r) for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert {tuple(r) for r in mixing.mix(docs).collect()} == small
