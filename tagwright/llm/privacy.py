@@ -5,28 +5,35 @@ term (a word of three letters or more near a mention) discloses an entity
 ``e`` as far as the corpus says so: with documents as events,
 ``PMI(e; t) = log2 p(e, t) / (p(e) p(t))`` bits of the entity's information
 content ``IC(e) = -log2 p(e)`` are revealed by the term.  Terms with
-``PMI >= alpha * IC`` are marked wherever they stand in a document that
-mentions the entity, and are generalised with it in the sanitised text.  An
-estimate needs evidence: a pair counts from ``min_contexts`` different
-contexts on, so that copies of one passage are one observation.
-
-Scale: one pass finds the spans and keeps the text only of documents with a
-mention.  Pairs are aggregated with map-side sums; document frequencies are
-summed over all documents, and only the sums are joined to the candidates.  Nothing
-is collected; a hot entity or term is summed in partial aggregates.
-
-Edge cases: null text is empty; repeated rows are documents of their own (their
-contexts are one, see above); ties in start
+``PMI >= alpha * IC`` are marked in the documents that mention the entity, and
+are generalised with it in the sanitised text.  Whole documents are counted,
+and equal texts are one document.  Weak evidence is smoothed, not left out:
+``p(e | t) = (n(e, t) + EVIDENCE p(e)) / (n(t) + EVIDENCE)``, so an entity seen
+once discloses through words seen about as rarely, in a corpus large enough.
+
+Scale: digests tell copies apart, and texts move once, to the terms marked in
+them.  Document frequencies are summed per batch; only terms of texts that may
+be copies (a bitmap of fixed size lets some others through) are kept apart by
+digest.  Terms too frequent for every entity of a document go before pairs
+are made.  Frequent terms are joined by broadcast (at most ``HOT_SHARE`` times the
+terms of an average document), the others by term.  Nothing but
+the bitmap is collected.
+
+Edge cases: null text is empty; repeated rows are
+rows of their own and one document of the counts; an entity of every document
+has no information to disclose; ties in start
 go by kind as listed below; empty tables give empty tables; further columns
 are ignored by the query.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +41,13 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW_WORDS = 10
-MIN_CONTEXTS = 3
 ALPHA = 0.9
+#: documents that independence is worth in an estimate
+EVIDENCE = 0.5
+#: a term of more than one in so many documents is frequent
+HOT_SHARE = 1_000
+#: bits of the bitmap of digests
+BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,122 +110,145 @@ def _entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[k]}:{value}"
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]], window: int) -> list[dict]:
-    """Entity, terms around the mention and a digest of that context."""
-    out = []
-    for a, k, b in spans:
-        reach = 40 * window  # code points to look at on either side
-        left = [m.group().lower() for m in _TERM.finditer(text, max(0, a - reach), a)][-window:]
-        right = [m.group().lower() for m in _TERM.finditer(text, b, min(len(text), b + reach))][:window]
-        context = hashlib.blake2b("\x1f".join([*left, "", *right]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        out.append({"entity": _entity(text, (a, k, b)), "context": context, "terms": sorted(set(left + right))})
-    return out
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Distinct terms outside the base spans."""
+    if not spans:
+        return {t.lower() for t in set(_TERM.findall(text))}
+    return {text[a:b].lower() for a, b in term_places(text, spans)}
+
+
+def term_places(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Terms that overlap no base span (in order of their start)."""
+    at, reach = 0, 0  # spans that start before the term's end, and how far they reach
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m.span()
+
+
+def bitmap(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits of the keys' checksums, in words of 64."""
+    h = F.pmod(F.crc32(col), F.lit(BITS))
+    words = keys.select(h.alias("h")).groupBy((F.col("h") / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("word")
+    )
+    out = np.zeros(BITS // 64, dtype=np.int64)
+    for r in words.collect():
+        out[r["at"]] = r["word"]
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, key: bytes) -> bool:
+    h = zlib.crc32(key) % BITS
+    return bool(int(bits[h >> 6]) >> (h & 63) & 1)
 
 
-_FOUND = (
-    "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, text string, "
-    "mentions array<struct<entity:string,context:string,terms:array<string>>>"
-)
+def document_rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
 
 
-def find_base(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """One row per document row; the text is kept where there are spans."""
+def find_mentions(rows: DataFrame) -> DataFrame:
+    """``digest, entities, terms`` of the distinct texts with a mention."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for row, doc, text in zip(b["row"], b["doc_id"], b["text"]):
-                spans = base_spans(text)
-                n = [sum(1 for s in spans if s[1] == k) for k in range(4)]
-                kept = (text, mentions(text, spans, window)) if spans else (None, [])
-                rows.append((row, doc, *n, joined(spans), *kept))
-            names = [f.split()[0] for f in "row doc_id n_email n_ip n_card n_phone base_spans text mentions".split()]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    return rows.mapInPandas(run, _FOUND)
+            out = {}
+            for digest, text in zip(b["digest"], b["text"]):
+                if digest not in out and (spans := base_spans(text)):
+                    out[digest] = (digest, sorted({_entity(text, s) for s in spans}), sorted(terms_of(text, spans)))
+            yield pd.DataFrame(list(out.values()), columns=["digest", "entities", "terms"])
+
+    found = rows.select("digest", "text").mapInPandas(run, "digest binary, entities array<string>, terms array<string>")
+    return found.groupBy("digest").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
 
 
-def disclosing_terms(
-    docs: DataFrame, found: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS
-) -> DataFrame:
-    """``entity, term, pmi, ic`` of the pairs over the threshold."""
-    seen = found.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", "m.context", "m.terms")
+def term_counts(rows: DataFrame, copies: np.ndarray) -> DataFrame:
+    """``term, n_term``: distinct texts that hold the term."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            summed, apart = Counter(), {}
+            for digest, text in zip(b["digest"], b["text"]):
+                if digest not in apart:
+                    terms = terms_of(text, base_spans(text))
+                    if in_bitmap(copies, digest):
+                        apart[digest] = terms
+                    else:
+                        summed.update(terms)
+            out = [(t, n, None) for t, n in summed.items()] + [(t, 1, d) for d, terms in apart.items() for t in terms]
+            yield pd.DataFrame(out, columns=["term", "n", "digest"])
+
+    counted = rows.select("digest", "text").mapInPandas(run, "term string, n long, digest binary")
+    once = counted.groupBy("term", "digest").agg(F.sum("n").alias("n"))
+    n = F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)
+    return once.groupBy("term").agg(F.sum(n).alias("n_term"))
+
+
+def with_counts(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """Rows with a term, joined to the counts of their term."""
+    frequent = F.col("n_term") * HOT_SHARE > total
+    hot = F.broadcast(counts.where(frequent))
+    cold = rows.join(F.broadcast(counts.where(frequent).select("term")), "term", "left_anti")
+    return rows.join(hot, "term").unionByName(cold.join(counts.where(~frequent), "term"))
+
+
+def disclosing_terms(found: DataFrame, n_term: DataFrame, total: int, alpha: float = ALPHA) -> DataFrame:
+    """``entity, term, n_term, pmi, ic`` of the pairs over the threshold."""
+    seen = found.select("digest", F.explode("entities").alias("entity"))
+    p = F.col("n_entity") / F.lit(total)
+    gate = F.pow(p, F.lit(1 - alpha))
+    # a term in more documents than this fails even if every mentioning document holds it
+    most = (F.col("n_entity") + EVIDENCE * p) / gate - EVIDENCE + 1e-6
+    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < total)
+    seen = cut_lineage(seen.join(entities, "entity").withColumn("most", most))
+    limits = seen.groupBy("digest").agg(F.max("most").alias("most"))
+    terms = with_counts(found.select("digest", F.explode("terms").alias("term")), n_term, total)
+    terms = terms.join(limits, "digest").where(F.col("n_term") <= F.col("most")).drop("most")
     pairs = (
-        seen.select("row", "entity", "context", F.explode("terms").alias("term"))
+        seen.join(terms, "digest").where(F.col("n_term") <= F.col("most"))
         .groupBy("entity", "term")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both"))
-        .where(F.col("contexts") >= min_contexts)
-    )
-    pairs = cut_lineage(pairs)
-    n_entity = seen.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0))
-    # summed per task before anything moves; only then joined to the candidates
-    n_term = (
-        docs.where(F.col("text").isNotNull())
-        .select(F.explode(F.array_distinct(letters)).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
+        .agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     )
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    scored = (
-        pairs.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(total))  # one row
-        .withColumn("ic", F.log2(F.col("total") / F.col("n_entity")))
-        .withColumn(
-            "pmi",
-            F.log2(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.greatest(F.col("n_term"), F.col("n_both")))),
-        )
-    )
-    return scored.where(F.col("pmi") >= alpha * F.col("ic")).select("entity", "term", "pmi", "ic")
+    smoothed = (F.col("n_both") + EVIDENCE * p) / (F.col("n_term") + EVIDENCE)
+    scored = pairs.withColumn("ic", -F.log2(p)).withColumn("pmi", F.log2(smoothed / p))
+    return scored.where(F.col("pmi") >= alpha * F.col("ic")).select("entity", "term", "n_term", "pmi", "ic")
 
 
-def find_personal_data(
-    docs: DataFrame, window: int = WINDOW_WORDS, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS
-) -> DataFrame:
+def find_personal_data(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``doc_id``, counts, ``base_spans``, ``spans`` (with terms), and the
     sanitised text of documents with a span (else null)."""
-    found = cut_lineage(find_base(docs, window))
-    flagged = disclosing_terms(docs, found, alpha, min_contexts)
-    # the entity's own terms may stand outside the window of a mention: every mentioning document gets all of them
+    rows = document_rows(docs)
+    sizes = cut_lineage(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.count()
+    found = cut_lineage(find_mentions(rows))
+    n_term = cut_lineage(term_counts(rows, bitmap(sizes.where("n > 1"), "digest")))
+    flagged = cut_lineage(disclosing_terms(found, n_term, total, alpha))
     marked = (
-        found.select("row", F.explode(F.array_distinct(F.col("mentions.entity"))).alias("entity"))
+        found.select("digest", F.explode("entities").alias("entity"))
         .join(flagged.select("entity", "term"), "entity")
-        .groupBy("row")
-        .agg(F.collect_set("term").alias("terms"))
+        .join(found.select("digest", "terms"), "digest")
+        .where(F.array_contains("terms", F.col("term")))
     )
+    marked = cut_lineage(marked.groupBy("digest").agg(F.collect_set("term").alias("marks")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans_out, texts = [], []
-            for text, base, terms in zip(b["text"], b["base_spans"], b["terms"]):
-                if text is None:
-                    spans_out.append("")
-                    texts.append(None)
-                    continue
-                spans = [(int(a), KINDS.index(k), int(z)) for k, a, z in (s.split(":") for s in base.split(","))]
-                if terms is not None and len(terms):
-                    wanted = set(terms)
-                    taken = [(a, z) for a, _, z in spans]
-                    spans += [
-                        (m.start(), 4, m.end())
-                        for m in _TERM.finditer(text)
-                        if m.group().lower() in wanted and not any(a < m.end() and m.start() < z for a, z in taken)
-                    ]
-                    spans.sort()
-                spans_out.append(joined(spans))
-                texts.append(mask(text, spans))
-            out = b[["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "row"]].copy()
-            out["spans"], out["sanitised"] = spans_out, texts
-            yield out.astype({"doc_id": "Int64"})
-
-    schema = (
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, row long, spans string, "
-        "sanitised string"
-    )
-    return found.drop("mentions").join(marked, "row", "left").mapInPandas(run, schema)
+            out = []
+            for doc, text, marks in zip(b["doc_id"], b["text"], b["marks"]):
+                base = spans = base_spans(text)
+                if marks is not None and len(marks):
+                    wanted = set(marks)
+                    spans = sorted(spans + [(a, 4, z) for a, z in term_places(text, base) if text[a:z].lower() in wanted])
+                n = [sum(1 for s in base if s[1] == k) for k in range(4)]
+                out.append((doc, *n, joined(base), joined(spans), mask(text, spans) if spans else None))
+            names = "doc_id n_email n_ip n_card n_phone base_spans spans sanitised".split()
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, sanitised string"
+    return rows.join(marked, "digest", "left").select("doc_id", "text", "marks").mapInPandas(run, schema)
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:

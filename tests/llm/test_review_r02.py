@@ -66,3 +66,54 @@ def test_large_slot_tables_are_joined(ready, monkeypatch):
     small = {tuple(r) for r in mixing.mix(docs).collect()}
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
     assert {tuple(r) for r in mixing.mix(docs).collect()} == small
+
+
+def marked_terms(rows, out):
+    text = dict(rows)
+    return {
+        (r["doc_id"], text[r["doc_id"]][int(a) : int(b)].lower())
+        for r in out for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"
+    }
+
+
+def test_terms_of_entities_seen_once_are_marked_over_whole_documents(ready):
+    from tagwright.llm.privacy import find_personal_data
+
+    filler = " ".join(f"common{'abcdefgh'[i % 8]}" for i in range(60))
+    rows = [(i, f"plain note number {i} {filler}") for i in range(300)]
+    rows += [(900, f"write to ann@site.org {filler} axolotl"), (901, f"write to ann@site.org {filler} axolotl")]
+    rows += [(910, f"plain bob@site.org {filler} quagga"), (911, f"plain quagga here {filler}"), (912, f"the quagga there {filler}")]
+    docs = ready.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    marked = marked_terms(rows, find_personal_data(docs).collect())
+    # sixty words from its only mention (900 and 901 are one document), too frequent beside one mention
+    assert {(900, "axolotl"), (901, "axolotl")} <= marked
+    assert not {t for _, t in marked} & {"quagga", "plain", "commona"}
+
+
+def test_counts_match_brute_force(ready, monkeypatch):
+    import math
+
+    from tagwright.llm import privacy
+
+    rng = random.Random(12)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "abcde"]
+    rows = []
+    for i in range(200):
+        text = [rng.choice(words[: rng.randint(2, 40)]) for _ in range(12)]
+        text[5:5] = [f"{rng.choice('klm')}@x.org" for _ in range(rng.randint(0, 2))] if i % 3 else []
+        rows += [(len(rows) + j, " ".join(text)) for j in range(rng.choice([1, 1, 3]))]
+    texts = {t: (set(privacy._TERM.findall(" ".join(w for w in t.split() if "@" not in w))), {w for w in t.split() if "@" in w}) for _, t in rows}
+    p = lambda keep: sum(1 for v in texts.values() if keep(*v)) / len(texts)
+    want = set()
+    alpha = 0.2
+    for e in ("k@x.org", "l@x.org", "m@x.org"):
+        pe = p(lambda _, es: e in es)
+        for w in words:
+            both, n = (len(texts) * p(lambda ts, es: w in ts and (e in es or not x)) for x in (1, 0))
+            if n and both and math.log2((both + 0.5 * pe) / (n + 0.5) / pe) >= -alpha * math.log2(pe):
+                want |= {(i, w) for i, t in rows if e in texts[t][1] and w in texts[t][0]}
+    assert want
+    docs = ready.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    for share in (1_000, 10):  # all terms frequent, few of them
+        monkeypatch.setattr(privacy, "HOT_SHARE", share)
+        assert marked_terms(rows, privacy.find_personal_data(docs, alpha=alpha).collect()) == want
