@@ -5,8 +5,9 @@ term (a word of three letters or more near a mention) discloses an entity
 ``e`` as far as the corpus says so: with documents as events,
 ``PMI(e; t) = log2 p(e, t) / (p(e) p(t))`` bits of the entity's information
 content ``IC(e) = -log2 p(e)`` are revealed by the term.  Terms with
-``PMI >= alpha * IC`` are marked in the documents that mention the entity, and
-are generalised with it in the sanitised text.  Whole documents are counted,
+``PMI >= alpha * IC`` are marked and generalised, by the query in every document
+that holds one (``everywhere``): the term discloses its entity where the entity
+is not mentioned, too.  Whole documents are counted,
 and equal texts are one document.  Weak evidence is smoothed, not left out:
 ``p(e | t) = (n(e, t) + EVIDENCE p(e)) / (n(t) + EVIDENCE)``, so an entity seen
 once discloses through words seen about as rarely, in a corpus large enough.
@@ -17,7 +18,7 @@ be copies (a bitmap of fixed size lets some others through) are kept apart by
 digest.  Terms too frequent for every entity of a document go before pairs
 are made.  Frequent terms are joined by broadcast (at most ``HOT_SHARE`` times the
 terms of an average document), the others by term.  Nothing but
-the bitmap is collected.
+the bitmaps is collected.
 
 Edge cases: null text is empty; repeated rows are
 rows of their own and one document of the counts; an entity of every document
@@ -46,7 +47,7 @@ ALPHA = 0.9
 EVIDENCE = 0.5
 #: a term of more than one in so many documents is frequent
 HOT_SHARE = 1_000
-#: bits of the bitmap of digests
+#: bits of the bitmaps of digests and terms
 BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -217,21 +218,49 @@ def disclosing_terms(found: DataFrame, n_term: DataFrame, total: int, alpha: flo
     return scored.where(F.col("pmi") >= alpha * F.col("ic")).select("entity", "term", "n_term", "pmi", "ic")
 
 
-def find_personal_data(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def holders(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``digest, term``: the terms of every distinct text that may be wanted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
+        for b in batches:
+            out, seen = [], set()
+            for digest, text in zip(b["digest"], b["text"]):
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                for t in terms_of(text, base_spans(text)):
+                    if t not in known:
+                        if len(known) >= 1 << 16:
+                            known.clear()
+                        known[t] = in_bitmap(wanted, t.encode("utf-8", "surrogatepass"))
+                    if known[t]:
+                        out.append((digest, t))
+            yield pd.DataFrame(out, columns=["digest", "term"])
+
+    return rows.select("digest", "text").mapInPandas(run, "digest binary, term string").distinct()
+
+
+def find_personal_data(docs: DataFrame, alpha: float = ALPHA, everywhere: bool = False) -> DataFrame:
     """``doc_id``, counts, ``base_spans``, ``spans`` (with terms), and the
-    sanitised text of documents with a span (else null)."""
+    sanitised text of documents with a span (else null).  ``everywhere``: terms
+    are marked in all documents, not only in those that mention their entity."""
     rows = document_rows(docs)
     sizes = cut_lineage(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
     total = sizes.count()
     found = cut_lineage(find_mentions(rows))
     n_term = cut_lineage(term_counts(rows, bitmap(sizes.where("n > 1"), "digest")))
     flagged = cut_lineage(disclosing_terms(found, n_term, total, alpha))
-    marked = (
-        found.select("digest", F.explode("entities").alias("entity"))
-        .join(flagged.select("entity", "term"), "entity")
-        .join(found.select("digest", "terms"), "digest")
-        .where(F.array_contains("terms", F.col("term")))
-    )
+    if everywhere:
+        terms = flagged.groupBy("term").agg(F.max("n_term").alias("n_term"))
+        marked = with_counts(holders(rows, bitmap(terms, "term")), terms, total)
+    else:
+        marked = (
+            found.select("digest", F.explode("entities").alias("entity"))
+            .join(flagged.select("entity", "term"), "entity")
+            .join(found.select("digest", "terms"), "digest")
+            .where(F.array_contains("terms", F.col("term")))
+        )
     marked = cut_lineage(marked.groupBy("digest").agg(F.collect_set("term").alias("marks")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +292,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def privacy_query(docs: DataFrame) -> DataFrame:
-    out = find_personal_data(docs.select("doc_id", "text"))
+    out = find_personal_data(docs.select("doc_id", "text"), everywhere=True)
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans",
     )

@@ -117,3 +117,17 @@ def test_counts_match_brute_force(ready, monkeypatch):
     for share in (1_000, 10):  # all terms frequent, few of them
         monkeypatch.setattr(privacy, "HOT_SHARE", share)
         assert marked_terms(rows, privacy.find_personal_data(docs, alpha=alpha).collect()) == want
+
+
+def test_disclosing_terms_are_marked_without_their_entity(ready, monkeypatch):
+    from tagwright.llm import privacy
+
+    rows = [(i, f"note {i % 7} the visitor zebrafish wrote from kim@site.org on day {i} again") for i in range(6)]
+    rows += [(100 + i, f"the visitor wrote on day {i} again") for i in range(60)] + [(202, "a zebrafish"), (203, "a zebrafish"), (204, None)]
+    docs = ready.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA)
+    for share in (1_000, 2):  # frequent and rare terms
+        monkeypatch.setattr(privacy, "HOT_SHARE", share)
+        out = {r["doc_id"]: r["spans"] for r in privacy.privacy_query(docs).collect()}
+        assert out[202] == out[203] == "term:2:11" and out[100] == out[204] == ""
+        masked = {r["doc_id"]: r["sanitised"] for r in privacy.find_personal_data(docs, everywhere=True).collect()}
+        assert masked[202] == masked[203] == "a <TERM>" and masked[100] is None and "zebrafish" not in masked[0]
