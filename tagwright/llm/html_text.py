@@ -9,7 +9,8 @@ longest path prefix) and the two are aligned by the longest common
 subsequence of their lines.  Lines shared in the alignment are template: they
 are deleted, unless they are the article's own prose.  A neighbour that is a
 copy (less than a fifth of the page is not shared) says nothing about the
-template, and the next one is taken.  On pages without an article element, every line
+template, and the next one is taken.  On pages without an article element, or whose
+article elements hold less than half of the text outside boilerplate, every line
 outside boilerplate is open, so there the alignment alone decides.
 
 Scale: only outlines (a digest per line) are sorted and aligned; the pages are
@@ -191,8 +192,11 @@ def read_lines(page: str) -> list[tuple[str, int]]:
         root = (root or is_root) and not drop
         stack.append((tag, drop, root, prose or tag in _PROSE_TAGS))
     close(0)
-    if any_root:  # what lies outside the article is boilerplate; its loose lines (in no prose element) stay open
+    kept = sum(len(t) for t, kind, _ in lines if kind != BOILERPLATE)
+    if any_root and 2 * sum(len(t) for t, kind, root in lines if root and kind != BOILERPLATE) >= kept:
+        # what lies outside the article is boilerplate; its loose lines (in no prose element) stay open
         return [(t, BOILERPLATE if not root else kind) for t, kind, root in lines]
+    # no article, or teasers that hold the smaller part of the text
     return [(t, BOILERPLATE if kind == BOILERPLATE else OPEN) for t, kind, _ in lines]
 
 

@@ -131,3 +131,17 @@ def test_disclosing_terms_are_marked_without_their_entity(ready, monkeypatch):
         assert out[202] == out[203] == "term:2:11" and out[100] == out[204] == ""
         masked = {r["doc_id"]: r["sanitised"] for r in privacy.find_personal_data(docs, everywhere=True).collect()}
         assert masked[202] == masked[203] == "a <TERM>" and masked[100] is None and "zebrafish" not in masked[0]
+
+
+def test_teaser_articles_do_not_hide_the_text(ready):
+    from tagwright.llm.html_text import html_text_query
+
+    def page(k):
+        own = "".join(f"<div>long own paragraph {k} line {j} of the text</div>" for j in range(6))
+        return f"<div>Home News</div>{own}<article><h2>Read {k} next</h2></article><div>All rights of this site</div>"
+
+    rows = [(k, f"http://h.example/a/{k}", page(k), "x", "y") for k in range(5)]
+    df = ready.createDataFrame(rows, "page_id long, url string, html string, host string, path string")
+    for r in html_text_query(df).collect():
+        k = r["page_id"]
+        assert r["text"].split("\n") == [f"long own paragraph {k} line {j} of the text" for j in range(6)] + [f"Read {k} next"]
