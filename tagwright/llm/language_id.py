@@ -11,10 +11,11 @@ context never seen costs nothing to leave, and without any context every byte
 costs 8 bits.  The language with the shortest exact code for the whole text is
 predicted; the score is its posterior probability under equal priors.
 
-Only the statistics reach the driver, at most ``max_nodes`` four-byte nodes
-(the most frequent by share of their language), a bound on the model and not
-on the rows: all learning rows are counted, and shorter contexts are sums over
-those nodes.  They are broadcast, and texts are scored in one pass without a
+Only the statistics reach the driver.  All learning rows are counted, and the
+counts of orders zero to two are sums over all nodes.  Of the four-byte nodes,
+if there are more than ``max_nodes``, every language keeps the most frequent
+ones of its own, up to an equal part of ``max_nodes`` (nodes of about the most
+frequent one's count always stay).  The statistics are broadcast, and texts are scored in one pass without a
 shuffle, in slices of bounded size.
 
 Edge cases: null or letterless text gives ``und`` with score 0, as does a table
@@ -93,7 +94,8 @@ def count_nodes(rows: DataFrame) -> DataFrame:
 class ContextTrees:
     """Frozen code lengths of all languages, as lookup tables."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray):
+    def __init__(self, langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, lower: tuple | None = None):
+        """``lower``: language, three-byte code and count of all nodes, if ``code`` holds a part of them."""
         self.key = uuid.uuid4().hex
         self.langs = langs
         size = len(langs)
@@ -115,8 +117,8 @@ class ContextTrees:
             return nodes, cost, contexts, escape
 
         def marginal(bits: int):
-            short = code & ((1 << bits) - 1)
-            return lang, short, n
+            of, whole, count = lower or (lang, code, n)
+            return of, whole & ((1 << bits) - 1), count
 
         # order 0 and 1: dense
         n0, c0, _, e0 = level(*marginal(8), lambda nodes: np.full((len(nodes), size), 8.0))
@@ -223,18 +225,26 @@ def fit(rows: DataFrame, max_nodes: int = MAX_NODES) -> ContextTrees | None:
         return None
     langs = sorted(totals)
     share = F.col("n") / F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(totals[k])))]), F.col("lang"))
-    # the most frequent nodes: whole steps of an eighth of a bit of their share, as far as max_nodes goes
-    nodes = nodes.withColumn("step", F.floor(F.log2(share) * 8))
-    sizes = nodes.groupBy("step").count().orderBy(F.desc("step")).collect()
-    held, last = 0, None
-    for r in sizes:
-        if held + r["count"] > max_nodes:
-            break
-        held, last = held + r["count"], r["step"]
-    top = nodes.where(F.col("step") >= last) if last is not None else nodes.orderBy(F.desc("step"), "lang", "code").limit(max_nodes)
-    top = top.toPandas()
     at = {k: i for i, k in enumerate(langs)}
-    return ContextTrees(langs, top["lang"].map(at).to_numpy(), top["code"].to_numpy(np.int64), top["n"].to_numpy(np.float64))
+
+    def arrays(kept: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kept = kept.toPandas()
+        return kept["lang"].map(at).to_numpy(), kept["code"].to_numpy(np.int64), kept["n"].to_numpy(np.float64)
+
+    # the most frequent nodes of each language: whole steps of an eighth of a bit of their share, as far as its part goes
+    stepped = nodes.withColumn("step", F.floor(F.log2(share) * 8))
+    sizes = stepped.groupBy("lang", "step").count().orderBy("lang", F.desc("step")).collect()
+    if sum(r["count"] for r in sizes) <= max_nodes:
+        return ContextTrees(langs, *arrays(nodes.select("lang", "code", "n")))
+    held: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for r in sizes:
+        held[r["lang"]] = held.get(r["lang"], 0) + r["count"]
+        if r["lang"] not in last or held[r["lang"]] <= max_nodes // len(langs):
+            last[r["lang"]] = r["step"]
+    least = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(last[k]))]), F.col("lang"))
+    lower = nodes.groupBy("lang", F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.sum("n").alias("n"))
+    return ContextTrees(langs, *arrays(stepped.where(F.col("step") >= least).select("lang", "code", "n")), arrays(lower))
 
 
 _READY: dict[str, ContextTrees] = {}

@@ -145,3 +145,21 @@ def test_teaser_articles_do_not_hide_the_text(ready):
     for r in html_text_query(df).collect():
         k = r["page_id"]
         assert r["text"].split("\n") == [f"long own paragraph {k} line {j} of the text" for j in range(6)] + [f"Read {k} next"]
+
+
+def test_pruned_nodes_still_count_for_shorter_contexts(ready):
+    import numpy as np
+
+    from tagwright.llm.language_id import fit
+
+    rng = random.Random(6)
+    learn = [("".join(rng.choice(letters) for _ in range(400)), lang) for lang, letters in (("a", "abcd efg"), ("b", "hijklmnop")) for _ in range(6)]
+    learn += [("xyz " * 10, "rare")]
+    rows = ready.createDataFrame(learn, "text string, lang string")
+    full, cut = fit(rows), fit(rows, max_nodes=200)
+    assert len(cut.n3) < len(full.n3)
+    for name in ("one", "n2", "two", "escape2"):
+        assert np.array_equal(getattr(full, name), getattr(cut, name)), name
+    # every language keeps nodes of its own
+    cut.prepare()
+    assert np.isfinite(cut.three[1:]).all() and cut.lengths(["xyz xyz", "abcd", "hijk"]).argmin(axis=1).tolist() == [2, 0, 1]
