@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, read_table, release, s
 
 __all__ = [
     "WS", "UPPER", "LOWER", "cut_lineage", "ensure_checkpoint_dir", "read_table", "release", "ship_package",
-    "ascii_lower", "parts_for", "strip_ws", "words_of",
+    "LimitedCache", "ascii_lower", "parts_for", "strip_ws", "tree_sum", "words_of",
 ]
 
 # White space and letter classes of the contracts (fixed values)
@@ -39,3 +42,56 @@ def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     session's shuffle width (so that small inputs still use every core)."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(width, math.ceil(rows / rows_per_part), 1)
+
+
+#: partial vectors that one task adds up at a time
+FAN_IN = 32
+
+
+def tree_sum(partials: DataFrame, dtype: str) -> DataFrame:
+    """``bucket`` and the elementwise sum of its vectors from rows of
+    ``bucket long, part long, vector binary`` (little-endian ``dtype``; all
+    vectors of a bucket are equally long).  ``partials`` must be a written
+    table.  The sum runs up a tree: each group adds at most ``FAN_IN`` vectors
+    of one bucket, whatever the number of partials; ``part`` numbers the
+    partials of a bucket (gaps are fine, repeats are not)."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for vector in rows["vector"]:
+            v = np.frombuffer(vector, dtype)
+            total = v.copy() if total is None else np.add(total, v, out=total)
+        return pd.DataFrame({"bucket": [key[0]], "part": [key[1]], "vector": [total.tobytes()]})
+
+    top = partials.agg(F.max("part")).first()[0]
+    while top:
+        top //= FAN_IN
+        partials = partials.groupBy("bucket", F.floor(F.col("part") / FAN_IN).cast("long").alias("part")).applyInPandas(
+            add, "bucket long, part long, vector binary"
+        )
+    return partials.select("bucket", "vector")
+
+
+class LimitedCache(dict):
+    """A memory per worker process for values worked out from short keys, in
+    two generations: a full young one becomes the old one, and what is still
+    in use moves up again.  Only speed depends on it."""
+
+    def __init__(self, work: Callable, generation: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.work, self.generation, self.longest, self.old = work, generation, longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.work(key)
+        if len(self) >= self.generation:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        self[key] = value
+        return value
+
+    def all(self, keys: Iterable) -> list:
+        return list(map(self.__getitem__, keys))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ensure_checkpoint_dir, read_table, ship_package
 from .html_text import html_text_query
 from .language_id import language_id_query
+from .lexical_search import LEXICAL_SEARCH_SQL, lexical_search_query
 from .line_dedup import LINE_DEDUP_SQL, line_dedup_query
 from .mixing import mixing_query
 from .nearest import nearest_query
@@ -17,6 +18,8 @@ from .packing import packing_query
 from .privacy import privacy_query
 from .quality_rules import quality_rules_query
 from .token_counts import token_counts_query
+from .tokenizer_align import tokenizer_align_query
+from .toxicity import toxicity_query
 
 #: rows per Arrow batch: texts can be long
 ARROW_ROWS = "1000"
@@ -49,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": _query(language_id_query, "documents"),
     "op9_mixing": _query(mixing_query, "documents"),
     "op10_token_counts": _query(token_counts_query, "documents"),
+    "op11_tokenizer_align": _query(tokenizer_align_query, "documents"),
+    "op12_toxicity": _query(toxicity_query, "documents", "labels"),
+    "op13_lexical_search": _query(lexical_search_query, "documents", "benchmark"),
 }
 
-ORACLE: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL, "op13_lexical_search": LEXICAL_SEARCH_SQL}
