@@ -48,24 +48,21 @@ def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
 FAN_IN = 32
 
 
-def tree_sum(partials: DataFrame, dtype: str) -> DataFrame:
-    """``bucket`` and the elementwise sum of its vectors from rows of
-    ``bucket long, part long, vector binary`` (little-endian ``dtype``; all
-    vectors of a bucket are equally long).  ``partials`` must be a written
-    table.  The sum runs up a tree: each group adds at most ``FAN_IN`` vectors
-    of one bucket, whatever the number of partials; ``part`` numbers the
-    partials of a bucket (gaps are fine, repeats are not)."""
+def tree_sum(partials: DataFrame, dtype: str, n_parts: int, left: int = 1) -> DataFrame:
+    """``bucket`` and ``vector``: the elementwise sums of the vectors of each
+    bucket, from rows of ``bucket long, part long, vector binary`` (little-endian
+    ``dtype``, equally long in a bucket, ``part`` below ``n_parts``).  The sum
+    runs up a tree of groups of at most ``FAN_IN`` vectors, until a bucket has
+    at most ``left`` rows."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for vector in rows["vector"]:
-            v = np.frombuffer(vector, dtype)
-            total = v.copy() if total is None else np.add(total, v, out=total)
+        total = np.frombuffer(rows["vector"].iloc[0], dtype).copy()
+        for vector in rows["vector"].iloc[1:]:
+            total += np.frombuffer(vector, dtype)
         return pd.DataFrame({"bucket": [key[0]], "part": [key[1]], "vector": [total.tobytes()]})
 
-    top = partials.agg(F.max("part")).first()[0]
-    while top:
-        top //= FAN_IN
+    while n_parts > left:
+        n_parts = math.ceil(n_parts / FAN_IN)
         partials = partials.groupBy("bucket", F.floor(F.col("part") / FAN_IN).cast("long").alias("part")).applyInPandas(
             add, "bucket long, part long, vector binary"
         )

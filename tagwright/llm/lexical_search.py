@@ -194,7 +194,8 @@ def _document_frequencies(index: DataFrame, terms: list[bytes]) -> np.ndarray:
         yield pd.DataFrame({"bucket": [0], "part": [TaskContext.get().partitionId()], "vector": [df.astype("<i8").tobytes()]})
 
     partials = cut_lineage(index.select("text").mapInPandas(run, "bucket long, part long, vector binary"))
-    rows = tree_sum(partials, "<i8").collect()
+    n_parts = partials.agg(F.max("part")).first()[0]
+    rows = tree_sum(partials, "<i8", n_parts + 1).collect()
     release(partials)
     return np.frombuffer(rows[0]["vector"], "<i8") if rows else np.zeros(len(terms), np.int64)
 

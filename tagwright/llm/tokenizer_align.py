@@ -384,7 +384,8 @@ def align_tokenizers(
         here = hashed.where(F.col("bucket").between(block[0], block[-1])) if block else hashed.limit(0)
         table = PairTable(n_buckets, [tuple(r) for r in here.orderBy("bucket").collect()])
         partials = cut_lineage(count_vectors(docs, table, files))
-        sums = cut_lineage(tree_sum(partials, "<i8"))
+        n_parts = partials.agg(F.max("part")).first()[0]
+        sums = cut_lineage(tree_sum(partials, "<i8", 1 if n_parts is None else n_parts + 1))
         release(partials)
         table.set_counts({r["bucket"]: r["vector"] for r in sums.collect()})
         names = sums.join(here, "bucket").select("keys", "vector")

@@ -12,14 +12,16 @@ used are the ``N_FEATURES`` with the largest G statistic of presence in a
 document against its label, counted over all learning documents.
 
 Training is spread over the rows: the learning documents are written once as
-the slots of each sentence, every task adds up the gradient of its documents,
-gradients are summed up a tree, and the driver, which holds one vector of
-``N_FEATURES`` numbers, takes limited-memory quasi-Newton steps until the
-gradient is small; an unfinished fit raises an error.  All learning rows take
-part.  Scoring is one pass over all texts without a shuffle.
+the slots of each sentence, every task adds up the gradient and the expected
+information of its documents, these are summed up a tree, and the driver, which
+holds ``N_FEATURES`` weights and the matrix of their squared size, takes Fisher
+scoring steps until a step gains less than ``TOLERANCE``; an unfinished fit
+raises an error.  All learning rows take part.  Scoring is one pass over all
+texts without a shuffle.
 
 Sentences end at ``.``, ``!``, ``?`` or a line feed; words are runs of letters;
-a sentence has at least one word.
+a sentence has at least one word and counts as its set of words; sentences with
+the same words count once a document.
 
 Edge cases: null and empty texts have no sentence and score 0; without any
 learning row every text scores 0; a document is labelled toxic if any of its
@@ -32,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,19 +42,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LimitedCache, cut_lineage, parts_for, release, tree_sum
+from .common import FAN_IN, LimitedCache, cut_lineage, release, tree_sum
 
 BITS = 20
-N_FEATURES = 8_192
+N_FEATURES = 512
 #: documents of the learning rows that must hold a feature
 LEAST_DOCS = 3
 GRAMS = (4, 5)
 #: variance of the weights' prior
-PRIOR = 4.0
-#: gradient, in documents, at which the fit is finished
-TOLERANCE = 1e-3
-MAX_STEPS = 300
-ROWS_PER_PART = 20_000
+PRIOR = 1.0
+#: log likelihood that the next step would gain at which the fit is finished
+TOLERANCE = 0.01
+MAX_STEPS = 100
+ROWS_PER_PART = 5_000
 THRESHOLD = 0.7
 #: a sentence at least as likely toxic as this is reported
 OFFENDING = 0.5
@@ -70,12 +72,12 @@ def features(word: str) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams], np.uint32))
 
 
-def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+def sentences(text: str | None) -> Iterator[tuple[int, int, frozenset[str]]]:
     """Start, end and words of every sentence."""
     for m in SENTENCE.finditer(text or ""):
         words = WORD.findall(m[0])
         if words:
-            yield m.start(), m.end(), words
+            yield m.start(), m.end(), frozenset(words)
 
 
 _WORDS = LimitedCache(features, 100_000)
@@ -122,90 +124,81 @@ def choose_features(counts: DataFrame, n_toxic: int, n_clean: int, n_features: i
 
 
 def bags(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """``toxic, n_plain, ends, at``: the places in ``chosen`` of every sentence's
-    features (``ends`` cuts ``at``), and how many sentences have none."""
+    """``toxic, n_plain, sizes, at``: the places in ``chosen`` of the features
+    of every different sentence (``sizes`` of them each, both as 16-bit
+    numbers), and how many different sentences have none."""
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = np.full(1 << BITS, -1, np.int32)
         place[shared.value] = np.arange(len(shared.value))
 
-        def places(word: str) -> np.ndarray:
+        def places(word: str) -> bytes:
             p = place[_WORDS[word]]
-            return p[p >= 0]
+            return p[p >= 0].astype("<u2").tobytes()
 
         known = LimitedCache(places)
         for b in batches:
             out = []
             for text, toxic in zip(b["text"], b["toxic"]):
-                parts, ends, plain, total = [], [], 0, 0
-                for _, _, words in sentences(text):
-                    at = np.concatenate(known.all(words))
-                    if len(at):
-                        total += len(at)
+                parts, plain = [], 0
+                for words in {own for _, _, own in sentences(text)}:
+                    at = b"".join(known.all(words))
+                    if at:
                         parts.append(at)
-                        ends.append(total)
                     else:
                         plain += 1
-                out.append((toxic, plain, ends, np.concatenate(parts).tolist() if parts else []))
-            yield pd.DataFrame(out, columns=["toxic", "n_plain", "ends", "at"])
+                sizes = np.array([len(p) // 2 for p in parts], "<u4")
+                out.append((toxic, plain, sizes.tobytes(), b"".join(parts)))
+            yield pd.DataFrame(out, columns=["toxic", "n_plain", "sizes", "at"])
 
-    return rows.select("text", "toxic").mapInPandas(run, "toxic int, n_plain long, ends array<int>, at array<int>")
+    return rows.select("text", "toxic").mapInPandas(run, "toxic int, n_plain long, sizes binary, at binary")
 
 
-def _loss_and_gradient(w: np.ndarray, b: pd.DataFrame) -> np.ndarray:
-    """The batch's negative log likelihood, then its gradient (bias last)."""
-    out = np.zeros(len(w) + 1)
-    n_bags = len(b)
-    counts = np.array([len(e) for e in b["ends"]], np.int64)
-    sizes = np.concatenate([np.diff(np.asarray(e), prepend=0) for e in b["ends"]] or [np.zeros(0)]).astype(np.int64)
-    at = np.concatenate([np.asarray(a, np.int64) for a in b["at"]] or [np.zeros(0, np.int64)])
-    bag = np.repeat(np.arange(n_bags), counts)
+def likelihood(w: np.ndarray, b: pd.DataFrame, information: bool = True) -> np.ndarray:
+    """The bags' negative log likelihood, then its gradient (bias last) and
+    expected information, row by row."""
+    k, n = len(w), len(b)
+    counts = np.array([len(s) // 4 for s in b["sizes"]], np.int64)
+    sizes = np.frombuffer(b"".join(b["sizes"]), "<u4").astype(np.int64)
+    at = np.frombuffer(b"".join(b["at"]), "<u2").astype(np.int64)
+    bag = np.repeat(np.arange(n), counts)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
-    plain = b["n_plain"].to_numpy(float)
+    plain, toxic = b["n_plain"].to_numpy(float), b["toxic"].to_numpy() == 1
     z = w[-1] + np.bincount(sentence, weights=w[at], minlength=len(sizes))
     clean = -np.logaddexp(0, z)  # log(1 - p)
-    none = np.bincount(bag, weights=clean, minlength=n_bags) - plain * np.logaddexp(0, w[-1])
-    none = np.minimum(none, -1e-12)
-    toxic = b["toxic"].to_numpy() == 1
-    some = np.log(-np.expm1(none))
-    out[0] = -(np.where(toxic, some, none)).sum()
-    pull = np.where(toxic, -np.exp(none - some), 1.0)  # of a unit of p in the bag
+    none = np.bincount(bag, weights=clean, minlength=n) - plain * np.logaddexp(0, w[-1])  # log(1 - P)
+    some = np.log(-np.expm1(np.minimum(none, -1e-12)))  # log P
+    out = np.zeros(1 + k + k * k)
+    out[0] = -np.where(toxic, some, none).sum()
     p = np.exp(z + clean)
-    d = pull[bag] * p
-    out[1:-1] = np.bincount(at, weights=d[sentence], minlength=len(w) - 1)
-    out[-1] = d.sum() + (pull * plain).sum() * math.exp(w[-1] - np.logaddexp(0, w[-1]))
+    v = np.bincount(bag[sentence] * k + at, weights=p[sentence], minlength=n * k).reshape(n, k)  # gradient of -log(1 - P)
+    v[:, -1] = np.bincount(bag, weights=p, minlength=n) + plain * math.exp(w[-1] - np.logaddexp(0, w[-1]))
+    odds = np.exp(np.minimum(none - some, 30.0))  # (1 - P) / P
+    out[1 : 1 + k] = v.T @ np.where(toxic, -odds, 1.0)
+    if information:
+        out[1 + k :] = ((v * odds[:, None]).T @ v).ravel()
     return out
 
 
-def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, tolerance: float, max_steps: int, memory: int = 10) -> np.ndarray:
-    """Limited-memory quasi-Newton steps with halving, until the largest
-    component of the gradient is at most ``tolerance``."""
-    f, g = value(w)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+def fisher_scoring(value, w: np.ndarray, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> np.ndarray:
+    """The weights that minimise ``value(w, information)``, which returns the
+    loss, its gradient and a positive definite information matrix: full steps,
+    halved while the loss doesn't fall."""
+    loss, g, h = value(w, True)
     for _ in range(max_steps):
-        if np.abs(g).max() <= tolerance:
+        step = -np.linalg.solve(h, g)
+        gain = -(g @ step) / 2
+        if gain <= tolerance:
             return w
-        d, steps = -g, []
-        for s, y in reversed(pairs):
-            steps.append((s @ d) / (s @ y))
-            d = d - steps[-1] * y
-        d = d * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1.0 / max(1.0, np.abs(g).sum()))
-        for (s, y), a in zip(pairs, reversed(steps)):
-            d = d + (a - (y @ d) / (s @ y)) * s
         size = 1.0
-        while True:
-            f2, g2 = value(w + size * d)
-            if f2 <= f + 1e-4 * size * (g @ d):
-                break
+        while value(w + size * step, False)[0] > loss - 2e-4 * size * gain:
             size /= 2
-            if size < 1e-10:
+            if size < 1e-9:
                 raise RuntimeError("the fit found no smaller loss")
-        s, y = size * d, g2 - g
-        if s @ y > 1e-12:
-            pairs = [*pairs[1 - memory :], (s, y)]
-        w, f, g = w + s, f2, g2
-    raise RuntimeError(f"the fit did not end within {max_steps} steps (gradient {np.abs(g).max():.3g})")
+        w = w + size * step
+        loss, g, h = value(w, True)
+    raise RuntimeError(f"the fit did not end within {max_steps} steps")
 
 
 class Model:
@@ -229,25 +222,28 @@ def fit(rows: DataFrame, n_features: int = N_FEATURES) -> Model:
     if sums["n"] == 0:
         return Model(np.zeros(0, np.int64), None)
     chosen = choose_features(feature_counts(rows), sums["toxic"], sums["n"] - sums["toxic"], n_features)
-    table = cut_lineage(bags(rows, chosen).repartition(parts_for(spark, sums["n"], ROWS_PER_PART)))
+    n_parts = math.ceil(sums["n"] / ROWS_PER_PART)
+    table = cut_lineage(bags(rows, chosen).repartition(n_parts))
+    k = len(chosen) + 1
 
-    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+    def value(w: np.ndarray, information: bool) -> tuple[float, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(w) + 1)
+            total = np.zeros(1 + k + k * k)
             for b in batches:
-                total += _loss_and_gradient(w, b)
+                total += likelihood(w, b, information)
+            total = total if information else total[: 1 + k]
             yield pd.DataFrame({"bucket": [0], "part": [TaskContext.get().partitionId()], "vector": [total.tobytes()]})
 
-        partials = cut_lineage(table.mapInPandas(run, "bucket long, part long, vector binary"))
-        total = np.frombuffer(tree_sum(partials, "<f8").first()["vector"], "<f8")
-        release(partials)
+        partials = table.coalesce(n_parts).mapInPandas(run, "bucket long, part long, vector binary")
+        total = sum(np.frombuffer(r["vector"], "<f8") for r in tree_sum(partials, "<f8", n_parts, FAN_IN).collect())
         away = np.append(w[:-1], w[-1] - start[-1])
-        return total[0] + (away @ away) / (2 * PRIOR), total[1:] + away / PRIOR
+        h = total[1 + k :].reshape(k, k) + np.eye(k) / PRIOR if information else None
+        return total[0] + (away @ away) / (2 * PRIOR), total[1 : 1 + k] + away / PRIOR, h
 
-    n_sentences = table.agg(F.sum(F.col("n_plain") + F.size("ends"))).first()[0]
-    rate = (sums["toxic"] + 0.5) / (n_sentences + 1.0)
-    start = np.append(np.zeros(len(chosen)), math.log(rate / (1 - min(rate, 0.999))))
-    w = minimise(value, start, TOLERANCE * max(1.0, math.sqrt(sums["n"])), MAX_STEPS)
+    n_sentences = table.agg(F.sum(F.col("n_plain") + F.octet_length("sizes") / 4)).first()[0]
+    rate = min((sums["toxic"] + 0.5) / (n_sentences + 1.0), 0.5)
+    start = np.append(np.zeros(len(chosen)), math.log(rate / (1 - rate)))
+    w = fisher_scoring(value, start)
     release(table)
     return Model(chosen, w)
 
@@ -268,14 +264,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             scores, counts, found = [], [], []
             for text in b["__text"]:
-                clean, n, here = 0.0, 0, []
+                n, here, seen = 0, [], {}
                 for start, end, own in sentences(text) if words is not None else ():
-                    z = bias + sum(words.all(own))
-                    clean -= math.log1p(math.exp(z)) if z < 30 else z
+                    z = seen.get(own)
+                    if z is None:
+                        z = seen[own] = bias + sum(words.all(own))
                     n += 1
                     if z >= _LEAST_Z:
-                        here.append((start, end, 1 / (1 + math.exp(-z)) if z > -700 else 0.0))
-                scores.append(-math.expm1(clean))
+                        here.append((start, end, 1 / (1 + math.exp(-z))))
+                clean = sum(math.log1p(math.exp(z)) if z < 30 else z for z in seen.values())
+                scores.append(-math.expm1(-clean))
                 counts.append(n)
                 found.append([{"start": s, "end": e, "score": p} for s, e, p in here])
             yield pd.DataFrame({id_col: b[id_col], "score": scores, "n_sentences": counts, "offending": found})

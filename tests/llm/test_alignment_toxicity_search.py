@@ -121,7 +121,7 @@ def test_alignment_matches_brute_force(ready, libraries):
     got = tokenizer_align_query(docs).select(*COLUMNS).collect()
     assert sorted(map(tuple, got), key=str) == expected
     files = (tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
-    out, pairs = align_tokenizers(docs, *files, pairs_per_block=40, pairs_per_bucket=16)  # many buckets in many blocks
+    out, pairs = align_tokenizers(docs, *files, pairs_per_block=400, pairs_per_bucket=50)  # many buckets in many blocks
     assert sorted(map(tuple, out.select(*COLUMNS).collect()), key=str) == expected
     assert {(r["a"], r["b"]): r["n_docs"] for r in pairs.collect()} == dict(counts)
 
@@ -175,7 +175,7 @@ def test_vectors_are_summed_up_a_tree(ready):
     rng = np.random.default_rng(1)
     rows = [(b, p, rng.integers(0, 99, 10).astype("<i8")) for b in range(3) for p in range(0, 2500, 1 + b)]
     frame = cut_lineage(ready.createDataFrame([(b, p, v.tobytes()) for b, p, v in rows], "bucket long, part long, vector binary"))
-    got = {r["bucket"]: np.frombuffer(r["vector"], "<i8").tolist() for r in tree_sum(frame, "<i8").collect()}
+    got = {r["bucket"]: np.frombuffer(r["vector"], "<i8").tolist() for r in tree_sum(frame, "<i8", 2500).collect()}
     assert got == {b: sum(v for x, _, v in rows if x == b).tolist() for b in range(3)}
 
 
@@ -185,29 +185,37 @@ def test_vectors_are_summed_up_a_tree(ready):
 def test_gradient_is_that_of_the_noisy_or_likelihood():
     import pandas as pd
 
-    from tagwright.llm.toxicity import _loss_and_gradient
+    from tagwright.llm.toxicity import likelihood
 
     rng = np.random.default_rng(2)
     bags = []
     for toxic in (0, 1, 1, 0, 1):
         sizes = rng.integers(1, 4, rng.integers(0, 4))
-        bags.append((toxic, int(rng.integers(1, 5)), np.cumsum(sizes).tolist(), rng.integers(0, 6, sizes.sum()).tolist()))
-    frame = pd.DataFrame(bags, columns=["toxic", "n_plain", "ends", "at"])
+        bags.append((toxic, int(rng.integers(1, 5)), [rng.choice(6, n, replace=False) for n in sizes]))
+    frame = pd.DataFrame(
+        [(y, n, np.array([len(x) for x in s], "<u4").tobytes(), np.concatenate([*s, []]).astype("<u2").tobytes()) for y, n, s in bags],
+        columns=["toxic", "n_plain", "sizes", "at"],
+    )
     w = rng.normal(size=7)
 
+    def chances(w):
+        out = []
+        for _, plain, own in bags:
+            z = [w[-1]] * plain + [w[-1] + sum(w[i] for i in s) for s in own]
+            out.append(1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z))
+        return np.array(out)
+
     def loss(w):
-        total = 0.0
-        for toxic, plain, ends, at in bags:
-            z = [w[-1]] * plain + [w[-1] + sum(w[i] for i in at[s:e]) for s, e in zip([0, *ends], ends)]
-            p = 1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)
-            total -= math.log(p if toxic else 1 - p)
-        return total
-
-    got = _loss_and_gradient(w, frame)
+        return -sum(math.log(p if b[0] else 1 - p) for p, b in zip(chances(w), bags))
+
+    got = likelihood(w, frame)
     assert math.isclose(got[0], loss(w), rel_tol=1e-9)
+    steps = np.eye(7) * 1e-5
+    slopes = np.array([(chances(w + s) - chances(w - s)) / 2e-5 for s in steps])
+    p = chances(w)
     for i in range(7):
-        step = np.eye(7)[i] * 1e-5
-        assert math.isclose(got[1 + i], (loss(w + step) - loss(w - step)) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+        assert math.isclose(got[1 + i], (loss(w + steps[i]) - loss(w - steps[i])) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+    assert np.allclose(got[8:].reshape(7, 7), (slopes / (p * (1 - p))) @ slopes.T, rtol=1e-4)
 
 
 def toxic_rows(n=900):
@@ -276,14 +284,14 @@ def test_toxicity_without_labels_or_documents(ready):
 
 
 def test_unfinished_fit_raises():
-    from tagwright.llm.toxicity import minimise
+    from tagwright.llm.toxicity import fisher_scoring
 
-    def bowl(w):
-        return float((w**4).sum()), 4 * w**3
+    def bowl(w, information):
+        return float((w**4).sum()), 4 * w**3, np.diag(12 * w**2 + 1e-9)
 
-    assert np.abs(minimise(bowl, np.ones(3), 1e-6, 200)).max() < 0.01
+    assert np.abs(fisher_scoring(bowl, np.ones(3), 1e-9, 100)).max() < 0.02
     with pytest.raises(RuntimeError):
-        minimise(bowl, np.ones(3), 1e-12, 2)
+        fisher_scoring(bowl, np.ones(3), 1e-12, 2)
 
 
 # --- ranked search -------------------------------------------------------------------
