@@ -1,15 +1,16 @@
 """Toxicity: multiple-instance learning with noisy-or.
 
 A document is a bag of sentences.  A sentence is toxic with probability
-``p = sigmoid(b + sum of its words' weights)``, and a document if any of its
+``p = sigmoid(b + sum of its features' weights)``, and a document if any of its
 sentences is: ``P = 1 - prod(1 - p)``.  Only documents carry labels, so the
 weights are those that make the documents' labels likeliest under ``P`` (with
 a normal prior); scoring a text then also tells which sentences offend.
 
-A word's weight is the sum over its features: the word itself and its
-character n-grams with the word's ends, hashed to ``2**BITS`` slots.  The slots
-used are the ``N_FEATURES`` with the largest G statistic of presence in a
-document against its label, counted over all learning documents.
+The features of a sentence are the byte n-grams of its lower-cased words, with
+a word's start and end, as a set hashed to ``2**BITS`` slots.  The slots used
+are the ``N_FEATURES`` with the largest G statistic of presence in a document
+against its label, counted over all learning documents.  Texts are read in
+batches: one rolling hash gives the n-grams of all their sentences.
 
 Training is spread over the rows: the learning documents are written once as
 the slots of each sentence, every task adds up the gradient and the expected
@@ -19,9 +20,9 @@ scoring steps until a step gains less than ``TOLERANCE``; an unfinished fit
 raises an error.  All learning rows take part.  Scoring is one pass over all
 texts without a shuffle.
 
-Sentences end at ``.``, ``!``, ``?`` or a line feed; words are runs of letters;
-a sentence has at least one word and counts as its set of words; sentences with
-the same words count once a document.
+Sentences end at ``.``, ``!``, ``?`` or a line feed; words are runs of ASCII
+letters and characters outside ASCII; a sentence has at least one word, and
+sentences with the same words in the same order count once a document.
 
 Edge cases: null and empty texts have no sentence and score 0; without any
 learning row every text scores 0; a document is labelled toxic if any of its
@@ -33,7 +34,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FAN_IN, LimitedCache, cut_lineage, release, tree_sum
+from .common import FAN_IN, LOWER, UPPER, cut_lineage, release, tree_sum
 
 BITS = 20
 N_FEATURES = 512
 #: documents of the learning rows that must hold a feature
 LEAST_DOCS = 3
-GRAMS = (4, 5)
+#: bytes of an n-gram
+GRAMS = (4, 5, 6)
 #: variance of the weights' prior
 PRIOR = 1.0
 #: log likelihood that the next step would gain at which the fit is finished
@@ -62,25 +63,74 @@ OFFENDING = 0.5
 BROADCAST_ROWS = 2_000_000
 
 SENTENCE = re.compile(r"[^.!?\n]+")
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def features(word: str) -> np.ndarray:
-    """The slots of a word: itself and its n-grams."""
-    w = f"^{word.lower()}$"
-    grams = {w} | {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-    return np.unique(np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams], np.uint32))
-
-
-def sentences(text: str | None) -> Iterator[tuple[int, int, frozenset[str]]]:
-    """Start, end and words of every sentence."""
-    for m in SENTENCE.finditer(text or ""):
-        words = WORD.findall(m[0])
-        if words:
-            yield m.start(), m.end(), frozenset(words)
-
-
-_WORDS = LimitedCache(features, 100_000)
+_LETTERS = (UPPER + LOWER).encode() + bytes(range(0x80, 0x100))
+_SPACED = bytes(c if c in _LETTERS else 0x20 for c in range(256))
+#: bytes of sentences that are hashed at a time, if no single one is longer
+_BYTES = 1 << 20
+
+
+def words_of(sentence: str) -> bytes:
+    """The words of a sentence, spaced as they stand."""
+    return sentence.lower().encode("utf-8", "surrogatepass").translate(_SPACED).strip()
+
+
+def sentences(text: str | None) -> dict[bytes, None]:
+    """The different sentences of a text."""
+    found = dict.fromkeys(map(words_of, SENTENCE.findall(text or "")))
+    found.pop(b"", None)
+    return found
+
+
+def slots(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and place in ``own`` of every n-gram (of ``GRAMS`` bytes) that lies in
+    one word with, at most, the space on either side."""
+    flat = np.frombuffer(b" " + b" \n ".join(own) + b" " * max(GRAMS), np.uint8)
+    lengths = np.array([len(s) for s in own], np.int64) + 3
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    letter = np.concatenate([[0], np.cumsum(flat > 0x20)])
+    rolled = np.zeros(len(flat), np.uint32)
+    all_slots, all_at = [], []
+    for n in range(1, max(GRAMS) + 1):
+        rolled = rolled[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1 :]
+        if n not in GRAMS:
+            continue
+        h = rolled
+        at = np.flatnonzero(letter[n - 1 : len(h) + n - 1] - letter[1 : len(h) + 1] == n - 2)
+        mixed = (h[at] ^ (h[at] >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
+        all_slots.append((mixed >> np.uint32(32 - BITS)).astype(np.int64))
+        all_at.append(at + 1)  # its second byte is in a word
+    at = np.concatenate(all_at)
+    return np.concatenate(all_slots), np.searchsorted(starts, at, side="right") - 1
+
+
+def in_batches(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Sentences of the texts with their text's number, a bounded part at a time."""
+    number, own, size = [], [], 0
+    for i, text in enumerate(texts):
+        for s in sentences(text):
+            if own and size + len(s) > _BYTES:
+                yield number, own
+                number, own, size = [], [], 0
+            number.append(i)
+            own.append(s)
+            size += len(s)
+    if own:
+        yield number, own
+
+
+def known_slots(own: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence and place of every feature that has a place, each once a
+    sentence and in order."""
+    slot, sentence = slots(own)
+    at = place[slot]
+    hit = at >= 0
+    return np.divmod(np.unique(sentence[hit] * len(place) + at[hit]), len(place))
+
+
+def places_of(chosen: np.ndarray) -> np.ndarray:
+    place = np.full(1 << BITS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    return place
 
 
 # --- features that tell the labels apart ---------------------------------------
@@ -91,11 +141,19 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 1 << BITS), np.int32)
+        last = np.full(1 << BITS, -1, np.int64)  # the last document with a slot
+        document = 0
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"]):
-                words = set(WORD.findall(text or ""))
-                if words:
-                    counts[toxic][np.unique(np.concatenate(_WORDS.all(words)))] += 1
+                for _, own in in_batches([text]):
+                    slot = slots(own)[0]
+                    new = slot[last[slot] != document]
+                    mark = -2 - np.arange(len(new))
+                    last[new] = mark
+                    new = new[last[new] == mark]  # one of a slot's n-grams
+                    last[new] = document
+                    counts[toxic][new] += 1
+                document += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"feature": at, "clean": counts[0, at], "toxic": counts[1, at]})
 
@@ -130,27 +188,24 @@ def bags(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = np.full(1 << BITS, -1, np.int32)
-        place[shared.value] = np.arange(len(shared.value))
-
-        def places(word: str) -> bytes:
-            p = place[_WORDS[word]]
-            return p[p >= 0].astype("<u2").tobytes()
-
-        known = LimitedCache(places)
+        place = places_of(shared.value)
         for b in batches:
-            out = []
-            for text, toxic in zip(b["text"], b["toxic"]):
-                parts, plain = [], 0
-                for words in {own for _, _, own in sentences(text)}:
-                    at = b"".join(known.all(words))
-                    if at:
-                        parts.append(at)
-                    else:
-                        plain += 1
-                sizes = np.array([len(p) // 2 for p in parts], "<u4")
-                out.append((toxic, plain, sizes.tobytes(), b"".join(parts)))
-            yield pd.DataFrame(out, columns=["toxic", "n_plain", "sizes", "at"])
+            plain = np.zeros(len(b), np.int64)
+            sizes: list[list[bytes]] = [[] for _ in range(len(b))]
+            found: list[list[bytes]] = [[] for _ in range(len(b))]
+            for number, own in in_batches(b["text"].tolist()):
+                sentence, at = known_slots(own, place)
+                n = np.bincount(sentence, minlength=len(own))
+                number = np.array(number)
+                np.add.at(plain, number[n == 0], 1)
+                cuts = np.cumsum(n)
+                firsts = np.flatnonzero(np.diff(number, prepend=-1))
+                for first, last in zip(firsts, np.append(firsts[1:], len(own)) - 1):
+                    i = number[first]
+                    some = n[first : last + 1]
+                    sizes[i].append(some[some > 0].astype("<u4").tobytes())
+                    found[i].append(at[cuts[first] - n[first] : cuts[last]].astype("<u2").tobytes())
+            yield pd.DataFrame({"toxic": b["toxic"], "n_plain": plain, "sizes": [b"".join(x) for x in sizes], "at": [b"".join(x) for x in found]})
 
     return rows.select("text", "toxic").mapInPandas(run, "toxic int, n_plain long, sizes binary, at binary")
 
@@ -208,12 +263,6 @@ class Model:
     def __init__(self, chosen: np.ndarray, w: np.ndarray | None):
         self.chosen, self.weights, self.bias = chosen, w[:-1] if w is not None else None, w[-1] if w is not None else None
 
-    def words(self) -> LimitedCache:
-        """A word's weight."""
-        table = np.zeros(1 << BITS)
-        table[self.chosen] = self.weights
-        return LimitedCache(lambda word: float(table[features(word)].sum()))
-
 
 def fit(rows: DataFrame, n_features: int = N_FEATURES) -> Model:
     """From all rows of ``text, toxic`` (0 or 1)."""
@@ -252,31 +301,31 @@ def fit(rows: DataFrame, n_features: int = N_FEATURES) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score``, ``n_sentences`` and ``offending``: start, end
-    (code points) and probability of the sentences that are likely toxic."""
+    """``id_col``, ``score``, ``n_sentences`` (different ones) and ``offending``:
+    start, end (code points) and probability of the sentences likely toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bias = shared.value.bias
-        words = shared.value.words() if bias is not None else None
+        model = shared.value
+        place = places_of(model.chosen)
         for b in batches:
-            scores, counts, found = [], [], []
-            for text in b["__text"]:
-                n, here, seen = 0, [], {}
-                for start, end, own in sentences(text) if words is not None else ():
-                    z = seen.get(own)
-                    if z is None:
-                        z = seen[own] = bias + sum(words.all(own))
-                    n += 1
-                    if z >= _LEAST_Z:
-                        here.append((start, end, 1 / (1 + math.exp(-z))))
-                clean = sum(math.log1p(math.exp(z)) if z < 30 else z for z in seen.values())
-                scores.append(-math.expm1(-clean))
-                counts.append(n)
-                found.append([{"start": s, "end": e, "score": p} for s, e, p in here])
-            yield pd.DataFrame({id_col: b[id_col], "score": scores, "n_sentences": counts, "offending": found})
+            texts = b["__text"].tolist()
+            clean, counts = np.zeros(len(b)), np.zeros(len(b), np.int64)
+            likely: dict[int, dict[bytes, float]] = {}
+            for number, own in in_batches(texts) if model.bias is not None else ():
+                sentence, at = known_slots(own, place)
+                z = model.bias + np.bincount(sentence, weights=model.weights[at], minlength=len(own))
+                np.add.at(clean, number, np.logaddexp(0, z))
+                np.add.at(counts, number, 1)
+                for i in np.flatnonzero(z >= _LEAST_Z):
+                    likely.setdefault(number[i], {})[own[i]] = 1 / (1 + math.exp(-z[i]))
+            found = [
+                [{"start": m.start(), "end": m.end(), "score": own[w]} for m in SENTENCE.finditer(text) if (w := words_of(m[0])) in own] if own else []
+                for text, own in ((t, likely.get(i)) for i, t in enumerate(texts))
+            ]
+            yield pd.DataFrame({id_col: b[id_col], "score": -np.expm1(-clean), "n_sentences": counts, "offending": found})
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInPandas(run, schema)
 
