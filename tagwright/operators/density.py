@@ -19,16 +19,15 @@ M7 follows the published HDBSCAN* definition:
    per component is kept (ties by ``(weight, min id, max id)``, a total order,
    so no cycles), and components merge by label propagation with pointer
    jumping;
-4. the condensed tree from a ladder of weight levels: at each level the
-   components of the tree edges lighter than the level are computed for all
-   levels at once; components under ``min_cluster_size`` fall out as noise,
-   a component with two or more large children splits;
-5. stability ``sum(lambda_leave - lambda_birth)`` by aggregation, then
-   excess-of-mass selection over the (small) cluster tree, root excluded.
-
-Step 4 is exact when the ladder holds every distinct tree weight (the
-default up to ``max_levels``); beyond that the levels are weight quantiles
-and lambdas are quantised.  Equal weights split simultaneously.
+4. the merge tree of the sorted tree edges by parallel contraction, every
+   distinct weight a level of its own (:mod:`merge_tree`); nodes under
+   ``min_cluster_size`` fall out as noise, a node with two or more large
+   children splits;
+5. stability ``sum(lambda_leave - lambda_birth)`` by aggregation over the
+   tree, then excess-of-mass selection by contraction of the cluster tree,
+   root excluded.
+
+The method is the same at every size; equal weights split simultaneously.
 """
 
 from __future__ import annotations
@@ -37,11 +36,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..session import cut_lineage, release
+from .merge_tree import BLOCK_EDGES, condensed_clusters, merge_tree, select_clusters
 
 PAIR_SCHEMA_KNN = "id long, nbr long, dist double"
 
@@ -219,8 +219,7 @@ def mutual_reachability_mst(
     comp = pts.select("id", F.col("id").alias("comp"))
     edges = None
     for _ in range(max_rounds):
-        ncomp = comp.select("comp").distinct().count()
-        if ncomp <= 1:
+        if comp.select("comp").distinct().limit(2).count() <= 1:
             break
         cands = _boruvka_candidates(pts.join(comp, "id"), nb)
         best = cands.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
@@ -246,22 +245,13 @@ def mutual_reachability_mst(
         release(merged)
         if best is not edges:
             release(best)
+    else:
+        raise RuntimeError(f"the spanning tree is not whole after {max_rounds} rounds")
     if edges is None:
         edges = pts.sparkSession.createDataFrame([], "w double, a long, b long")
     return pts.select("id", "vec", "core"), edges.select("a", "b", "w")
 
 
-def _levels(edges: DataFrame, max_levels: int) -> tuple[list[float], bool]:
-    """Distinct tree weights (descending) when there are at most
-    ``max_levels``; otherwise ``max_levels`` weight quantiles."""
-    distinct = edges.select("w").distinct()
-    nd = distinct.count()
-    if nd <= max_levels:
-        return sorted((r[0] for r in distinct.collect()), reverse=True), True
-    qs = edges.approxQuantile("w", [i / (max_levels - 1) for i in range(max_levels)], 0.0)
-    return sorted(set(qs), reverse=True), False
-
-
 def hdbscan(
     df: DataFrame,
     id_col: str,
@@ -269,135 +259,31 @@ def hdbscan(
     min_cluster_size: int = D.MIN_CLUSTER_SIZE,
     min_samples: int | None = None,
     block_size: int = 2048,
-    max_levels: int = 512,
+    block_edges: int = BLOCK_EDGES,
 ) -> tuple[DataFrame, dict]:
-    """M7: labels ``(id, cluster)`` with noise = -1, plus the run facts."""
-    spark = df.sparkSession
-    ms = min_samples or min_cluster_size
-    m = min_cluster_size
-    pts, edges = mutual_reachability_mst(df, id_col, vec_col, ms, block_size)
-    nodes = pts.select(F.col("id").alias("node"))
-    n = nodes.count()
-    levels, exact = _levels(edges, max_levels)
-    # level 0 = everything (lambda 0); level i >= 1 keeps edges lighter than levels[i-1]
-    lam = {0: 0.0, **{i + 1: (1.0 / w if w > 0 else float("inf")) for i, w in enumerate(levels)}}
-    L = len(levels)
-    # an edge is present at the levels whose weight is above its own: levels
-    # 1 .. #(levels > w); the ladder is a bounded literal (<= max_levels)
-    ladder = F.array(*[F.lit(float(w)) for w in levels])
-    present = F.size(F.filter(ladder, lambda x: x > F.col("w")))
-    lev_edges = edges.withColumn("__n", present).where(F.col("__n") >= 1).select(
-        F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("level"), "a", "b"
-    )
-    lev_nodes = nodes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(L))))
-    edges0 = edges.select(F.lit(0).alias("level"), "a", "b")
-    comps = connected_components(lev_nodes, lev_edges.unionByName(edges0), ["level"])
-    sizes = comps.groupBy("level", "comp").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.where(F.col("size") >= m)
-    # parent component (previous level) of every big component
-    prev = comps.select((F.col("level") + 1).alias("level"), "node", F.col("comp").alias("parent"))
-    bigmem = comps.join(big, ["level", "comp"]).join(prev, ["level", "node"], "left")
-    tree = cut_lineage(bigmem.groupBy("level", "comp").agg(F.first("parent", ignorenulls=True).alias("parent")))
-    # a large component starts a new condensed cluster at level 0 or when its
-    # parent has two or more large children; otherwise it continues its
-    # parent's cluster.  Cluster identity is propagated by pointer jumping over
-    # the (level, component) tree in Spark - log2(levels) rounds.
-    nbig = (
-        tree.where(F.col("level") > 0)
-        .groupBy(F.col("level").alias("level"), F.col("parent").alias("parent"))
-        .agg(F.count(F.lit(1)).alias("nbig"))
-    )
-    t = tree.join(nbig, ["level", "parent"], "left")
-    is_new = (F.col("level") == 0) | (F.coalesce(F.col("nbig"), F.lit(0)) >= 2)
-    ptr = cut_lineage(
-        t.select(
-            "level", "comp", is_new.alias("is_new"),
-            F.when(is_new, F.col("level")).otherwise(F.col("level") - 1).alias("plevel"),
-            F.when(is_new, F.col("comp")).otherwise(F.col("parent")).alias("pcomp"),
-        )
-    )
-    for _ in range(64):
-        look = ptr.select(
-            F.col("level").alias("plevel"), F.col("comp").alias("pcomp"), F.col("plevel").alias("pl2"), F.col("pcomp").alias("pc2")
-        )
-        nxt = cut_lineage(
-            ptr.join(look, ["plevel", "pcomp"], "left").select(
-                "level", "comp", "is_new", F.coalesce("pl2", "plevel").alias("plevel"), F.coalesce("pc2", "pcomp").alias("pcomp")
-            )
-        )
-        old = ptr.select("level", "comp", F.col("plevel").alias("ol"), F.col("pcomp").alias("oc"))
-        changed = nxt.join(old, ["level", "comp"]).where((F.col("plevel") != F.col("ol")) | (F.col("pcomp") != F.col("oc"))).limit(1).count()
-        release(ptr)
-        ptr = nxt
-        if not changed:
-            break
-    # the condensed clusters (at most about 2 n / min_cluster_size) and the
-    # cluster each one split from
-    cond = ptr.where("is_new").join(tree, ["level", "comp"]).select("level", "comp", "parent")
-    pkey = ptr.select((F.col("level") + 1).alias("level"), F.col("comp").alias("parent"), F.col("plevel").alias("pkl"), F.col("pcomp").alias("pkc"))
-    cond_rows = sorted(cond.join(pkey, ["level", "parent"], "left").collect(), key=lambda r: (r["level"], r["comp"]))
-    cid: dict[tuple[int, int], int] = {(r["level"], r["comp"]): i for i, r in enumerate(cond_rows)}
-    birth = {cid[(r["level"], r["comp"])]: (0.0 if r["level"] == 0 else lam[r["level"]]) for r in cond_rows}
-    parent_of: dict[int, int | None] = {
-        cid[(r["level"], r["comp"])]: (None if r["level"] == 0 else cid.get((r["pkl"], r["pkc"]))) for r in cond_rows
-    }
-    if not cid:
-        labels = nodes.select(F.col("node").alias(id_col), F.lit(-1).alias("cluster"))
-        return labels, {"algorithm": "hdbscan", "cluster_count": 0, "noise_count": n, "noise_fraction": 1.0 if n else 0.0, "exact_levels": exact}
-    from .profile import join_small
-
-    idmap = spark.createDataFrame([(lv_, c, k) for (lv_, c), k in cid.items()], "plevel int, pcomp long, cluster_id int")
-    cmap = join_small(ptr, idmap, ["plevel", "pcomp"], 24).select("level", "comp", "cluster_id")
-    member = comps.join(cmap, ["level", "comp"])  # (level, node, cluster_id) of large components
-    last = member.groupBy("node", "cluster_id").agg(F.max("level").alias("last"))
-    lam_df = spark.createDataFrame(list(lam.items()), "level int, lam double")
-    # the ladder has at most max_levels + 1 rows: a bounded broadcast
-    leave = last.join(F.broadcast(lam_df.select((F.col("level") - 1).alias("last"), F.col("lam").alias("lam_leave"))), "last", "left")
-    # after the deepest level every point has left: lambda of the last level
-    leave = leave.withColumn("lam_leave", F.coalesce("lam_leave", F.lit(lam[L])))
-    stab_rows = leave.groupBy("cluster_id").agg(F.sum("lam_leave").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    stability = {r["cluster_id"]: r["s"] - r["n"] * birth[r["cluster_id"]] for r in stab_rows}
-    # excess of mass, children before parents, root excluded
-    kids: dict[int, list[int]] = {}
-    for c, p in parent_of.items():
-        if p is not None:
-            kids.setdefault(p, []).append(c)
-    selected: set[int] = set()
-    subtree: dict[int, float] = {}
-
-    def visit(c: int) -> None:
-        for ch in kids.get(c, []):
-            visit(ch)
-        child_sum = sum(subtree[ch] for ch in kids.get(c, []))
-        if parent_of[c] is None:
-            return
-        if kids.get(c) and child_sum > stability.get(c, 0.0):
-            subtree[c] = child_sum
-        else:
-            subtree[c] = stability.get(c, 0.0)
-            stack = list(kids.get(c, []))
-            while stack:
-                x = stack.pop()
-                selected.discard(x)
-                stack.extend(kids.get(x, []))
-            selected.add(c)
-
-    for root in [c for c, p in parent_of.items() if p is None]:
-        visit(root)
-    order = {c: i for i, c in enumerate(sorted(selected))}
-    sel = spark.createDataFrame([(c, i) for c, i in order.items()], "cluster_id int, cluster int")
-    lab = join_small(member.select("node", "cluster_id").distinct(), sel, "cluster_id", 16).select("node", "cluster")
-    labels = nodes.join(lab, "node", "left").select(F.col("node").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    counts = labels.agg(F.sum((F.col("cluster") == -1).cast("long")).alias("noise")).first()
+    """M7: labels ``(id, cluster)`` with noise = -1, plus the run facts.
+    Clusters are numbered by their smallest point id."""
+    pts, edges = mutual_reachability_mst(df, id_col, vec_col, min_samples or min_cluster_size, block_size)
+    tree = cut_lineage(merge_tree(pts.select("id"), edges, block_edges))
+    clusters, last = condensed_clusters(tree, min_cluster_size)
+    chosen = cut_lineage(select_clusters(clusters))
+    held = last.join(chosen.withColumnRenamed("id", "cluster"), "cluster", "left").select("rep", "chosen")
+    # one row a chosen cluster: at most n / min_cluster_size
+    names = chosen.where("chosen is not null").select("chosen").distinct()
+    names = names.withColumn("number", F.row_number().over(Window.orderBy("chosen")) - 1)
+    labels = held.join(names, "chosen", "left").select(F.col("rep").alias(id_col), F.coalesce("number", F.lit(-1)).alias("cluster"))
+    labels = cut_lineage(labels)
+    release(tree)
+    sums = labels.agg(F.count("*").alias("n"), F.sum((F.col("cluster") == -1).cast("long")).alias("noise"), F.max("cluster").alias("last")).first()
+    noise = int(sums["noise"] or 0)
     facts = {
         "algorithm": "hdbscan",
         "min_cluster_size": min_cluster_size,
         "min_samples": min_samples,
-        "cluster_count": len(order),
-        "noise_count": int(counts["noise"] or 0),
-        "noise_fraction": (int(counts["noise"] or 0) / n) if n else 0.0,
-        "exact_levels": exact,
-        "levels": L,
+        "cluster_count": int(sums["last"]) + 1 if sums["last"] is not None else 0,
+        "noise_count": noise,
+        "noise_fraction": noise / sums["n"] if sums["n"] else 0.0,
+        "exact_levels": True,
     }
     return labels, facts
 

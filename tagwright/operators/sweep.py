@@ -1,9 +1,12 @@
-"""Decision-threshold sweep (W1-W8) as a single job.
+"""Decision-threshold sweep (W1-W8) as one difference sweep.
 
-Every reviewed row is expanded over the (threshold, cap) grid by exploding a
-literal settings array (no join), the predicted prefix for each setting is an
-array expression, and all metrics come from partial aggregations keyed by the
-setting - the shuffle carries one partial row per setting and task.
+A ranking is sorted by score, so the ``i``-th tag of a row is predicted at
+exactly the settings with a threshold up to its score and a cap of at least
+``i``.  Every tag therefore contributes its counts, and the change it makes to
+its row's metrics, once, at ``(number of thresholds up to the score, i)``; one
+aggregation sums these steps, and the settings are sums over the few cells.
+The work on rows doesn't grow with the number of settings, and the counts of
+each tag at each setting come from the same cells.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_divide
-from .evaluate import set_metrics, true_primary
+from ..functions.text import f1, safe_divide
+from .evaluate import tag_metrics, true_primary
 
 # The default grid of the reference sweep.
 DEFAULT_THRESHOLDS = [-1.0, -0.75, -0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0]
@@ -93,6 +96,82 @@ def at_setting(ranked: Column, threshold: Column, cap: Column, allow_empty: bool
     return F.transform(F.slice(ranked, 1, n), lambda s: s["tag"])
 
 
+def _level(score: Column, thresholds: Sequence[float], first: int = 0, last: int | None = None) -> Column:
+    """How many of the ascending thresholds are at most the score, by halving."""
+    last = len(thresholds) if last is None else last
+    if first == last:
+        return F.lit(first)
+    mid = (first + last) // 2
+    above = F.isnan(score) | (score >= F.lit(float(thresholds[mid])))
+    return F.when(above, _level(score, thresholds, mid + 1, last)).otherwise(_level(score, thresholds, first, mid))
+
+
+#: what a cell adds up: counts of a tag, then changes of row metrics
+_SUMS = ["tp", "fp", "support", "rows", "exact", "jaccard", "hamming", "primary_total", "primary_right"]
+
+
+def sweep_cells(matched: DataFrame, thresholds: Sequence[float], caps: Sequence[int], allow_empty: bool) -> DataFrame:
+    """``level, pos, tag`` and the sums of the steps there: one aggregation
+    over rows times their tags.  A step at ``(level, pos)`` holds at the
+    settings with at most ``level`` thresholds up to their own and a cap of at
+    least ``pos``; what holds at every setting lies at the highest level and
+    position 0."""
+    ladder = sorted(set(map(float, thresholds)))
+    top = len(ladder)
+    rows = matched.select(
+        F.array_distinct(F.coalesce(F.col("true_tags"), F.array().cast("array<string>"))).alias("true"),
+        true_primary().alias("primary"),
+        F.slice(reranked(F.col("p_top_tags"), F.col("p_predicted_tags")), 1, max([1, *caps])).alias("ranked"),
+    ).withColumn("tags", F.transform("ranked", lambda x: x["tag"]))
+    n_true = F.size("true")
+
+    def after(i: Column) -> dict[str, Column]:
+        """A row's metrics with its first ``i`` tags predicted."""
+        own = F.array_distinct(F.slice("tags", 1, i))
+        hits, n = F.size(F.array_intersect(own, "true")), F.size(own)
+        return {
+            "exact": ((hits == n_true) & (n == n_true)).cast("double"),
+            "jaccard": safe_divide(hits, n_true + n - hits),
+            "hamming": (n_true + n - 2 * hits).cast("double"),
+            "primary_right": F.coalesce((i >= 1) & (F.col("primary") == F.try_element_at("tags", F.lit(1))), F.lit(False)).cast("double"),
+        }
+
+    zero = {c: F.lit(0.0) for c in _SUMS}
+
+    def entry(level: Column, pos: Column, tag: Column, **values: Column) -> Column:
+        own = zero | {k: v.cast("double") for k, v in values.items()}
+        return F.struct(level.alias("level"), pos.alias("pos"), tag.alias("tag"), *[own[c].alias(c) for c in _SUMS])
+
+    def step(x: Column, i0: Column) -> Column:
+        i = i0 + 1
+        new = F.array_position("tags", x["tag"]) == i
+        hit = F.array_contains("true", x["tag"])
+        now, before = after(i), after(i - 1)
+        always = F.lit(not allow_empty) & (i == 1)
+        return entry(
+            F.when(always, F.lit(top)).otherwise(_level(x["score"], ladder)), F.when(always, F.lit(0)).otherwise(i), x["tag"],
+            tp=new & hit, fp=new & ~hit, **{k: now[k] - before[k] for k in now},
+        )
+
+    none = F.lit(None).cast("string")
+    always = F.array(entry(F.lit(top), F.lit(0), none, rows=F.lit(1), primary_total=F.col("primary").isNotNull(), **after(F.lit(0))))
+    held = F.transform("true", lambda t: entry(F.lit(top), F.lit(0), t, support=F.lit(1)))
+    steps = F.transform("ranked", step)
+    exploded = rows.select(F.explode(F.concat(always, held, steps)).alias("s")).select("s.*")
+    return exploded.groupBy("level", "pos", "tag").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def _at_settings(cells: DataFrame, thresholds: Sequence[float], caps: Sequence[int]) -> DataFrame:
+    """Sums of the cells for each setting and tag (null: rows without tags);
+    bounded by settings times tags, whatever the rows."""
+    ladder = sorted(set(map(float, thresholds)))
+    need = F.array(*[F.lit(ladder.index(float(t)) + 1) for t in thresholds for _ in caps])
+    held = F.filter(settings(thresholds, caps), lambda s: (F.get(need, s["setting_pos"]) <= F.col("level")) & (s["max_tags"] >= F.col("pos")))
+    return cells.withColumn("s", F.explode(held)).groupBy("s.setting_pos", "s.threshold", "s.max_tags", "tag").agg(
+        *[F.sum(c).alias(c) for c in _SUMS]
+    )
+
+
 def sweep(
     matched: DataFrame,
     universe_size: int,
@@ -105,23 +184,57 @@ def sweep(
     Primary accuracy here counts every row with a true primary tag, even when
     nothing is predicted (unlike the evaluation's confusion matrix).
     """
-    rows = matched.select(
-        F.array_distinct(F.coalesce(F.col("true_tags"), F.array().cast("array<string>"))).alias("__T"),
-        true_primary().alias("__tp"),
-        reranked(F.col("p_top_tags"), F.col("p_predicted_tags")).alias("__ranked"),
-        F.explode(settings(thresholds, caps)).alias("__s"),
-    ).select("__T", "__tp", "__ranked", "__s.*")
-    rows = rows.withColumn(
-        "__plist", at_setting(F.col("__ranked"), F.col("threshold"), F.col("max_tags"), allow_empty)
-    ).withColumn("__P", F.array_distinct("__plist"))
+    own = _at_settings(sweep_cells(matched, thresholds, caps, allow_empty), thresholds, caps)
+    own = tag_metrics(own.withColumn("fn", F.col("support") - F.col("tp")))
     g = ["setting_pos", "threshold", "max_tags"]
-    metrics = set_metrics(rows, g, universe_size)
-    prim = rows.groupBy(*g).agg(
-        F.sum(F.col("__tp").isNotNull().cast("long")).alias("__pt"),
-        F.sum((F.coalesce(F.col("__tp") == F.try_element_at(F.col("__plist"), F.lit(1)), F.lit(False))).cast("long")).alias("__pc"),
+    macro = ["precision", "recall", "f1"]
+    t = own.groupBy(*g).agg(*[F.sum(c).alias(f"__{c}") for c in [*_SUMS, "fn", *macro]])
+    n, u = F.col("__rows"), F.lit(float(universe_size))
+    micro_p = safe_divide("__tp", F.col("__tp") + F.col("__fp"))
+    micro_r = safe_divide("__tp", F.col("__tp") + F.col("__fn"))
+    return t.select(
+        *g,
+        n.cast("long").alias("reviewed_examples"),
+        safe_divide(F.col("__tp") + F.col("__fp"), n).alias("mean_predicted_tags"),
+        safe_divide("__exact", n).alias("exact_match_accuracy"),
+        safe_divide("__jaccard", n).alias("mean_jaccard"),
+        safe_divide("__hamming", n * u).alias("hamming_loss"),
+        safe_divide("__primary_right", "__primary_total").alias("primary_accuracy"),
+        micro_p.alias("micro_precision"),
+        micro_r.alias("micro_recall"),
+        f1(micro_p, micro_r).alias("micro_f1"),
+        *[safe_divide(f"__{c}", u).alias(f"macro_{c}") for c in macro],
     )
-    out = metrics.join(prim, g).withColumn("primary_accuracy", safe_divide("__pc", "__pt"))
-    return out.select("setting_pos", *CSV_COLUMNS)
+
+
+def per_tag_by_setting(
+    matched: DataFrame,
+    universe: DataFrame,
+    thresholds: Sequence[float] = DEFAULT_THRESHOLDS,
+    caps: Sequence[int] = DEFAULT_MAX_TAGS,
+    allow_empty: bool = False,
+) -> DataFrame:
+    """W4, per-tag part: counts and metrics of every tag of the universe at
+    every setting (tags without activity get zeros)."""
+    g = ["setting_pos", "threshold", "max_tags"]
+    own = _at_settings(sweep_cells(matched, thresholds, caps, allow_empty), thresholds, caps)
+    rows = own.groupBy(*g).agg(F.sum("rows").alias("__n"))
+    # settings times tags: both bounded by the grid and the tag vocabulary
+    grid = universe.select("tag").withColumn("s", F.explode(settings(thresholds, caps))).select("tag", "s.*")
+    counts = ["tp", "fp", "support"]
+    out = grid.join(own.where("tag is not null").select(*g, "tag", *counts), [*g, "tag"], "left").join(rows, g)
+    out = out.select(*g, "tag", "__n", *[F.coalesce(c, F.lit(0.0)).cast("long").alias(c) for c in counts])
+    out = tag_metrics(out.withColumn("fn", F.col("support") - F.col("tp")))
+    tn = F.col("__n").cast("long") - F.col("tp") - F.col("fp") - F.col("fn")
+    return out.withColumn("tn", tn).select(*g, "tag", "tp", "fp", "fn", "tn", "support", "predicted", "precision", "recall", "f1")
+
+
+def with_per_tag(results: DataFrame, per_tag: DataFrame) -> DataFrame:
+    """The sweep's rows with an array ``per_tag`` of their tags' metrics, in
+    tag order (K11's JSON)."""
+    fields = ["tag", "tp", "fp", "fn", "tn", "support", "predicted", "precision", "recall", "f1"]
+    nested = per_tag.groupBy("setting_pos").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("per_tag"))
+    return results.join(nested, "setting_pos", "left")
 
 
 def rank_settings(results: DataFrame, metric: str = "micro_f1", digits: int = 9) -> DataFrame:

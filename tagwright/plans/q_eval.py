@@ -426,3 +426,29 @@ def q_w3(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = sw.universe_sweep(m, preds).count()
     r = sw.sweep(m, u, allow_empty=True)
     return r.select("threshold", "max_tags", r6("mean_predicted_tags").alias("mean_predicted_tags"), r6("micro_f1").alias("micro_f1"))
+
+
+@register(
+    "w4_per_tag_by_setting",
+    SWEEP_SQL
+    + f""",
+    names AS (SELECT DISTINCT tag FROM (
+            SELECT unnest(true_tags) AS tag FROM m
+            UNION ALL SELECT unnest(top_tags).tag FROM latest
+            UNION ALL SELECT unnest(predicted_tags) FROM latest)),
+    full_grid AS (SELECT a.setting_pos, a.threshold, a.max_tags, a.n, names.tag, coalesce(c3.tp, 0) AS tp, coalesce(c3.fp, 0) AS fp,
+                    coalesce(c3.fn, 0) AS fn, coalesce(pr, 0.0) AS pr, coalesce(rc, 0.0) AS rc
+             FROM agg a CROSS JOIN names LEFT JOIN c3 ON c3.setting_pos = a.setting_pos AND c3.tag = names.tag)
+    SELECT setting_pos, threshold, max_tags, tag, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+           CAST(n - tp - fp - fn AS BIGINT) AS tn, CAST(tp + fn AS BIGINT) AS support, CAST(tp + fp AS BIGINT) AS predicted,
+           {s6('pr')} AS precision, {s6('rc')} AS recall,
+           {s6('CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END')} AS f1 FROM full_grid""",
+)
+def q_w4_per_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and metrics of every tag at every setting of the sweep."""
+    m, preds = matched(spark, sf_dir)
+    out = sw.per_tag_by_setting(m, sw.universe_sweep(m, preds))
+    return out.select(
+        "setting_pos", "threshold", "max_tags", "tag", "tp", "fp", "fn", "tn", "support", "predicted",
+        *[r6(c).alias(c) for c in ("precision", "recall", "f1")],
+    )

@@ -635,3 +635,64 @@ def q_m4_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     g = knn_graph(emb, "vec_id", "embedding", k=KNN_K, metric="cosine")
     return g.select("id", F.col("rank").cast("int"), "nbr", r6("dist").alias("dist"))
+
+
+# M7 steps: core distances and the spanning tree
+MST_SAMPLES = 5
+
+
+def _mst_sql(rounds: int = 14, jumps: int = 12) -> str:
+    """Boruvka rounds unrolled: per component its lightest outgoing edge in the
+    order (weight, smaller id, larger id), then pointers jumped to the root."""
+    ctes = [
+        "e AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+        "d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id < b.id)",
+        "twice AS (SELECT a AS id, dist FROM d UNION ALL SELECT b, dist FROM d UNION ALL SELECT id, 0.0 FROM e)",
+        f"""core AS MATERIALIZED (SELECT id, max(dist) AS core FROM (
+                SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS r FROM twice) WHERE r <= {MST_SAMPLES} GROUP BY id)""",
+        "w AS MATERIALIZED (SELECT a, b, greatest(dist, x.core, y.core) AS w FROM d JOIN core x ON x.id = a JOIN core y ON y.id = b)",
+        "c0 AS MATERIALIZED (SELECT id, id AS comp FROM e)",
+    ]
+    for r in range(rounds):
+        ctes.append(
+            f"""x{r} AS MATERIALIZED (SELECT w, a, b, p.comp AS ca, q.comp AS cb FROM w JOIN c{r} p ON p.id = a JOIN c{r} q ON q.id = b WHERE p.comp <> q.comp)"""
+        )
+        ctes.append(
+            f"""m{r} AS MATERIALIZED (SELECT comp, arg_min({{'a': a, 'b': b, 'o': o}}, {{'w': w, 'a': a, 'b': b}}) AS t FROM (
+                SELECT ca AS comp, cb AS o, w, a, b FROM x{r} UNION ALL SELECT cb, ca, w, a, b FROM x{r}) GROUP BY comp)"""
+        )
+        ctes.append(
+            f"""p{r}_0 AS MATERIALIZED (SELECT s.comp, CASE WHEN s.t.o IS NULL OR (o.t.o = s.comp AND s.comp < s.t.o) THEN s.comp ELSE s.t.o END AS up
+                FROM (SELECT k.comp, m{r}.t FROM (SELECT DISTINCT comp FROM c{r}) k LEFT JOIN m{r} USING (comp)) s LEFT JOIN m{r} o ON o.comp = s.t.o)"""
+        )
+        for j in range(jumps if r < 4 else 6):
+            ctes.append(f"p{r}_{j + 1} AS MATERIALIZED (SELECT x.comp, y.up FROM p{r}_{j} x JOIN p{r}_{j} y ON y.comp = x.up)")
+        last = f"p{r}_{jumps if r < 4 else 6}"
+        ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT id, up AS comp FROM c{r} JOIN {last} USING (comp))")
+    edges = " UNION ".join(f"SELECT t.a AS a, t.b AS b FROM m{r}" for r in range(rounds))
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT a, b, {s6('w')} AS w FROM w JOIN ({edges}) USING (a, b)"
+
+
+@register("m7_mst_edges", _mst_sql())
+def q_m7_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning tree of the mutual reachability distances."""
+    from ..operators.density import mutual_reachability_mst
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    _, edges = mutual_reachability_mst(emb, "vec_id", "embedding", MST_SAMPLES)
+    return edges.select("a", "b", r6("w").alias("w"))
+
+
+@register(
+    "m7_core_distances",
+    f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT a.id, list_distance(a.v, b.v) AS dist FROM e a CROSS JOIN e b),
+    r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS r FROM d)
+    SELECT id, {s6('max(dist)')} AS core FROM r WHERE r <= {MST_SAMPLES} GROUP BY id""",
+)
+def q_m7_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the fifth nearest vector, the vector itself counted first."""
+    from ..operators.density import core_distances
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    return core_distances(emb, "vec_id", "embedding", MST_SAMPLES).select("id", r6("core").alias("core"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tagwright.operators.density import connected_components, hdbscan, knn_graph
+from tagwright.operators.merge_tree import merge_tree
 
 
 def _moons(n=200, seed=3):
@@ -169,17 +170,76 @@ def test_connected_components_path(spark):
     assert {cc[i] for i in range(20)} == {0} and {cc[i] for i in range(20, n)} == {20}
 
 
-def test_quantised_ladder(spark, moons):
-    """Fewer ladder levels than distinct weights: with 64 quantile levels the
-    result equals the exact one here; with 24 it may split a cluster, but every
-    quantised cluster still lies inside one exact cluster (a refinement)."""
-    x, df = moons
-    want = brute_hdbscan(x, 15, 5)
-    labels, facts = hdbscan(df, "id", "vec", min_cluster_size=15, min_samples=5, block_size=64, max_levels=64)
-    got = np.array([r["cluster"] for r in labels.orderBy("id").collect()])
-    assert not facts["exact_levels"] and _same_partition(got, want)
-    labels, facts = hdbscan(df, "id", "vec", min_cluster_size=15, min_samples=5, block_size=64, max_levels=24)
+def test_merge_tree_is_the_same_in_parts(spark):
+    """Edges with many equal weights: small blocks of edges give the same tree
+    as one block, and it is the brute-force one."""
+    rng = np.random.default_rng(6)
+    n = 300
+    edges = [(int(rng.integers(0, i)), i, float(rng.integers(0, 12)) if i % 3 else float(rng.uniform(0, 12))) for i in range(1, n - 1)]
+    points = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    frame = spark.createDataFrame(edges, "a long, b long, w double")
+
+    def comps(limit):
+        label = list(range(n))
+        for _ in range(n):
+            before = list(label)
+            for a, b, w in edges:
+                if w <= limit:
+                    label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    want = {(i, -1.0, 1) for i in range(n)}
+    last = list(range(n))
+    for w in sorted({w for *_, w in edges}):
+        label = comps(w)
+        grown = {c for c, old in zip(label, last) if c != old} | {label[b] for a, b, x in edges if x == w}
+        want |= {(c, w, label.count(c)) for c in grown}
+        last = label
+    trees = [{tuple(r) for r in merge_tree(points, frame, size).collect()} for size in (1 << 16, 20)]
+    assert trees[0] == trees[1]
+    assert {r[:3] for r in trees[0]} == want
+    assert sum(r[3] is None for r in trees[0]) == 2  # the tree and the point without an edge
+
+
+@pytest.mark.parametrize("n", [700, 2000])
+def test_same_method_at_every_size(spark, n):
+    x = _moons(n)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "id long, vec array<double>")
+    labels, facts = hdbscan(df, "id", "vec", min_cluster_size=15, min_samples=5, block_edges=100)
     got = np.array([r["cluster"] for r in labels.orderBy("id").collect()])
-    for g in set(got) - {-1}:
-        assert len(set(want[got == g]) - {-1}) == 1
-    assert facts["cluster_count"] >= len(set(want) - {-1})
+    if n == 700:
+        assert _same_partition(got, brute_hdbscan(x, 15, 5))
+    assert facts["cluster_count"] == got.max() + 1 >= 2
+    assert facts["noise_count"] == (got == -1).sum() < n / 4
+
+
+def test_copies_and_small_tables(spark):
+    x = np.repeat(np.array([[0.0, 0.0], [5.0, 5.0], [9.0, 0.0]]), [30, 30, 1], axis=0)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    labels, facts = hdbscan(df, "id", "vec", min_cluster_size=10, min_samples=3)
+    got = [r["cluster"] for r in labels.orderBy("id").collect()]
+    assert got == [0] * 30 + [1] * 31  # the lone point falls out of the second cluster only later
+    for k in (0, 1, 4):
+        labels, facts = hdbscan(df.limit(k), "id", "vec", min_cluster_size=10, min_samples=3)
+        assert labels.count() == facts["noise_count"] == k and facts["cluster_count"] == 0
+
+
+def test_excess_of_mass_on_deep_trees(spark):
+    from tagwright.operators.merge_tree import _excess_of_mass
+
+    rng = np.random.default_rng(4)
+    rows = [(0, None, 1.0)]
+    for i in range(1, 120):  # a long chain with a leaf at every second step, then a bush
+        rows.append((i, i - 1 if i < 80 else int(rng.integers(0, i)), float(rng.integers(0, 9))))
+    rows += [(200 + i, i, float(rng.integers(0, 9))) for i in range(0, 80, 2)]
+    kids = {}
+    for i, p, _ in rows:
+        kids.setdefault(p, []).append(i)
+    own = {i: s for i, _, s in rows}
+
+    def value(i):
+        return max(own[i], sum(value(k) for k in kids.get(i, [])))
+
+    got = {r["id"]: r["value"] for r in _excess_of_mass(spark.createDataFrame(rows, "id long, parent long, own double")).collect()}
+    assert got == {i: value(i) for i in own}

@@ -121,3 +121,58 @@ def test_tags_to_inspect(spark):
     pt = spark.createDataFrame([("a", 3, 0.5), ("b", 5, 0.1), ("c", 3, 0.9)], "tag string, support long, f1 double")
     assert ev.tags_to_inspect(pt, None, 2) == ["b", "c"]
     assert ev.tags_to_inspect(pt, ["z", "a", "b"], 2) == ["z", "a"]
+
+
+def test_difference_sweep_matches_brute_force(spark):
+    """Rankings with repeated tags, equal scores, scores on a threshold, none
+    saved, no true tags; odd grids with repeated and unsorted values."""
+    import random
+
+    rng = random.Random(3)
+    tags = ["a", "b", "c", "d"]
+    rows = []
+    for _ in range(120):
+        true = rng.sample(tags, rng.randint(0, 3))
+        ranked = [(rng.choice(tags), rng.choice([-1.0, 0.0, 0.5, 0.5, 2.0])) for _ in range(rng.randint(0, 5))]
+        rows.append((true, rng.choice([None, "", "a"]), ranked, rng.sample(tags, rng.randint(0, 2))))
+    m = spark.createDataFrame(rows, "true_tags array<string>, primary_tag string, p_top_tags array<struct<tag:string,score:double>>, p_predicted_tags array<string>")
+    thresholds, caps = [0.5, -2.0, 0.0, 9.0, 0.5], [3, 1, 7]
+    universe = spark.createDataFrame([(t,) for t in [*tags, "unused"]], "tag string")
+    for allow_empty in (False, True):
+        got = {r["setting_pos"]: r for r in sw.sweep(m, 5, thresholds, caps, allow_empty).collect()}
+        per = {(r["setting_pos"], r["tag"]): r for r in sw.per_tag_by_setting(m, universe, thresholds, caps, allow_empty).collect()}
+        assert len(got) == 15 and len(per) == 75
+        for pos, (t, c) in enumerate((t, c) for t in thresholds for c in caps):
+            n = dict.fromkeys(["pred", "exact", "jaccard", "hamming", "prim", "right"], 0.0)
+            counts = {x: [0, 0, 0] for x in [*tags, "unused"]}
+            for true, primary, ranked, predicted in rows:
+                base = ranked or [(x, 0.0) for x in predicted]
+                order = sorted(base, key=lambda x: -x[1])
+                picked = [x for x, s in order if s >= t][:c]
+                if not picked and order and not allow_empty:
+                    picked = [order[0][0]]
+                p, q = set(true), set(picked)
+                n["pred"] += len(q)
+                n["exact"] += p == q
+                n["jaccard"] += len(p & q) / len(p | q) if p | q else 0.0
+                n["hamming"] += len(p ^ q)
+                first = primary or (true[0] if true else None)
+                n["prim"] += first is not None
+                n["right"] += first is not None and picked[:1] == [first]
+                for x in counts:
+                    counts[x][0] += x in p and x in q
+                    counts[x][1] += x in q and x not in p
+                    counts[x][2] += x in p and x not in q
+            r = got[pos]
+            assert (r["threshold"], r["max_tags"], r["reviewed_examples"]) == (t, c, 120)
+            want = [n["pred"] / 120, n["exact"] / 120, n["jaccard"] / 120, n["hamming"] / 600, n["right"] / n["prim"]]
+            assert [r[k] for k in ("mean_predicted_tags", "exact_match_accuracy", "mean_jaccard", "hamming_loss", "primary_accuracy")] == pytest.approx(want)
+            for x, (tp, fp, fn) in counts.items():
+                o = per[pos, x]
+                assert (o["tp"], o["fp"], o["fn"], o["tn"]) == (tp, fp, fn, 120 - tp - fp - fn)
+            tp, fp, fn = (sum(v[i] for v in counts.values()) for i in range(3))
+            assert r["micro_precision"] == pytest.approx(tp / (tp + fp) if tp + fp else 0.0)
+            assert r["micro_recall"] == pytest.approx(tp / (tp + fn))
+            assert r["macro_recall"] == pytest.approx(sum(a / (a + z) if a + z else 0.0 for a, _, z in counts.values()) / 5)
+    nested = sw.with_per_tag(sw.sweep(m, 5, thresholds, caps), sw.per_tag_by_setting(m, universe, thresholds, caps)).collect()
+    assert all([x["tag"] for x in r["per_tag"]] == [*tags, "unused"] for r in nested)
