@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -69,26 +69,30 @@ def tree_sum(partials: DataFrame, dtype: str, n_parts: int, left: int = 1) -> Da
     return partials.select("bucket", "vector")
 
 
-class LimitedCache(dict):
-    """A memory per worker process for values worked out from short keys, in
-    two generations: a full young one becomes the old one, and what is still
-    in use moves up again.  Only speed depends on it."""
+class LimitedCache:
+    """A memory per worker process for values of short keys, in two
+    generations: a full young one becomes the old one, and what is still in
+    use moves up again.  Only speed depends on it."""
 
-    def __init__(self, work: Callable, generation: int = 300_000, longest: int = 64):
-        super().__init__()
-        self.work, self.generation, self.longest, self.old = work, generation, longest, {}
+    ABSENT = object()
 
-    def __missing__(self, key):
+    def __init__(self, generation: int = 300_000, longest: int = 64):
+        self.generation, self.longest = generation, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def known(self, keys: Iterable) -> dict:
+        """The value of each key, or ``ABSENT``."""
+        young, old, absent = self.young, self.old, self.ABSENT
+        out = {k: young.get(k, absent) for k in keys}
+        for k, v in out.items():
+            if v is absent and k in old:
+                out[k] = young[k] = old[k]
+        return out
+
+    def keep(self, key, value) -> None:
         if len(key) > self.longest:
-            return self.work(key)
-        if len(self) >= self.generation:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.work(key)
-        self[key] = value
-        return value
-
-    def all(self, keys: Iterable) -> list:
-        return list(map(self.__getitem__, keys))
+            return
+        if len(self.young) >= self.generation:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

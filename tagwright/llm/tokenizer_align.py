@@ -37,6 +37,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,9 @@ PAIRS_PER_BLOCK = 1 << 22
 PAIRS_PER_BUCKET = 1 << 14
 #: bits of a level for each of its keys
 SLACK = 1.5
+#: texts whose chunks are looked up together, and characters of chunks aligned together
+_TEXTS = 64
+_CHARS = 1 << 18
 #: pairs a task holds before it makes them distinct
 _HELD = 1 << 21
 
@@ -69,8 +73,9 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Aligner:
-    """Alignment of a chunk: ``(links, n_a, n_b, n_groups, groups)`` with a
-    link as ``a << 16 | b``; None where a vocabulary doesn't give it back."""
+    """Alignments of chunks: ``(links, n_a, n_b, n_groups)`` and, if asked for,
+    the text of the groups, with a link as ``a << 16 | b``; None where a
+    vocabulary doesn't give the chunk back."""
 
     def __init__(self, ranks: str, pieces: str):
         import public_tokenizers
@@ -80,58 +85,105 @@ class Aligner:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.a = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.a_bytes = {i: b for b, i in table.items()}
+        self.a_bytes = [b""] * (max(table.values()) + 1)
+        for data, i in table.items():
+            self.a_bytes[i] = data
         self.a_file = re.sub(r"\.tiktoken$", ".json", ranks)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.space = self.b.piece_to_id("▁")
-        if max(max(self.a_bytes), len(self.b_bytes)) >= 1 << 16:
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         crossing = [p for p in map(self.b.id_to_piece, range(len(self.b_bytes))) if "▁" in p.lstrip("▁")]
         if crossing:
             raise ValueError(f"pieces may hold a space only at their start: {crossing[:3]}")
-        self.chunks = LimitedCache(self.align)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.memory: dict[bool, LimitedCache] = {g: LimitedCache() for g in (False, True)}
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
-    def _a_ids(self, chunk: str) -> list[int]:
+    def _a_ids(self, chunks: list[str]) -> list[list[int]]:
+        """Chunks that end in a visible character are encoded as one text, as
+        no token runs over their starts."""
         try:
-            return self.a.encode_ordinary(chunk)
+            if any(c[-1].isspace() for c in chunks):
+                return [self.a.encode_ordinary(c) for c in chunks]
+            return [self.a.encode_ordinary("".join(chunks))]
         except ValueError:  # its regex engine gives up on white space of some 10^5 characters in a row
+            if len(chunks) > 1:
+                return [self._a_ids([c])[0] for c in chunks]
             from tokenizers import Tokenizer
 
             library = Tokenizer.from_file(self.a_file)
             library.encode_special_tokens = True
-            return library.encode(chunk, add_special_tokens=False).ids
-
-    def align(self, chunk: str) -> tuple[bytes, int, int, int, str] | None:
-        a = self._a_ids(chunk)
-        b = self.b.encode(chunk[1:]) if len(chunk) > 1 else [self.space]
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = chunk.encode()
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts]), np.cumsum([len(p) for p in b_parts])
-        ends = np.union1d(a_ends, b_ends)
-        links = (np.array(a, np.uint32)[np.searchsorted(a_ends, ends)] << 16) | np.array(b, np.uint32)[np.searchsorted(b_ends, ends)]
-        both = np.intersect1d(a_ends, b_ends)
-        groups, i, j = [], 0, 0
-        for m, n in zip((np.searchsorted(a_ends, both) + 1).tolist(), (np.searchsorted(b_ends, both) + 1).tolist()):
-            groups.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-            i, j = m, n
-        return links.astype("<u4").tobytes(), len(a), len(b), len(both), ";".join(groups)
-
-    def document(self, text: str | None) -> list[tuple[bytes, int, int, int, str]]:
-        """The alignments of a text's chunks; none for a text without tokens."""
-        if not text:
-            return []
-        parts = self.chunks.all(chunks_of(text))
-        return [] if None in parts else parts
-
-    def links(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.document(text)]), "<u4")
+            return [library.encode(chunks[0], add_special_tokens=False).ids]
+
+    def align(self, chunks: list[str], with_groups: bool) -> list[tuple | None]:
+        """All chunks at once, as one run of bytes."""
+        each_a = self._a_ids(chunks)
+        each_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        each_b = [b if len(c) > 1 else [self.space] for b, c in zip(each_b, chunks)]
+        data = [c.encode() for c in chunks]
+        for each, table in ((each_a, self.a_bytes), (each_b, self.b_bytes)):
+            if b"".join([table[i] for ids in each for i in ids]) != b"".join(data):
+                if len(chunks) == 1:
+                    return [None]
+                return [self.align([c], with_groups)[0] for c in chunks]
+        a, b = (np.fromiter(chain.from_iterable(x), np.uint32) for x in (each_a, each_b))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        chunk_ends = np.cumsum(list(map(len, data)))
+        end_of_a, end_of_b = (np.zeros(chunk_ends[-1] + 1, bool) for _ in range(2))
+        end_of_a[a_ends] = end_of_b[b_ends] = True
+        if not (end_of_a[chunk_ends] & end_of_b[chunk_ends]).all():
+            return [self.align([c], with_groups)[0] for c in chunks]
+        ends = np.flatnonzero(end_of_a | end_of_b)
+        links = (a[np.searchsorted(a_ends, ends)] << np.uint32(16)) | b[np.searchsorted(b_ends, ends)]
+        both = np.flatnonzero(end_of_a & end_of_b)
+        n_a, n_b = (np.diff(np.searchsorted(e, chunk_ends, side="right"), prepend=0).tolist() for e in (a_ends, b_ends))
+        raw = links.astype("<u4").tobytes()
+        link_cuts = [0, *(4 * np.searchsorted(ends, chunk_ends, side="right")).tolist()]
+        group_cuts = [0, *np.searchsorted(both, chunk_ends, side="right").tolist()]
+        texts = [""] * len(chunks)
+        if with_groups:
+            sides = []
+            for ids, own_ends in ((a, a_ends), (b, b_ends)):
+                words = list(map(str, ids.tolist()))
+                cuts = [0, *(np.searchsorted(own_ends, both) + 1).tolist()]
+                sides.append([words[i] if j == i + 1 else ",".join(words[i:j]) for i, j in zip(cuts, cuts[1:])])
+            groups = [f"{x}|{y}" for x, y in zip(*sides)]
+            texts = [";".join(groups[i:j]) for i, j in zip(group_cuts, group_cuts[1:])]
+        return [
+            (raw[i:j], x, y, n - m, text)
+            for i, j, x, y, m, n, text in zip(link_cuts, link_cuts[1:], n_a, n_b, group_cuts, group_cuts[1:], texts)
+        ]
+
+    def documents(self, texts: list[str | None], with_groups: bool) -> Iterator[list[tuple]]:
+        """The alignments of each text's chunks; none for a text without tokens."""
+        memory = self.memory[with_groups]
+        for start in range(0, len(texts), _TEXTS):
+            own = [chunks_of(t) if t else [] for t in texts[start : start + _TEXTS]]
+            known = memory.known(set(chain.from_iterable(own)))
+            missing = sorted((c for c, v in known.items() if v is memory.ABSENT), key=lambda c: c[-1].isspace())
+            i = 0
+            while i < len(missing):
+                j, size = i, 0
+                ends_open = missing[i][-1].isspace()
+                while j < len(missing) and (j == i or size + len(missing[j]) <= _CHARS and missing[j][-1].isspace() == ends_open):
+                    size += len(missing[j])
+                    j += 1
+                for c, v in zip(missing[i:j], self.align(missing[i:j], with_groups)):
+                    known[c] = v
+                    memory.keep(c, v)
+                i = j
+            for chunks in own:
+                parts = [known[c] for c in chunks]
+                yield [] if None in parts else parts
+
+    def links(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for parts in self.documents(texts, False):
+            yield np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -259,8 +311,8 @@ def distinct_pairs(texts: DataFrame, files: tuple[str, str]) -> DataFrame:
         own, held, waiting = aligner(*files), [], 0
         seen = np.zeros(0, np.uint32)
         for b in batches:
-            for text in b["text"]:
-                held.append(own.links(text))
+            for links in own.links(b["text"].tolist()):
+                held.append(links)
                 waiting += len(held[-1])
                 if waiting > _HELD:
                     seen = np.unique(np.concatenate([seen, *held]))
@@ -303,8 +355,8 @@ def count_vectors(texts: DataFrame, table: PairTable, files: tuple[str, str]) ->
 
         held, waiting = [], 0
         for b in batches:
-            for text in b["text"]:
-                held.append(np.unique(own.links(text)))
+            for links in own.links(b["text"].tolist()):
+                held.append(np.unique(links))
                 waiting += len(held[-1])
                 if waiting > _HELD:
                     add(held)
@@ -333,8 +385,7 @@ def look_up(docs: DataFrame, id_col: str, table: PairTable, files: tuple[str, st
         best = pairs.best()
         for b in batches:
             out = []
-            for text in b["text"]:
-                parts = own.document(text)
+            for parts in own.documents(b["text"].tolist(), True):
                 links = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
                 keys, times = np.unique(links, return_counts=True)
                 here, at = pairs.numbers(keys)

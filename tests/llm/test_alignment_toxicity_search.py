@@ -132,12 +132,12 @@ def test_alignment_of_a_very_long_text(ready, libraries):
 
     text = ("some words of a long text, " * 4000) + "日本語" * 20_000 + " " * 30_000 + "end"
     own = aligner(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
-    parts = own.document(text)
+    (parts,) = own.documents([text], True)
     a, b = libraries
     assert sum(p[1] for p in parts) == len(a.encode(" " + text, add_special_tokens=False).ids)
     assert sum(p[2] for p in parts) == len(b.encode(text))
     blank = " " * 300_000 + "x"
-    assert sum(p[1] for p in own.document(blank)) == len(a.encode(" " + blank, add_special_tokens=False).ids)
+    assert sum(p[1] for p in next(own.documents([blank], False))) == len(a.encode(" " + blank, add_special_tokens=False).ids)
 
 
 def test_alignment_of_an_empty_table(ready):
