@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -74,25 +73,21 @@ class LimitedCache:
     generations: a full young one becomes the old one, and what is still in
     use moves up again.  Only speed depends on it."""
 
-    ABSENT = object()
-
     def __init__(self, generation: int = 300_000, longest: int = 64):
         self.generation, self.longest = generation, longest
         self.young: dict = {}
         self.old: dict = {}
 
-    def known(self, keys: Iterable) -> dict:
-        """The value of each key, or ``ABSENT``."""
-        young, old, absent = self.young, self.old, self.ABSENT
-        out = {k: young.get(k, absent) for k in keys}
-        for k, v in out.items():
-            if v is absent and k in old:
-                out[k] = young[k] = old[k]
-        return out
-
-    def keep(self, key, value) -> None:
-        if len(key) > self.longest:
-            return
+    def table(self) -> dict:
+        """The young generation, for reading and adding."""
         if len(self.young) >= self.generation:
             self.old, self.young = self.young, {}
-        self.young[key] = value
+        return self.young
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that have no value yet."""
+        left = keys.difference(self.young)
+        again = {k for k in left if k in self.old}
+        for k in again:
+            self.young[k] = self.old[k]
+        return list(left - again)

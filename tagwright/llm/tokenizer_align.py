@@ -66,10 +66,16 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def chunks_of(text: str) -> list[str]:
-    """``" " + text`` cut wherever a space follows a visible character."""
+    """``" " + text`` cut wherever a space follows a visible character; a
+    chunk is written without the space it starts with."""
     if _SPACE_AFTER_SPACE.search(" " + text):
-        return _CUT.split(" " + text)
-    return [" " + p for p in text.split(" ")]
+        return [c[1:] for c in _CUT.split(" " + text)]
+    return text.split(" ")
+
+
+def _open(chunk: str) -> bool:
+    """Whether a chunk doesn't end in a visible character."""
+    return not chunk or chunk[-1].isspace()
 
 
 class Aligner:
@@ -108,9 +114,9 @@ class Aligner:
         """Chunks that end in a visible character are encoded as one text, as
         no token runs over their starts."""
         try:
-            if any(c[-1].isspace() for c in chunks):
-                return [self.a.encode_ordinary(c) for c in chunks]
-            return [self.a.encode_ordinary("".join(chunks))]
+            if any(map(_open, chunks)):
+                return [self.a.encode_ordinary(" " + c) for c in chunks]
+            return [self.a.encode_ordinary(" " + " ".join(chunks))]
         except ValueError:  # its regex engine gives up on white space of some 10^5 characters in a row
             if len(chunks) > 1:
                 return [self._a_ids([c])[0] for c in chunks]
@@ -118,14 +124,13 @@ class Aligner:
 
             library = Tokenizer.from_file(self.a_file)
             library.encode_special_tokens = True
-            return [library.encode(chunks[0], add_special_tokens=False).ids]
+            return [library.encode(" " + chunks[0], add_special_tokens=False).ids]
 
     def align(self, chunks: list[str], with_groups: bool) -> list[tuple | None]:
         """All chunks at once, as one run of bytes."""
         each_a = self._a_ids(chunks)
-        each_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        each_b = [b if len(c) > 1 else [self.space] for b, c in zip(each_b, chunks)]
-        data = [c.encode() for c in chunks]
+        each_b = [b if c else [self.space] for b, c in zip(self.b.encode(chunks, num_threads=1), chunks)]
+        data = [b" " + c.encode() for c in chunks]
         for each, table in ((each_a, self.a_bytes), (each_b, self.b_bytes)):
             if b"".join([table[i] for ids in each for i in ids]) != b"".join(data):
                 if len(chunks) == 1:
@@ -164,21 +169,20 @@ class Aligner:
         memory = self.memory[with_groups]
         for start in range(0, len(texts), _TEXTS):
             own = [chunks_of(t) if t else [] for t in texts[start : start + _TEXTS]]
-            known = memory.known(set(chain.from_iterable(own)))
-            missing = sorted((c for c, v in known.items() if v is memory.ABSENT), key=lambda c: c[-1].isspace())
-            i = 0
+            known = memory.table()
+            missing = memory.missing(set(chain.from_iterable(own)))
+            missing.sort(key=_open)
+            longer, i = {}, 0
             while i < len(missing):
                 j, size = i, 0
-                ends_open = missing[i][-1].isspace()
-                while j < len(missing) and (j == i or size + len(missing[j]) <= _CHARS and missing[j][-1].isspace() == ends_open):
+                while j < len(missing) and (j == i or size + len(missing[j]) <= _CHARS and _open(missing[j]) == _open(missing[i])):
                     size += len(missing[j])
                     j += 1
                 for c, v in zip(missing[i:j], self.align(missing[i:j], with_groups)):
-                    known[c] = v
-                    memory.keep(c, v)
+                    (known if len(c) <= memory.longest else longer)[c] = v
                 i = j
             for chunks in own:
-                parts = [known[c] for c in chunks]
+                parts = [longer[c] if c in longer else known[c] for c in chunks] if longer else list(map(known.__getitem__, chunks))
                 yield [] if None in parts else parts
 
     def links(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -386,14 +390,14 @@ def look_up(docs: DataFrame, id_col: str, table: PairTable, files: tuple[str, st
         for b in batches:
             out = []
             for parts in own.documents(b["text"].tolist(), True):
-                links = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
+                raw, n_a, n_b, n_groups, groups = zip(*parts) if parts else [()] * 5
+                links = np.frombuffer(b"".join(raw), "<u4")
                 keys, times = np.unique(links, return_counts=True)
                 here, at = pairs.numbers(keys)
                 counts = pairs.counts[at]
                 top = counts == best[keys[here] >> 16]
-                digest = hashlib.sha256(";".join([p[4] for p in parts]).encode()).hexdigest() if parts else ""
-                sums = [sum([p[i] for p in parts]) for i in (1, 2, 3)]
-                out.append((*sums, len(links), int(times[here][top].sum()), int((times[here] * counts).sum()), digest))
+                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if parts else ""
+                out.append((sum(n_a), sum(n_b), sum(n_groups), len(links), int(times[here][top].sum()), int((times[here] * counts).sum()), digest))
             names = [c.split()[0] for c in DOCUMENT.split(", ")]
             yield pd.DataFrame({id_col: b[id_col]} | {c: [o[i] for o in out] for i, c in enumerate(names)})
 
