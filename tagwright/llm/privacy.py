@@ -88,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = "".join(_DIGITS.findall(m.group()))

@@ -378,3 +378,10 @@ def test_search_oracle(ready, duck):
     expected = duck.execute(LEXICAL_SEARCH_SQL).fetchall()
     assert len(expected) > 100
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_padded_address_parts_do_not_end_the_job():
+    from tagwright.llm.privacy import base_spans
+
+    text = "0" * 5000 + "1.2.3.4 and " + "0" * 5000 + "256.2.3.4 and " + "9" * 5000 + ".1.1.1"
+    assert [(a, b) for a, kind, b in base_spans(text) if kind == 1] == [(0, 5007)]
