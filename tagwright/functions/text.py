@@ -214,6 +214,11 @@ def term_tokens(text: ColumnOrName) -> Column:
     return F.filter(runs, lambda tok: tok.rlike("^[a-z]{2,}$") & ~F.array_contains(stop, tok))
 
 
+def is_term(token: ColumnOrName) -> Column:
+    """X8 for one exploded word run: two or more of a-z and no stop word."""
+    return _c(token).rlike("^[a-z]{2,}$") & ~_c(token).isin(*rx.STOPWORDS)
+
+
 def slugify(value: ColumnOrName) -> Column:
     """Non ``[a-zA-Z0-9_-]`` runs to ``_``, edge underscores trimmed, lower."""
     s = F.regexp_replace(_c(value), "[^a-zA-Z0-9_-]+", "_")

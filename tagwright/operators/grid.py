@@ -3,7 +3,7 @@ dominant cluster per grid cell, cell opacity, cluster centres in 2-D, scatter
 samples and the classifier's decision grid.
 
 Binning is arithmetic on each row followed by one ``groupBy`` over cells;
-per-axis bounds are exact percentiles (one aggregation).  The decision grid
+per-axis bounds are exact percentiles.  The decision grid
 is generated with ``spark.range`` and scored with the model's literal
 weights.  Drawing is out of scope.
 """
@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantile import exact_percentiles
 from .scale import PCAModel, fit_pca
 from .tagger import LinearTagModel
 
@@ -60,14 +61,8 @@ def hexbin_counts(df: DataFrame, gridsize: int = 70) -> DataFrame:
 
 
 def percentile_box(df: DataFrame, lo: float, hi: float) -> tuple[float, float, float, float]:
-    """Exact (linear) percentiles of x and y in one aggregation."""
-    r = df.agg(
-        F.percentile(F.col("x"), F.lit(lo / 100.0)).alias("xl"),
-        F.percentile(F.col("x"), F.lit(hi / 100.0)).alias("xh"),
-        F.percentile(F.col("y"), F.lit(lo / 100.0)).alias("yl"),
-        F.percentile(F.col("y"), F.lit(hi / 100.0)).alias("yh"),
-    ).first()
-    return r["xl"], r["xh"], r["yl"], r["yh"]
+    """Exact (linear) percentiles of x and y: low and high x, low and high y."""
+    return tuple(exact_percentiles(df, [(c, q / 100.0) for c in ("x", "y") for q in (lo, hi)]))
 
 
 def dominant_cells(df: DataFrame, cluster_col: str = "cluster", edges: int = 95) -> DataFrame:

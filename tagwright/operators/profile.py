@@ -24,6 +24,7 @@ from ..functions.text import (
 )
 from .. import defaults as D
 from .responses import sample_text
+from .quantile import grouped_medians
 from .topk import top_k_per_group
 
 MARKER_FRACTIONS = [
@@ -71,11 +72,11 @@ def cluster_profile(
     text: str = "assistant_output",
     approx_median: bool = False,
 ) -> DataFrame:
-    """A1-A3 in one aggregation: sizes, mean and median of characters and
-    words (words *not* floored) and the eight marker fractions.
+    """A1-A3: sizes, mean and median of characters and words (words *not*
+    floored) and the eight marker fractions.
 
-    The exact median keeps a value->count map per group; characters and words
-    are small integers, so the map stays small even for a huge cluster.
+    The exact medians come from the counts of each cluster's different values
+    (``grouped_medians``), so no cluster's rows meet in one task.
     ``approx_median`` switches to ``percentile_approx`` for very wide value
     ranges.
     """
@@ -87,15 +88,18 @@ def cluster_profile(
         word_count(t).alias("__words"),
         *[f.alias(f"__f{i}") for i, f in enumerate(flags)],
     )
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000).cast("double")) if approx_median else F.median
-    agg = pre.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.avg("__chars").alias("avg_chars"),
-        med("__chars").alias("median_chars"),
-        F.avg("__words").alias("avg_words"),
-        med("__words").alias("median_words"),
-        *[F.avg(f"__f{i}").alias(name) for i, name in enumerate(MARKER_FRACTIONS)],
-    )
+    means = [F.count(F.lit(1)).alias("members"), F.avg("__chars").alias("avg_chars"), F.avg("__words").alias("avg_words")]
+    fractions = [F.avg(f"__f{i}").alias(name) for i, name in enumerate(MARKER_FRACTIONS)]
+    if approx_median:
+        medians = [F.percentile_approx(f"__{c}", 0.5, 10000).cast("double").alias(f"median_{c}") for c in ("chars", "words")]
+        agg = pre.groupBy("cluster").agg(*means, *medians, *fractions)
+    else:
+        exact = grouped_medians(pre.withColumns({f"median_{c}": F.col(f"__{c}") for c in ("chars", "words")}), "cluster", ["median_chars", "median_words"])
+        both = exact.withColumnRenamed("cluster", "__c")
+        agg = pre.groupBy("cluster").agg(*means, *fractions)
+        agg = agg.join(both, agg["cluster"].eqNullSafe(both["__c"])).drop("__c")
+    names = ["members", "avg_chars", "median_chars", "avg_words", "median_words", *MARKER_FRACTIONS]
+    agg = agg.select("cluster", *names)
     return with_share(agg).withColumn("is_noise", F.col("cluster") == -1)
 
 

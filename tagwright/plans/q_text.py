@@ -226,9 +226,8 @@ def q_x1_x5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select(F.explode(tx.term_tokens("text")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    runs = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(tx.rx.WORD_RUN), 0)).alias("term"))
+    return runs.where(tx.is_term("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(

@@ -4,6 +4,8 @@ norm of embeddings, k-means."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,24 @@ def test_embed_with_custom_encoder_and_manifest(spark):
     write_manifest(spark, {"responses": e.count(), "embedding_shape": [e.count(), 8]}, os.path.join(out, "m"))
     text = "".join(open(os.path.join(out, "m", f)).read() for f in sorted(os.listdir(os.path.join(out, "m"))) if f.startswith("part-"))
     assert json.loads(text)["embedding_shape"] == [docs.count(), 8]
+
+
+def test_percentiles_match_numpy(spark):
+    import numpy as np
+
+    from tagwright.operators.quantile import exact_percentiles, grouped_medians
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=3000), np.full(900, 0.25), [1e300, -1e300, 1e-300, 5e-324]])
+    y = rng.integers(0, 5, len(x)).astype(float)
+    rows = [(int(i % 3), float(a), float(b), None) for i, (a, b) in enumerate(zip(x, y))] + [(0, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double").repartition(6)
+    shares = [0.0, 0.01, 0.05, 0.5, 0.731, 0.99, 1.0]
+    wanted = [(c, q) for c in ("x", "y") for q in shares] + [("z", 0.5)]
+    for few in (5, 4096):
+        got = exact_percentiles(df, wanted, parts=16, few=few)
+        assert got[-1] is None
+        assert np.allclose(got[:7], np.percentile(x, [100 * q for q in shares]), rtol=1e-12)
+        assert np.allclose(got[7:14], np.percentile(y, [100 * q for q in shares]))
+    med = {r["g"]: r["y"] for r in grouped_medians(df, "g", ["y"]).collect()}
+    assert med == {g: np.median(y[np.arange(len(y)) % 3 == g]) for g in range(3)}
