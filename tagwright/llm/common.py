@@ -13,7 +13,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, read_table, release, s
 
 __all__ = [
     "WS", "UPPER", "LOWER", "cut_lineage", "ensure_checkpoint_dir", "read_table", "release", "ship_package",
-    "LimitedCache", "ascii_lower", "parts_for", "strip_ws", "tree_sum", "words_of",
+    "ascii_lower", "parts_for", "strip_ws", "tree_sum", "words_of",
 ]
 
 # White space and letter classes of the contracts (fixed values)
@@ -66,28 +66,3 @@ def tree_sum(partials: DataFrame, dtype: str, n_parts: int, left: int = 1) -> Da
             add, "bucket long, part long, vector binary"
         )
     return partials.select("bucket", "vector")
-
-
-class LimitedCache:
-    """A memory per worker process for values of short keys, in two
-    generations: a full young one becomes the old one, and what is still in
-    use moves up again.  Only speed depends on it."""
-
-    def __init__(self, generation: int = 300_000, longest: int = 64):
-        self.generation, self.longest = generation, longest
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def table(self) -> dict:
-        """The young generation, for reading and adding."""
-        if len(self.young) >= self.generation:
-            self.old, self.young = self.young, {}
-        return self.young
-
-    def missing(self, keys: set) -> list:
-        """Those of the keys that have no value yet."""
-        left = keys.difference(self.young)
-        again = {k for k in left if k in self.old}
-        for k in again:
-            self.young[k] = self.old[k]
-        return list(left - again)

@@ -5,13 +5,15 @@ Every text is encoded by a byte-level vocabulary (A) and a piece vocabulary
 cut them into groups, and an A and a B token are linked where their byte
 ranges overlap.
 
-1. The distinct linked pairs of all documents are gathered and dealt to
-   buckets by their A id.  A bucket becomes a minimal perfect hash: per level
-   a bit array where a key's slot is set if no other key of the level has it;
-   keys that clash go to the next level, and the rank of its bit numbers a key.
-2. Every task adds its documents' pairs (once per document) into one dense
-   vector indexed by the hash; the vectors are summed up a tree.
-3. A second pass re-aligns the documents and looks the counts up.  A lookup
+1. A first pass aligns the documents; a task writes each linked pair it met
+   with how many of its documents hold it.
+2. The distinct pairs are dealt to buckets by their A id.  A bucket becomes a
+   minimal perfect hash: per level a bit array where a key's slot is set if no
+   other key of the level has it; keys that clash go to the next level, and the
+   rank of its bit numbers a key.
+3. Every task adds written counts into one dense vector indexed by the hash;
+   the vectors are summed up a tree.
+4. A second pass re-aligns the documents and looks the counts up.  A lookup
    compares the key stored at its index, so an unknown pair is an error and
    never another pair's count.
 
@@ -21,8 +23,8 @@ sums are added over the blocks.  All pairs of an A id lie in one block, so its
 highest count is known there.  Nothing is left out.
 
 Neither vocabulary merges over the place between a visible character and a
-space, so texts are encoded in the chunks between such places, and a worker
-remembers the alignment of short chunks in a bounded memory.
+space, so texts are encoded in the chunks between such places, and a task
+remembers the alignments of its chunks in a bounded memory.
 
 Edge cases: texts that are null, empty, or not given back byte by byte by both
 vocabularies have no tokens: zeros and an empty digest column.  Rows with
@@ -45,20 +47,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LimitedCache, cut_lineage, release, tree_sum
+from .common import cut_lineage, release, tree_sum
 from .pieces import tokenizer_path
 
 PAIRS_PER_BLOCK = 1 << 22
 PAIRS_PER_BUCKET = 1 << 14
 #: bits of a level for each of its keys
 SLACK = 1.5
-#: texts whose chunks are looked up together, and characters of chunks aligned together
-_TEXTS = 64
+#: characters of texts looked up together, and of chunks aligned together
+_TEXT_CHARS = 1 << 20
 _CHARS = 1 << 18
+#: chunks, and characters of chunks, from which a task's memory starts anew
+_KNOWN = 600_000
+_KNOWN_CHARS = 1 << 24
 #: pairs a task holds before it makes them distinct
 _HELD = 1 << 21
 
 
+#: what is known of a chunk, in this order; ``LOST`` is 1 if a vocabulary doesn't give it back
+FACTS = LOST, N_A, N_B, N_GROUPS, N_LINKS = range(5)
+
 # --- one text ----------------------------------------------------------------
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -79,9 +87,7 @@ def _open(chunk: str) -> bool:
 
 
 class Aligner:
-    """Alignments of chunks: ``(links, n_a, n_b, n_groups)`` and, if asked for,
-    the text of the groups, with a link as ``a << 16 | b``; None where a
-    vocabulary doesn't give the chunk back."""
+    """Alignments of chunks by the two vocabularies; a link is ``a << 16 | b``."""
 
     def __init__(self, ranks: str, pieces: str):
         import public_tokenizers
@@ -104,19 +110,27 @@ class Aligner:
         if crossing:
             raise ValueError(f"pieces may hold a space only at their start: {crossing[:3]}")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.memory: dict[bool, LimitedCache] = {g: LimitedCache() for g in (False, True)}
+        plain = list(map(str, range(1 << 16)))
+        self.words = np.array([[w + sign for w in plain] for sign in ",|;"], object)
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
     def _a_ids(self, chunks: list[str]) -> list[list[int]]:
-        """Chunks that end in a visible character are encoded as one text, as
-        no token runs over their starts."""
+        """Chunks between one that ends in a visible character and the next
+        such are encoded as one text, as no token runs over their starts."""
         try:
-            if any(map(_open, chunks)):
-                return [self.a.encode_ordinary(" " + c) for c in chunks]
-            return [self.a.encode_ordinary(" " + " ".join(chunks))]
+            opened = [c for c in chunks if _open(c)]
+            if not opened:
+                return [self.a.encode_ordinary(" " + " ".join(chunks))]
+            out, run = [], []
+            for c in chunks:
+                run.append(c)
+                if _open(c):
+                    out.append(self.a.encode_ordinary(" " + " ".join(run)))
+                    run = []
+            return [*out, self.a.encode_ordinary(" " + " ".join(run))] if run else out
         except ValueError:  # its regex engine gives up on white space of some 10^5 characters in a row
             if len(chunks) > 1:
                 return [self._a_ids([c])[0] for c in chunks]
@@ -126,68 +140,144 @@ class Aligner:
             library.encode_special_tokens = True
             return [library.encode(" " + chunks[0], add_special_tokens=False).ids]
 
-    def align(self, chunks: list[str], with_groups: bool) -> list[tuple | None]:
-        """All chunks at once, as one run of bytes."""
+    def align(self, chunks: list[str], with_groups: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """All chunks at once, as one run of bytes: the ``FACTS`` of each chunk
+        as columns, the links of all, and the text of each chunk's groups.  Of
+        chunks that aren't given back, each is found by halving."""
         each_a = self._a_ids(chunks)
         each_b = [b if c else [self.space] for b, c in zip(self.b.encode(chunks, num_threads=1), chunks)]
         data = [b" " + c.encode() for c in chunks]
+        whole = b"".join(data)
+        ids = []
         for each, table in ((each_a, self.a_bytes), (each_b, self.b_bytes)):
-            if b"".join([table[i] for ids in each for i in ids]) != b"".join(data):
-                if len(chunks) == 1:
-                    return [None]
-                return [self.align([c], with_groups)[0] for c in chunks]
-        a, b = (np.fromiter(chain.from_iterable(x), np.uint32) for x in (each_a, each_b))
+            ids.append(list(chain.from_iterable(each)))
+            if b"".join(map(table.__getitem__, ids[-1])) != whole:
+                return self._halves(chunks, with_groups)
+        a, b = (np.array(x, np.uint32) for x in ids)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         chunk_ends = np.cumsum(list(map(len, data)))
-        end_of_a, end_of_b = (np.zeros(chunk_ends[-1] + 1, bool) for _ in range(2))
+        end_of_a, end_of_b = (np.zeros(len(whole) + 1, bool) for _ in range(2))
         end_of_a[a_ends] = end_of_b[b_ends] = True
         if not (end_of_a[chunk_ends] & end_of_b[chunk_ends]).all():
-            return [self.align([c], with_groups)[0] for c in chunks]
+            return self._halves(chunks, with_groups)
         ends = np.flatnonzero(end_of_a | end_of_b)
         links = (a[np.searchsorted(a_ends, ends)] << np.uint32(16)) | b[np.searchsorted(b_ends, ends)]
         both = np.flatnonzero(end_of_a & end_of_b)
-        n_a, n_b = (np.diff(np.searchsorted(e, chunk_ends, side="right"), prepend=0).tolist() for e in (a_ends, b_ends))
-        raw = links.astype("<u4").tobytes()
-        link_cuts = [0, *(4 * np.searchsorted(ends, chunk_ends, side="right")).tolist()]
-        group_cuts = [0, *np.searchsorted(both, chunk_ends, side="right").tolist()]
-        texts = [""] * len(chunks)
-        if with_groups:
-            sides = []
-            for ids, own_ends in ((a, a_ends), (b, b_ends)):
-                words = list(map(str, ids.tolist()))
-                cuts = [0, *(np.searchsorted(own_ends, both) + 1).tolist()]
-                sides.append([words[i] if j == i + 1 else ",".join(words[i:j]) for i, j in zip(cuts, cuts[1:])])
-            groups = [f"{x}|{y}" for x, y in zip(*sides)]
-            texts = [";".join(groups[i:j]) for i, j in zip(group_cuts, group_cuts[1:])]
-        return [
-            (raw[i:j], x, y, n - m, text)
-            for i, j, x, y, m, n, text in zip(link_cuts, link_cuts[1:], n_a, n_b, group_cuts, group_cuts[1:], texts)
-        ]
-
-    def documents(self, texts: list[str | None], with_groups: bool) -> Iterator[list[tuple]]:
-        """The alignments of each text's chunks; none for a text without tokens."""
-        memory = self.memory[with_groups]
-        for start in range(0, len(texts), _TEXTS):
-            own = [chunks_of(t) if t else [] for t in texts[start : start + _TEXTS]]
-            known = memory.table()
-            missing = memory.missing(set(chain.from_iterable(own)))
-            missing.sort(key=_open)
-            longer, i = {}, 0
-            while i < len(missing):
-                j, size = i, 0
-                while j < len(missing) and (j == i or size + len(missing[j]) <= _CHARS and _open(missing[j]) == _open(missing[i])):
-                    size += len(missing[j])
-                    j += 1
-                for c, v in zip(missing[i:j], self.align(missing[i:j], with_groups)):
-                    (known if len(c) <= memory.longest else longer)[c] = v
-                i = j
-            for chunks in own:
-                parts = [longer[c] if c in longer else known[c] for c in chunks] if longer else list(map(known.__getitem__, chunks))
-                yield [] if None in parts else parts
-
-    def links(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for parts in self.documents(texts, False):
-            yield np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
+        facts = np.zeros((len(FACTS), len(chunks)), np.int64)
+        for i, e in ((N_A, a_ends), (N_B, b_ends), (N_GROUPS, both), (N_LINKS, ends)):
+            facts[i] = np.diff(np.searchsorted(e, chunk_ends, side="right"), prepend=0)
+        return facts, links, self._groups(a, b, a_ends, b_ends, end_of_a, end_of_b, both, facts) if with_groups else []
+
+    def _halves(self, chunks: list[str], with_groups: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        if len(chunks) == 1:
+            facts = np.zeros((len(FACTS), 1), np.int64)
+            facts[LOST] = 1
+            return facts, np.zeros(0, np.uint32), [""] if with_groups else []
+        middle = len(chunks) // 2
+        (f, x, s), (g, y, t) = (self.align(part, with_groups) for part in (chunks[:middle], chunks[middle:]))
+        return np.concatenate([f, g], axis=1), np.concatenate([x, y]), s + t
+
+    def _groups(self, a, b, a_ends, b_ends, end_of_a, end_of_b, both, facts) -> list[str]:
+        """Each chunk's groups as text, ``;`` after every group: every token is
+        a word with the sign that follows it, put in the order of the groups."""
+        group_a, group_b = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+        words = np.empty(len(a) + len(b), object)
+        words[place_a] = self.words[np.where(end_of_b[a_ends], 1, 0), a]
+        words[place_b] = self.words[np.where(end_of_a[b_ends], 2, 0), b]
+        words = words.tolist()
+        cuts = [0, *np.cumsum(facts[N_A] + facts[N_B]).tolist()]
+        return ["".join(words[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def documents(self, texts: list[str | None], with_groups: bool) -> Iterator[np.ndarray]:
+        """The ``FACTS`` of each text's chunks, a row a chunk."""
+        memory = Memory(self, with_groups)
+        for at in memory.documents(texts):
+            yield memory.facts[:, at].T
+
+
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first met."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
+class Memory:
+    """The alignments of the chunks that a task has met, in flat arrays by
+    number.  It starts anew when full; only speed depends on that.  ``derive``
+    gives further rows of numbers for new chunks from their facts and links."""
+
+    def __init__(self, own: Aligner, with_groups: bool, derive=None):
+        self.own, self.with_groups, self.derive = own, with_groups, derive
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.chars = _Numbers(), 0
+        self.facts = np.zeros((len(FACTS), 0), np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.uint32)
+        self.derived: np.ndarray | None = None
+        self.groups: list[str] = []
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        facts, links, derived, i = [self.facts], [self.links], [] if self.derived is None else [self.derived], 0
+        while i < len(new):
+            j, size = i, 0
+            while j < len(new) and (j == i or size + len(new[j]) <= _CHARS):
+                size += len(new[j])
+                j += 1
+            own_facts, own_links, groups = self.own.align(new[i:j], self.with_groups)
+            if self.derive:
+                derived.append(self.derive(own_facts, own_links))
+            facts.append(own_facts)
+            links.append(own_links)
+            self.groups += groups
+            self.chars += size
+            i = j
+        if new:
+            self.facts, self.links = np.concatenate(facts, axis=1), np.concatenate(links)
+            self.starts = np.cumsum(self.facts[N_LINKS]) - self.facts[N_LINKS]
+            if self.derive:
+                self.derived = np.concatenate(derived, axis=1)
+
+    def batches(self, texts: list[str | None]) -> Iterator[list[np.ndarray]]:
+        """The numbers of each text's chunks, of several texts at a time;
+        they hold until the next step."""
+        i = 0
+        while i < len(texts):
+            if len(self.numbers) > _KNOWN or self.chars > _KNOWN_CHARS:
+                self._clear()
+            out, size = [], 0
+            while i < len(texts) and size < _TEXT_CHARS:
+                chunks = chunks_of(texts[i]) if texts[i] else []
+                out.append(np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks)))
+                size += len(texts[i] or "")
+                i += 1
+            self._learn()
+            yield out
+
+    def documents(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for batch in self.batches(texts):
+            yield from batch
+
+    def pair_counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked pairs of some texts at a time, with how many hold each."""
+        for batch in self.batches(texts):
+            kept = [at for at in batch if not self.facts[LOST, at].any()]
+            at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            sizes = self.facts[N_LINKS, at]
+            text = np.repeat(np.repeat(np.arange(len(kept)), np.array(list(map(len, kept)), np.int64)), sizes)
+            place = np.arange(len(text)) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+            held = np.unique((text.astype(np.uint64) << np.uint64(32)) | self.links[place].astype(np.uint64))
+            yield np.unique((held & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -308,25 +398,38 @@ class PairTable:
 # --- the passes ------------------------------------------------------------------
 
 
-def distinct_pairs(texts: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """``pair`` (A id * 65536 + B id) of all linked pairs of ``text``."""
+def pair_counts(texts: DataFrame, files: tuple[str, str]) -> DataFrame:
+    """``pair`` (A id * 65536 + B id) of all linked pairs of ``text``, and
+    ``n_docs``: the documents of a part of a task that hold it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, waiting = aligner(*files), [], 0
-        seen = np.zeros(0, np.uint32)
+        memory, held, waiting = Memory(aligner(*files), False), [], 0
         for b in batches:
-            for links in own.links(b["text"].tolist()):
-                held.append(links)
-                waiting += len(held[-1])
+            for found in memory.pair_counts(b["text"].tolist()):
+                held.append(found)
+                waiting += len(found[0])
                 if waiting > _HELD:
-                    seen = np.unique(np.concatenate([seen, *held]))
-                    held, waiting = [], 0
-                    if len(seen) > _HELD:
-                        yield pd.DataFrame({"pair": seen.astype(np.int64)})
-                        seen = np.zeros(0, np.uint32)
-        yield pd.DataFrame({"pair": np.unique(np.concatenate([seen, *held])).astype(np.int64)})
+                    held = [_merged(held)]
+                    waiting = len(held[0][0])
+                    if waiting > _HELD // 2:
+                        yield _count_rows(*held[0])
+                        held, waiting = [], 0
+        if held:
+            yield _count_rows(*_merged(held))
+
+    return texts.select("text").mapInPandas(run, "pair long, n_docs long")
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its counts."""
+    pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+    counts = np.zeros(len(pairs), np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in held]))
+    return pairs, counts
+
 
-    return texts.select("text").mapInPandas(run, "pair long").distinct()
+def _count_rows(pairs: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"pair": pairs.astype(np.int64), "n_docs": counts})
 
 
 def hash_buckets(pairs: DataFrame, n_buckets: int) -> DataFrame:
@@ -342,38 +445,24 @@ def hash_buckets(pairs: DataFrame, n_buckets: int) -> DataFrame:
     return pairs.groupBy(bucket.alias("bucket")).applyInPandas(build, "bucket long, n long, sizes array<long>, bits binary, keys binary")
 
 
-def count_vectors(texts: DataFrame, table: PairTable, files: tuple[str, str]) -> DataFrame:
-    """``bucket, part, vector``: in how many documents of a task each pair of
-    the table is linked."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+def count_vectors(counted: DataFrame, table: PairTable) -> DataFrame:
+    """``bucket, part, vector``: the sums of a task's rows of ``pair, n_docs``
+    for each pair of the table."""
+    shared = counted.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, pairs = aligner(*files), shared.value
+        pairs = shared.value
         counts = np.zeros(pairs.n, np.int64)
-
-        def add(held: list[np.ndarray]) -> None:
-            at = pairs.numbers(np.concatenate(held))[1]
-            if len(at):
-                numbers, n = np.unique(at, return_counts=True)
-                counts[numbers] += n
-
-        held, waiting = [], 0
         for b in batches:
-            for links in own.links(b["text"].tolist()):
-                held.append(np.unique(links))
-                waiting += len(held[-1])
-                if waiting > _HELD:
-                    add(held)
-                    held, waiting = [], 0
-        if held:
-            add(held)
+            own, at = pairs.numbers(b["pair"].to_numpy(np.int64).astype(np.uint32))
+            np.add.at(counts, at, b["n_docs"].to_numpy(np.int64)[own])
         if pairs.n:
             part = TaskContext.get().partitionId()
             for (bucket, *_), start, end in zip(pairs.rows, pairs.bases, pairs.bases[1:]):
                 if counts[start:end].any():
                     yield pd.DataFrame({"bucket": [bucket], "part": [part], "vector": [counts[start:end].astype("<i8").tobytes()]})
 
-    return texts.select("text").mapInPandas(run, "bucket long, part long, vector binary")
+    return counted.mapInPandas(run, "bucket long, part long, vector binary")
 
 
 DOCUMENT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -385,20 +474,29 @@ def look_up(docs: DataFrame, id_col: str, table: PairTable, files: tuple[str, st
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, pairs = aligner(*files), shared.value
+        pairs = shared.value
         best = pairs.best()
+
+        def sums(facts: np.ndarray, links: np.ndarray) -> np.ndarray:
+            """``n_best, count_sum`` of each chunk."""
+            of_links = np.zeros((2, len(links) + 1), np.int64)
+            own, at = pairs.numbers(links)
+            counts = pairs.counts[at]
+            of_links[:, own + 1] = counts == best[links[own] >> 16], counts
+            return np.diff(np.cumsum(of_links, axis=1)[:, np.cumsum(facts[N_LINKS])], prepend=0)
+
+        memory = Memory(aligner(*files), True, sums)
+        names = [c.split()[0] for c in DOCUMENT.split(", ")]
         for b in batches:
             out = []
-            for parts in own.documents(b["text"].tolist(), True):
-                raw, n_a, n_b, n_groups, groups = zip(*parts) if parts else [()] * 5
-                links = np.frombuffer(b"".join(raw), "<u4")
-                keys, times = np.unique(links, return_counts=True)
-                here, at = pairs.numbers(keys)
-                counts = pairs.counts[at]
-                top = counts == best[keys[here] >> 16]
-                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if parts else ""
-                out.append((sum(n_a), sum(n_b), sum(n_groups), len(links), int(times[here][top].sum()), int((times[here] * counts).sum()), digest))
-            names = [c.split()[0] for c in DOCUMENT.split(", ")]
+            for at in memory.documents(b["text"].tolist()):
+                facts = memory.facts[:, at].sum(axis=1)
+                if not len(at) or facts[LOST]:
+                    out.append((0, 0, 0, 0, 0, 0, ""))
+                    continue
+                groups = "".join(map(memory.groups.__getitem__, at.tolist()))[:-1]
+                digest = hashlib.sha256(groups.encode()).hexdigest()
+                out.append((*facts[1:].tolist(), *memory.derived[:, at].sum(axis=1).tolist(), digest))
             yield pd.DataFrame({id_col: b[id_col]} | {c: [o[i] for o in out] for i, c in enumerate(names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -418,7 +516,8 @@ def align_tokenizers(
     ``a, b, n_docs`` of all linked pairs."""
     files = (ranks, pieces)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pairs = cut_lineage(distinct_pairs(docs, files))
+    held = cut_lineage(pair_counts(docs, files))
+    pairs = cut_lineage(held.select("pair").distinct())
     n_buckets = max(1, math.ceil(pairs.count() / pairs_per_bucket))
     hashed = cut_lineage(hash_buckets(pairs, n_buckets))
     release(pairs)
@@ -438,7 +537,7 @@ def align_tokenizers(
     for block in blocks or [[]]:
         here = hashed.where(F.col("bucket").between(block[0], block[-1])) if block else hashed.limit(0)
         table = PairTable(n_buckets, [tuple(r) for r in here.orderBy("bucket").collect()])
-        partials = cut_lineage(count_vectors(docs, table, files))
+        partials = cut_lineage(count_vectors(held, table))
         n_parts = partials.agg(F.max("part")).first()[0]
         sums = cut_lineage(tree_sum(partials, "<i8", 1 if n_parts is None else n_parts + 1))
         release(partials)
@@ -450,6 +549,7 @@ def align_tokenizers(
         else:
             found = look_up(docs.withColumn("id", F.struct("row", "id")), "id", table, files)
             out = found if out is None else out.unionByName(found)
+    release(held)
     if len(blocks) > 1:
         same = [F.any_value(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")]
         added = [F.sum(c).alias(c) for c in ("n_best", "count_sum")]
