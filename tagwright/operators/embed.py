@@ -4,14 +4,15 @@ The reference encodes responses with a neural sentence encoder in batches and
 L2-normalises the vectors.  Here the Spark job around any encoder is
 :func:`embed_with`: ``mapInPandas`` over Arrow batches with the encoder built
 once per Python worker.  The default encoder, :func:`with_hashed_embedding`, needs
-no model file: a signed hashed bag of lower-cased word tokens, L2-normalised,
-written with built-in expressions only (so it is also checkable in SQL).  It is
+no model file: a signed hashed bag of lower-cased word tokens, L2-normalised
+(so it is also checkable in SQL).  It is
 *not* equal in meaning to a neural encoder; it is a deterministic stand-in
 that keeps the pipeline runnable end to end.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,39 +23,58 @@ from pyspark.sql import functions as F
 from ..functions.regex import WORD_RUN
 
 DIMS = 64
+#: tokens a task remembers before it starts anew; only speed depends on it
+KNOWN_TOKENS = 1_000_000
 
 
-def _bucket(tok: Column, dims: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dims))
+class _Codes(dict):
+    """Token -> its bucket, plus ``dims`` if its sign is negative: bucket and
+    sign are the first 32 bits and the next bit of the token's md5."""
 
+    def __init__(self, dims: int):
+        self.dims = dims
 
-def _sign(tok: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode()).digest()
+        code = self[token] = int.from_bytes(digest[:4], "big") % self.dims + (self.dims if digest[4] & 128 else 0)
+        return code
+
+
+def hashed_vector(text: Column, dims: int = DIMS) -> Column:
+    """Signed hashed bag of words of one text, L2-normalised (see
+    :func:`with_hashed_embedding`).  Lower-casing and token matching stay in
+    the JVM; the tokens of a row cross once, as one string."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = _Codes(dims)
+        for batch in batches:
+            out = []
+            for tokens in batch:
+                if len(codes) > KNOWN_TOKENS:
+                    codes.clear()
+                at = np.fromiter(map(codes.__getitem__, tokens.split(" ") if tokens else ()), np.int64)
+                n = np.bincount(at, minlength=2 * dims)
+                v = (n[:dims] - n[dims:]).astype(np.float64)
+                norm = np.sqrt((v * v).sum())
+                out.append((v / norm if norm > 0 else v).astype(np.float32))
+            yield pd.Series(out, dtype=object)
+
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_RUN), 0)
+    return vectors(F.array_join(tokens, " "))
 
 
 def with_hashed_embedding(
     df: DataFrame, key_col: str, text_col: str = "assistant_output", dims: int = DIMS, out: str = "embedding"
 ) -> DataFrame:
     """Signed hashed bag of words, L2-normalised, ``array<float>`` of ``dims``
-    (an empty text gives the zero vector).  ``key_col`` must be unique.
+    (a null or empty text gives the zero vector), ``key_col`` first.
 
-    Tokens are exploded and summed per (row, bucket): the partial aggregation
-    leaves at most ``dims`` rows per input row before the shuffle, so the cost
-    is linear in the number of tokens.  The (bounded) bucket sums of a row are
-    then assembled into the vector and joined back on the key.
+    A row's vector is worked out from its own text alone: no explode, shuffle
+    or join back, and rows with a null or repeated key stay as they are.
     """
-    toks = df.select(key_col, F.explode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RUN), 0)).alias("__w"))
-    per = toks.groupBy(key_col, _bucket(F.col("__w"), dims).alias("__b")).agg(
-        F.sum(F.when(F.col("__w").isNotNull(), _sign(F.col("__w")))).alias("__v")
-    )
-    entries = F.filter(F.collect_list(F.struct("__b", "__v")), lambda e: e["__b"].isNotNull())
-    vecs = per.groupBy(key_col).agg(F.map_from_entries(entries).alias("__m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("__m"), i.cast("long")), F.lit(0.0)))
-    vecs = vecs.select(key_col, raw.alias("__r"))
-    norm = F.sqrt(F.aggregate("__r", F.lit(0.0), lambda acc, v: acc + v * v))
-    vecs = vecs.select(key_col, F.transform("__r", lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)).cast("float")).alias(out))
-    others = [c for c in df.columns if c != key_col]
-    return df.join(vecs, key_col) if others else vecs
+    others = [c for c in df.columns if c not in (key_col, out)]
+    return df.select(key_col, *others, hashed_vector(F.col(text_col), dims).alias(out))
 
 
 def embed_with(
