@@ -16,9 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
-from .rank import blocked_row_number, bucket_counts, rank_cuts
+from ..session import cut_lineage
+from .rank import bucket_counts, rank_cuts
 
 SPLITS = ("train", "validation", "test", "new_data")
+#: hex digits of the hash by which :func:`group_cuts` counts
+CUT_PREFIX = 4
+#: above this many bytes the table of cuts is joined by shuffle, not broadcast
+CUTS_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -118,21 +123,50 @@ def before_cut_expr(id_col: str, seed: int, cut) -> Column:
     return (h < F.lit(ch)) | ((h == F.lit(ch)) & (F.col(id_col) < F.lit(ci)))
 
 
+def group_cuts(df: DataFrame, group_cols: list[str], key_col: str, cap: int, seed: int = D.SEED) -> DataFrame:
+    """Where the hash order of each group of at least ``cap`` rows reaches row
+    ``cap``: the group, the hash prefix of that row (``__cut``) and how many
+    rows of this prefix still belong (``__left``).
+
+    Only counts per (group, prefix) move, added up before the shuffle, so a
+    group has at most ``16**CUT_PREFIX`` of them however many rows it holds.
+    """
+    prefix = F.substring(hash_key(key_col, seed), 1, CUT_PREFIX)
+    counts = df.groupBy(*group_cols, prefix.alias("__cut")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*group_cols).orderBy("__cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("__n").over(upto) - F.col("__n")
+    counts = counts.withColumn("__before", before).where((F.col("__before") < cap) & (F.col("__before") + F.col("__n") >= cap))
+    return counts.select(*group_cols, "__cut", (F.lit(cap) - F.col("__before")).alias("__left"))
+
+
 def cap_per_group(
     df: DataFrame, group_cols: list[str], key_col: str, cap: int | None, seed: int = D.SEED
 ) -> DataFrame:
-    """At most ``cap`` rows per group, chosen by hash order of ``key_col``.
-
-    Ranking uses :func:`blocked_row_number` with the 3-hex hash prefix as
-    block, so a group holding a third of the table is ranked by many tasks.
+    """At most ``cap`` rows per group, chosen by hash order of ``key_col``
+    (null values of the group columns form groups like any other; rows with
+    equal keys are ordered arbitrarily among themselves).
+
+    :func:`group_cuts` finds each group's cut first; rows past it go where
+    they are read, and only the rows up to it, about ``cap`` a group, are
+    shuffled, to be ranked inside (group, prefix).  The table of cuts is
+    broadcast if its measured size is at most ``CUTS_LIMIT_BYTES``.
     """
     if cap is None:
         return df
-    h = hash_key(key_col, seed)
-    ranked = blocked_row_number(
-        df.withColumn("__h", h), group_cols, ["__h", key_col], F.substring("__h", 1, 3), out="__rn"
-    )
-    return ranked.where(F.col("__rn") <= cap).drop("__h", "__rn")
+    if cap <= 0:
+        return df.where(F.lit(False))
+    cuts = cut_lineage(group_cuts(df, group_cols, key_col, cap, seed))
+    size = cuts.agg(F.sum(F.length(F.to_json(F.struct(*group_cols))) + 64)).first()[0] or 0
+    names = {c: f"__g{i}" for i, c in enumerate(group_cols)}
+    cuts = cuts.withColumnsRenamed(names)
+    if size <= CUTS_LIMIT_BYTES:
+        cuts = F.broadcast(cuts)
+    keyed = df.withColumn("__h", hash_key(key_col, seed)).withColumn("__p", F.substring("__h", 1, CUT_PREFIX))
+    same = [F.col(c).eqNullSafe(F.col(g)) for c, g in names.items()]
+    near = keyed.join(cuts, same, "left").where(F.col("__cut").isNull() | (F.col("__p") <= F.col("__cut")))
+    rank = F.row_number().over(Window.partitionBy(*group_cols, "__p").orderBy("__h", key_col))
+    kept = F.col("__cut").isNull() | (F.col("__p") < F.col("__cut")) | (F.col("__rn") <= F.col("__left"))
+    return near.withColumn("__rn", rank).where(kept).select(*df.columns)
 
 
 __all__ = [
@@ -140,6 +174,7 @@ __all__ = [
     "SplitFractions",
     "cap_per_group",
     "exact_sample",
+    "group_cuts",
     "hash_key",
     "split_assignment",
     "split_counts",

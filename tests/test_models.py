@@ -94,6 +94,31 @@ def test_hashed_embedding_unit_norm(spark):
     assert unit_norm_violations(e) == 0
 
 
+def test_hashed_embedding_whole_vectors(spark):
+    import hashlib
+    import re
+
+    from tagwright.operators.embed import with_hashed_embedding
+    from tagwright.session import ship_package
+
+    ship_package(spark)
+    texts = [None, "", "...", "One two, one!", "Été été 日本 x_y 12", "same", "same", "word " * 5000]
+    rows = [(i if i != 3 else None, t, "kept") for i, t in enumerate(texts)] + [(5, "repeated key", "kept")]
+    df = spark.createDataFrame(rows, "k long, text string, other string")
+    out = with_hashed_embedding(df, "k", "text", 16)
+    assert out.columns == ["k", "text", "other", "embedding"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert sorted(((r["k"], r["text"], r["other"]) for r in got), key=str) == sorted(rows, key=str)
+    for r in got:
+        v = np.zeros(16)
+        for token in re.findall(r"\w+", (r["text"] or "").lower()):
+            digest = hashlib.md5(token.encode()).hexdigest()
+            v[int(digest[:8], 16) % 16] += 1 if int(digest[8], 16) < 8 else -1
+        norm = np.sqrt((v * v).sum())
+        assert np.array_equal(np.array(r["embedding"], np.float32), (v / norm if norm else v).astype(np.float32))
+
+
 def test_kmeans_and_grouped(spark):
     from tagwright.operators import cluster as cl
 

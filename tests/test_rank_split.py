@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagwright.operators.rank import blocked_row_number, rank_cuts
+from tagwright.operators import split
 from tagwright.operators.split import SplitFractions, cap_per_group, exact_sample, split_assignment
 from tagwright.operators.topk import top_k_per_group
 
@@ -77,6 +78,31 @@ def test_exact_sample_and_cap(spark):
     assert set(per.values()) == {5}
 
 
+def test_cap_matches_a_full_sort(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}" if i % 2 else None, "x") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, g string, pair string").repartition(6)
+
+    def order(i):
+        return hashlib.md5(f"42:{i}".encode()).hexdigest(), i
+
+    groups = {}
+    for i, g, _ in rows:
+        groups.setdefault(g, []).append(i)
+    for limit in (split.CUTS_LIMIT_BYTES, -1):  # cuts broadcast, cuts joined by shuffle
+        monkeypatch.setattr(split, "CUTS_LIMIT_BYTES", limit)
+        for cap in (1, 7, 150, 10_000):
+            got = cap_per_group(df, ["g"], "id", cap, seed=42)
+            assert got.columns == df.columns
+            expected = {(i, g, "x") for g, ids in groups.items() for i in sorted(ids, key=order)[:cap]}
+            found = [tuple(r) for r in got.collect()]
+            assert len(found) == len(expected) and set(found) == expected
+    assert cap_per_group(df, ["g"], "id", 0).count() == 0
+    assert cap_per_group(df, ["g"], "id", None) is df
+    assert cap_per_group(df.limit(0), ["g"], "id", 3).count() == 0
+    repeated = spark.createDataFrame([(1, "a")] * 9, "id long, g string")
+    assert cap_per_group(repeated, ["g"], "id", 4).count() == 4
+
+
 def test_rank_cuts_past_end(spark):
     df = spark.createDataFrame([(i, hashlib.md5(str(i).encode()).hexdigest()) for i in range(50)], "id long, h string")
     cuts = rank_cuts(df, "h", "id", [0, 49, 50])
