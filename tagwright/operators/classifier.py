@@ -19,6 +19,7 @@ ML's ``LinearSVC`` (plain hinge, unregularised intercept).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,6 +35,10 @@ from .tagger import LinearTagModel
 STEPS = [1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625, 0.0078125, 0.00390625, 0.001953125]
 
 
+class ConvergenceWarning(UserWarning):
+    """A fit ended before it settled."""
+
+
 def _design(pdf: pd.DataFrame, d: int) -> np.ndarray:
     x = np.ones((len(pdf), d + 1))
     for j in range(d):
@@ -124,7 +129,8 @@ def fit_squared_hinge(
 ) -> tuple[np.ndarray, int]:
     """Newton with backtracking for all tags at once.  ``train`` holds
     ``z0..z{d-1}`` and ``y0..y{T-1}`` (0/1).  Returns the (T, d+1) weights
-    (last entry = intercept) and the number of rounds.
+    (last entry = intercept) and the number of rounds; a ``ConvergenceWarning``
+    names how many tags have not settled by then.
 
     A round is one pass in the usual case: the pass that scores the step-size
     ladder also accumulates the gradient and Hessian at the full Newton step,
@@ -132,6 +138,7 @@ def fit_squared_hinge(
     """
     w = np.zeros((n_tags, d + 1))
     done = np.zeros(n_tags, dtype=bool)
+    stuck = np.zeros(n_tags, dtype=bool)
     sums = _sum_rows(train, _grad_hess_fn(w, class_weights, c, d))
     rounds = 0
     for rounds in range(1, max_iter + 1):
@@ -161,7 +168,7 @@ def fit_squared_hinge(
             for s_, a in enumerate(STEPS):
                 wn = w[k] + a * step_dir[k]
                 f = 0.5 * wn @ wn + res.get((k, -2 - s_), 0.0)
-                if f <= obj0[k] + 1e-4 * a * min(gd, 0.0) or s_ == len(STEPS) - 1:
+                if f <= obj0[k] + 1e-4 * a * min(gd, 0.0):
                     w[k] = wn
                     if abs(obj0[k] - f) <= 1e-15 * max(1.0, abs(obj0[k])):
                         done[k] = True
@@ -170,13 +177,16 @@ def fit_squared_hinge(
                     else:
                         stale = True
                     break
+            else:  # no step lowers the objective: its last bits, or a fit that stays where it is
+                done[k] = True
+                stuck[k] = abs(gd) > 1e-12 * max(1.0, abs(obj0[k]))
         if stale:
             sums = _sum_rows(train, _grad_hess_fn(w, class_weights, c, d))
         else:
             sums = nxt
-        if rounds % 5 == 0:
-            old, train = train, cut_lineage(train)
-            release(old)
+    open_tags = int((~done | stuck).sum())
+    if open_tags:
+        warnings.warn(f"{open_tags} of {n_tags} tags have not settled in {rounds} rounds", ConvergenceWarning, stacklevel=2)
     return w, rounds
 
 

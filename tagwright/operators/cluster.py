@@ -30,7 +30,9 @@ def to_vector(col: str | Column):
 
 
 def kmeans(df: DataFrame, vec_col: str, k: int = D.KMEANS_CLUSTERS, seed: int = D.SEED, max_iter: int = 20) -> tuple[DataFrame, dict]:
-    """M5: labels in ``cluster`` and the run facts (M8)."""
+    """M5: labels in ``cluster`` and the run facts (M8).  Spark ML stops when no
+    centre moves any more or after ``max_iter`` rounds; ``rounds`` and
+    ``converged`` (fewer rounds than that) tell which."""
     from pyspark.ml.clustering import KMeans
 
     data = df.withColumn("__v", to_vector(vec_col))
@@ -43,6 +45,8 @@ def kmeans(df: DataFrame, vec_col: str, k: int = D.KMEANS_CLUSTERS, seed: int =
         "noise_count": 0,
         "noise_fraction": 0.0,
         "inertia": float(model.summary.trainingCost),
+        "rounds": model.summary.numIter,
+        "converged": model.summary.numIter < max_iter,
     }
     return out, facts
 

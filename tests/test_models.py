@@ -51,6 +51,27 @@ def test_squared_hinge_matches_bruteforce(spark):
     assert gradient_norms(df, w, cw, x.shape[1]).max() < 1e-6
 
 
+def test_fits_tell_whether_they_settled(spark):
+    import warnings
+
+    import pytest
+
+    from tagwright.operators import cluster as cl
+    from tagwright.operators.classifier import ConvergenceWarning
+
+    df, x, _ = _gaussian(spark)
+    cw = np.ones((2, 2))
+    with pytest.warns(ConvergenceWarning, match="2 of 2 tags"):
+        fit_squared_hinge(df, 2, cw, x.shape[1], max_iter=1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", ConvergenceWarning)
+        fit_squared_hinge(df, 2, cw, x.shape[1])
+    points = spark.createDataFrame([([float(i % 2 * 100 + i % 5)],) for i in range(100)], "v array<double>")
+    facts = cl.kmeans(points, "v", k=2)[1]
+    assert facts["converged"] and facts["rounds"] < 20
+    assert cl.kmeans(points, "v", k=2, max_iter=1)[1]["converged"] is False
+
+
 def test_constant_tag_scores_one(spark):
     rows = [(float(i % 5), float(i % 3), ["always", "odd"] if i % 2 else ["always"]) for i in range(60)]
     df = spark.createDataFrame(rows, "f0 double, f1 double, tags array<string>")
