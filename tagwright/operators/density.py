@@ -1,23 +1,19 @@
 """Neighbour graph (M4) and hierarchical density clustering (M7).
 
-Exact distances are computed inside *block-pair groups*: every point gets a
-hash block ``b in [0, B)`` and is sent to the B pair keys ``(min(b, o),
-max(b, o))``; one ``applyInPandas`` call sees two blocks (at most about
-``2 * block_size`` rows, whatever the data's skew), computes their distance
-matrix with numpy and emits only the best candidates per point.  No pair of
-rows is ever materialised as a row.  The work is quadratic, as exact
-neighbour search in high dimension is; sample first (T9) for inputs where
-that is too much, as the reference does.
+Exact distances are computed block against block with numpy, never as rows of
+pairs.  Blocks are the cells of pivots (:mod:`cells`): a point meets its own
+block, and then only those whose distance bound can still change its answer.
+Hot cells are dealt into blocks of ``block_size`` points and visitors into
+chunks of the same size.
 
 M7 follows the published HDBSCAN* definition:
 
 1. core distance = distance to the ``min_samples``-th nearest point, the
    point itself included;
 2. mutual reachability ``max(core_a, core_b, d(a, b))``;
-3. minimum spanning tree by Boruvka rounds - each round one block-pair pass
-   emits, per point, its lightest edge to another component, the lightest
-   per component is kept (ties by ``(weight, min id, max id)``, a total order,
-   so no cycles), and components merge by label propagation with pointer
+3. minimum spanning tree by Boruvka rounds - each round finds the lightest
+   edge that leaves each component by a bounded block pass (ties by ``(weight,
+   min id, max id)``, a total order, so no cycles), and components merge by label propagation with pointer
    jumping;
 4. the merge tree of the sorted tree edges by parallel contraction, every
    distinct weight a level of its own (:mod:`merge_tree`); nodes under
@@ -32,7 +28,7 @@ The method is the same at every size; equal weights split simultaneously.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,76 +37,71 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..session import cut_lineage, release
+from .cells import Cells, distances, make_cells, meet, stacked, visitors
 from .merge_tree import BLOCK_EDGES, condensed_clusters, merge_tree, select_clusters
 
-PAIR_SCHEMA_KNN = "id long, nbr long, dist double"
 
-
-def _with_pairs(df: DataFrame, id_col: str, cols: dict, n_blocks: int) -> DataFrame:
-    """Send every row to the ``n_blocks`` block-pair keys of its hash block."""
-    blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
-    x = df.select(F.col(id_col).alias("id"), *[c.alias(name) for name, c in cols.items()], blk.alias("blk"))
-    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return x.select(F.least("blk", "o").alias("pa"), F.greatest("blk", "o").alias("pb"), "id", *cols.keys(), "blk")
-
-
-def _dist(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        na = np.linalg.norm(a, axis=1, keepdims=True)
-        nb = np.linalg.norm(b, axis=1, keepdims=True)
-        sim = (a / np.where(na > 0, na, 1)) @ (b / np.where(nb > 0, nb, 1)).T
-        return np.clip(1.0 - sim, 0.0, 2.0)
-    out = np.empty((a.shape[0], b.shape[0]))
-    step = max(1, 2_000_000 // max(1, b.shape[0] * a.shape[1]))
-    for s in range(0, a.shape[0], step):
-        diff = a[s : s + step, None, :] - b[None, :, :]
-        out[s : s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    return out
-
-
-def n_blocks_for(n: int, block_size: int) -> int:
-    return max(1, math.ceil(n / max(1, block_size)))
+def _nearest(a: np.ndarray, b: np.ndarray, ids_b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row of ``a`` the ``k`` nearest rows of ``b``: their ids,
+    distances and distances rounded for ranking (ties to the smaller id)."""
+    exact = distances(a, b, metric)
+    ranked = np.round(exact, 12)
+    order = np.lexsort((np.broadcast_to(ids_b, ranked.shape), ranked), axis=1)[:, :k]
+    rows = np.arange(len(a))[:, None]
+    return ids_b[order], exact[rows, order], ranked[rows, order]
 
 
 def knn_candidates(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean", block_size: int = 2048) -> DataFrame:
-    """Per point, the ``k`` nearest points (itself included) within every
-    block pair: ``(id, nbr, dist)`` rows, at most ``k * B`` per point."""
-    n = df.count()
-    nb = n_blocks_for(n, block_size)
-    pairs = _with_pairs(df, id_col, {"vec": F.col(vec_col).cast("array<double>")}, nb)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pa, pb = int(pdf["pa"].iloc[0]), int(pdf["pb"].iloc[0])
-        out = []
-        sides = [(pa, pa)] if pa == pb else [(pa, pb), (pb, pa)]
-        for src, dst in sides:
-            s, d = pdf[pdf["blk"] == src], pdf[pdf["blk"] == dst]
-            if s.empty or d.empty:
-                continue
-            a, b = np.stack(s["vec"].to_numpy()), np.stack(d["vec"].to_numpy())
-            dm = _dist(a, b, metric)
-            ids_d = d["id"].to_numpy()
-            kk = min(k, dm.shape[1])
-            # order by (distance, neighbour id) for a deterministic cut
-            order = np.lexsort((np.broadcast_to(ids_d, dm.shape), dm), axis=1)[:, :kk]
-            rows_idx = np.arange(dm.shape[0])[:, None]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(s["id"].to_numpy(), kk),
-                        "nbr": ids_d[order].ravel(),
-                        "dist": dm[rows_idx, order].ravel(),
-                    }
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "nbr": [], "dist": []})
-
-    return pairs.groupBy("pa", "pb").applyInPandas(fn, PAIR_SCHEMA_KNN)
+    """Rows ``(id, nbr, dist)`` that hold, for every point, its ``k`` nearest
+    points (itself included): those of its own block, and those of the other
+    blocks that may hold one as near as the ``k``-th found so far."""
+    pts, cells = make_cells(df, id_col, vec_col, metric, block_size)
+    if cells is None:
+        return pts.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist"))
+    return _search(pts, cells, k, block_size)
+
+
+def _search(pts: DataFrame, cells: Cells, k: int, block_size: int) -> DataFrame:
+    metric = cells.metric
+    own_schema = "id long, vec array<double>, cell int, block int, limit double, nbrs array<long>, dists array<double>"
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = stacked(pdf["vec"])
+        nbrs, dists, ranked = _nearest(x, x, pdf["id"].to_numpy(), k, metric)
+        limit = cells.kth_most(cells.to_pivots(x), x, k)
+        if ranked.shape[1] == k:
+            limit = np.minimum(limit, ranked[:, -1])
+        return pdf[["id", "vec", "cell", "block"]].assign(limit=limit, nbrs=list(nbrs), dists=list(dists))
+
+    first = pts.groupBy("cell", "block").applyInPandas(own, own_schema)
+    near = F.explode(F.arrays_zip("nbrs", "dists")).alias("x")
+    if cells.blocks.sum() <= 1:
+        return first.select("id", near).select("id", F.col("x.nbrs").alias("nbr"), F.col("x.dists").alias("dist"))
+    first = cut_lineage(first)
+
+    def allowed(rows: pd.DataFrame, to_pivot: np.ndarray) -> np.ndarray:
+        return cells.least(to_pivot) <= rows["limit"].to_numpy()[:, None] + 1e-11
+
+    def look(visits: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if visits.empty or members.empty:
+            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
+        nbrs, dists, ranked = _nearest(stacked(visits["vec"]), stacked(members["vec"]), members["id"].to_numpy(), k, metric)
+        row, at = np.nonzero(ranked <= visits["limit"].to_numpy()[:, None])
+        return pd.DataFrame({"id": visits["id"].to_numpy()[row], "nbr": nbrs[row, at], "dist": dists[row, at]})
+
+    sent = visitors(
+        first.select("id", "vec", "cell", "block", "limit"), cells, allowed, ["id", "vec", "limit"],
+        "id long, vec array<double>, limit double",
+    )
+    found = meet(cut_lineage(sent), pts.select("id", "vec", "cell", "block"), block_size, look, "id long, nbr long, dist double")
+    here = first.select("id", near).select("id", F.col("x.nbrs").alias("nbr"), F.col("x.dists").alias("dist"))
+    return here.unionByName(found)
 
 
 def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = D.UMAP_NEIGHBOURS, metric: str = "euclidean", block_size: int = 2048) -> DataFrame:
     """M4: the exact ``k``-nearest-neighbour graph (self excluded) as
     ``(id, rank, nbr, dist)``; ties by neighbour id."""
+    # one more than asked for, since a point is its own neighbour; copies of it may come before it
     cands = knn_candidates(df, id_col, vec_col, k + 1, metric, block_size).where(F.col("id") != F.col("nbr"))
     best = cands.groupBy("id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.round("dist", 12).alias("d"), "nbr", "dist"))), 1, k).alias("nn")
@@ -123,7 +114,10 @@ def knn_graph(df: DataFrame, id_col: str, vec_col: str, k: int = D.UMAP_NEIGHBOU
 def core_distances(df: DataFrame, id_col: str, vec_col: str, min_samples: int, block_size: int = 2048) -> DataFrame:
     """Distance to the ``min_samples``-th nearest point, the point itself
     counted first (distance 0)."""
-    cands = knn_candidates(df, id_col, vec_col, min_samples, "euclidean", block_size)
+    return _core(knn_candidates(df, id_col, vec_col, min_samples, "euclidean", block_size), min_samples)
+
+
+def _core(cands: DataFrame, min_samples: int) -> DataFrame:
     return cands.groupBy("id").agg(
         F.element_at(F.array_sort(F.collect_list("dist")), F.least(F.lit(min_samples), F.count(F.lit(1)).cast("int"))).alias("core")
     )
@@ -174,36 +168,79 @@ def connected_components(
     return lab
 
 
-def _boruvka_candidates(points: DataFrame, n_blocks: int) -> DataFrame:
-    pairs = _with_pairs(points, "id", {c: F.col(c) for c in ("vec", "core", "comp")}, n_blocks)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pa, pb = int(pdf["pa"].iloc[0]), int(pdf["pb"].iloc[0])
-        out = []
-        sides = [(pa, pa)] if pa == pb else [(pa, pb), (pb, pa)]
-        for src, dst in sides:
-            s, d = pdf[pdf["blk"] == src], pdf[pdf["blk"] == dst]
-            if s.empty or d.empty:
-                continue
-            a, b = np.stack(s["vec"].to_numpy()), np.stack(d["vec"].to_numpy())
-            w = np.maximum(_dist(a, b, "euclidean"), np.maximum.outer(s["core"].to_numpy(), d["core"].to_numpy()))
-            same = s["comp"].to_numpy()[:, None] == d["comp"].to_numpy()[None, :]
-            w[same] = np.inf
-            ids_s, ids_d = s["id"].to_numpy(), d["id"].to_numpy()
-            lo = np.minimum.outer(ids_s, ids_d)
-            hi = np.maximum.outer(ids_s, ids_d)
-            order = np.lexsort((hi, lo, w), axis=1)[:, 0]
-            r = np.arange(len(ids_s))
-            best_w = w[r, order]
-            ok = np.isfinite(best_w)
-            out.append(
-                pd.DataFrame(
-                    {"comp": s["comp"].to_numpy()[ok], "w": best_w[ok], "a": lo[r, order][ok], "b": hi[r, order][ok]}
-                )
-            )
-        return pd.concat(out) if out else pd.DataFrame({"comp": [], "w": [], "a": [], "b": []})
-
-    return pairs.groupBy("pa", "pb").applyInPandas(fn, "comp long, w double, a long, b long")
+def _lightest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Of every row of ``a`` its lightest edge to a row of ``b`` in another component."""
+    w = np.maximum(distances(stacked(a["vec"]), stacked(b["vec"])), np.maximum.outer(a["core"].to_numpy(), b["core"].to_numpy()))
+    w[a["comp"].to_numpy()[:, None] == b["comp"].to_numpy()[None, :]] = np.inf
+    ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+    low, high = np.minimum.outer(ids_a, ids_b), np.maximum.outer(ids_a, ids_b)
+    best = np.lexsort((high, low, w), axis=1)[:, 0]
+    row = np.arange(len(a))
+    out = pd.DataFrame({"comp": a["comp"].to_numpy(), "w": w[row, best], "a": low[row, best], "b": high[row, best]})
+    return out[np.isfinite(out["w"])]
+
+
+def _lightest_edges(pts: DataFrame, cells: Cells, block_size: int) -> DataFrame:
+    """``(comp, w, a, b)``: the lightest edge that leaves each component.
+
+    Own blocks first; the lightest edge found for a component (or, from the
+    cells' figures, one that must exist) is the limit of all its points, and
+    a point visits the cells that may hold a lighter one, passing over those
+    that lie in its component as a whole."""
+    edge = "comp long, w double, a long, b long"
+
+    def lightest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("comp", "e.*")
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _lightest(pdf, pdf)
+
+    here = pts.groupBy("cell", "block").applyInPandas(own, edge)
+    if cells.blocks.sum() <= 1:
+        return lightest(here)
+    here = cut_lineage(lightest(here))
+    m = len(cells.pivots)
+    low, high = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    core_low, core_high = np.zeros(m), np.zeros(m)
+    figures = pts.groupBy("cell").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("core").alias("core_low"), F.max("core").alias("core_high")
+    )
+    for r in figures.collect():
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+        core_low[r["cell"]], core_high[r["cell"]] = r["core_low"], r["core_high"]
+
+    def leaves(rows: pd.DataFrame) -> np.ndarray:
+        comp = rows["comp"].to_numpy()[:, None]
+        return ((low != comp) | (high != comp)) & (cells.size > 0)
+
+    def must_exist(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in range(0, len(b), 2048):
+                part = b.iloc[s : s + 2048]
+                x = stacked(part["vec"])
+                far = np.maximum(np.maximum(cells.most(cells.to_pivots(x), x), core_high), part["core"].to_numpy()[:, None])
+                far[~leaves(part)] = np.inf
+                yield pd.DataFrame({"comp": part["comp"], "w": far.min(axis=1)})
+
+    limits = pts.select("comp", "vec", "core").mapInPandas(must_exist, "comp long, w double").unionByName(here.select("comp", "w"))
+    limits = limits.groupBy("comp").agg(F.min("w").alias("limit"))
+
+    def allowed(rows: pd.DataFrame, to_pivot: np.ndarray) -> np.ndarray:
+        least = np.maximum(np.maximum(cells.least(to_pivot), core_low), rows["core"].to_numpy()[:, None])
+        return (least <= rows["limit"].to_numpy()[:, None]) & leaves(rows)
+
+    def look(visits: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if visits.empty or members.empty:
+            return pd.DataFrame({"comp": [], "w": [], "a": [], "b": []})
+        return _lightest(visits, members)
+
+    sent = cut_lineage(
+        visitors(pts.join(limits, "comp"), cells, allowed, ["id", "vec", "core", "comp"], "id long, vec array<double>, core double, comp long")
+    )
+    found = cut_lineage(lightest(here.unionByName(meet(sent, pts, block_size, look, edge))))
+    release(sent)
+    release(here)
+    return found
 
 
 def mutual_reachability_mst(
@@ -211,25 +248,24 @@ def mutual_reachability_mst(
 ) -> tuple[DataFrame, DataFrame]:
     """Exact MST of the mutual-reachability graph by Boruvka rounds.
     Returns ``(points(id, vec, core), edges(a, b, w))``."""
-    core = core_distances(df, id_col, vec_col, min_samples, block_size)
-    pts = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).join(core, "id")
-    pts = cut_lineage(pts)
-    n = pts.count()
-    nb = n_blocks_for(n, block_size)
+    placed_pts, cells = make_cells(df, id_col, vec_col, "euclidean", block_size)
+    if cells is None:
+        none = placed_pts.sparkSession.createDataFrame([], "a long, b long, w double")
+        return placed_pts.select("id", "vec", F.lit(0.0).alias("core")), none
+    pts = cut_lineage(placed_pts.join(_core(_search(placed_pts, cells, min_samples, block_size), min_samples), "id"))
     comp = pts.select("id", F.col("id").alias("comp"))
     edges = None
     for _ in range(max_rounds):
         if comp.select("comp").distinct().limit(2).count() <= 1:
             break
-        cands = _boruvka_candidates(pts.join(comp, "id"), nb)
-        best = cands.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
+        best = _lightest_edges(pts.join(comp, "id"), cells, block_size).select("w", "a", "b").distinct()
         best = cut_lineage(best)
         if edges is None:
             edges = best
         else:
             old_edges, edges = edges, cut_lineage(edges.unionByName(best).distinct())
             release(old_edges)
-        # merge the components joined by this round's edges
+    # merge the components joined by this round's edges
         ca = comp.withColumnRenamed("id", "a").withColumnRenamed("comp", "ca")
         cb = comp.withColumnRenamed("id", "b").withColumnRenamed("comp", "cb")
         cedges = best.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
