@@ -7,11 +7,14 @@ them.  The remaining lines are put together again in their old order.
 
 Scale: only ``(digest, id)`` pairs are shuffled for counting (with map-side
 partial aggregation, distinct pairs first, so a key held by a third of all
-documents is spread over every task); the texts move once, for the last join.
+documents is spread over every task); the texts move once, for the last join,
+where each meets the places of its dropped lines as one string of flags, so a
+text of any number of dropped lines is read once.
 
 Edge cases: null text counts as an empty text (one empty line); an empty
 table gives an empty table; a document that loses all its lines keeps its row
-with an empty text; rows that repeat an id are one document; rows without an
+with an empty text; rows that repeat an id are one document (each row loses
+its own lines; a row is told by its id and the hash of its text); rows without an
 id take no part in the counting and keep all their lines.  Other columns pass
 through whatever their names (columns named ``n_lines`` / ``n_dropped`` are
 replaced by the operator's).
@@ -37,6 +40,12 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+def _flags(gone: Column) -> Column:
+    """Sorted positions as text: ``1`` for each of them, ``0`` between them."""
+    before = F.concat(F.array(F.lit(-1)), gone)
+    return F.array_join(F.zip_with(before, gone, lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1"))), "")
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -46,11 +55,13 @@ def dedup_lines(
 ) -> DataFrame:
     """All columns of ``docs`` with the text rewritten, plus ``n_lines``
     (before dropping) and ``n_dropped``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     held = (
-        docs.select(F.col(id_col).alias("id"), F.explode(_lines(F.col(text_col))).alias("line"))
-        .select("id", strip_ws(F.col("line")).alias("line"))
-        .where((F.length("line") >= min_chars) & F.col("id").isNotNull())
-        .select("id", _digest(ascii_lower(F.col("line"))).alias("key"))
+        docs.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(_lines(text)).alias("pos", "line"))
+        .select("id", "row", "pos", strip_ws(F.col("line")).alias("line"))
+        .where(F.length("line") >= min_chars)
+        .select("id", "row", "pos", _digest(ascii_lower(F.col("line"))).alias("key"))
     )
     held = cut_lineage(held)
     shared = (
@@ -64,24 +75,21 @@ def dedup_lines(
     drops = (
         salted.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
         .where(F.col("id") != F.col("keeper"))
-        .groupBy("id")
-        .agg(F.collect_set("key").alias("__drop"))
-        .withColumnRenamed("id", "__id")
+        .groupBy("id", "row")
+        .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+        .select(F.col("id").alias("__id"), F.col("row").alias("__row"), _flags(F.col("gone")).alias("__flags"))
     )
-    lines = _lines(F.col(text_col))
-
-    def stays(line: Column) -> Column:
-        key = strip_ws(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("__drop"), _digest(ascii_lower(key)))
-
-    out = docs.drop("n_lines", "n_dropped").join(drops, F.col(id_col) == F.col("__id"), "left")
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays))
+    out = docs.drop("n_lines", "n_dropped").withColumn("__text", text)
+    out = out.join(drops, (F.col(id_col) == F.col("__id")) & (F.xxhash64("__text") == F.col("__row")), "left")
+    lines = _lines(F.col("__text"))
+    left = F.zip_with(lines, F.split("__flags", ""), lambda line, gone: F.when(gone.isNull() | (gone != "1"), line))
+    kept = F.when(F.col("__flags").isNull(), lines).otherwise(F.filter(left, lambda line: line.isNotNull()))
     out = out.withColumn("__kept", kept)
     return (
         out.withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_dropped", (F.size(lines) - F.size("__kept")).cast("long"))
         .withColumn(text_col, F.array_join("__kept", "\n"))
-        .drop("__kept", "__drop", "__id")
+        .drop("__kept", "__flags", "__id", "__row", "__text")
     )
 
 
