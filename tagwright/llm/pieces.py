@@ -44,12 +44,6 @@ class WordCounter:
     def library(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and start offsets (code points) of the text's tokens."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        at = e.offsets
-        return np.array(e.ids, dtype=np.int64), np.fromiter((a for a, _ in at), dtype=np.int64, count=len(at))
-
     def count(self, text: str) -> int:
         if OTHER_SPACE.search(text):
             return self.library([text])[0]

@@ -2,13 +2,21 @@
 
 A document of more than ``chunk_chars`` code points is encoded in overlapping
 chunks, with offsets.  Two neighbouring chunks are spliced at a proven stable
-common boundary: a position inside their overlap that follows white space,
-where both encodings start a token, and from which they agree token by token
-up to the overlap's last white space.  Tokens before it are taken from the
-left chunk, the others from the right one.  Where no such boundary exists (a
-word longer than the overlap) the overlap is doubled, up to the whole left
-chunk, which then grows by the next one.  Memory is bound by a chunk and its
-overlap, not by the document.
+common boundary inside their overlap: a position where both encodings start
+the same token, no token or special string reaches over, and that is either
+
+* a word boundary of the vocabulary's pattern whatever stands around it: after
+  white space, after a digit or before one, after a letter that no letter
+  follows; or
+* inside a run of letters or of symbols, where the left encoding holds the token before the
+  position and the token after it side by side.  Tokens of a pair encoding are
+  the encoding of their text exactly if every two neighbours are, so the left
+  tokens before the position and the right tokens from it on are that too.
+
+Tokens before it are taken from the left chunk, the others from the right one.
+Where no such boundary exists the overlap is doubled, up to the whole left
+chunk, which then grows by the next one (a chunk of white space, or of marks).
+Otherwise memory is bound by a chunk and its overlap, not by the document.
 
 Shorter documents are encoded whole; the counts of their pieces between
 spaces are remembered in a bounded memory (see :class:`WordCounter`).
@@ -19,6 +27,7 @@ No shuffle: one pass over the texts.  Edge cases: null text is empty (0 bytes,
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,34 +42,58 @@ OVERLAP_CHARS = 512
 LIMIT = 2_048
 
 
-def common_boundary(
-    text: str, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], start: int, end: int
-) -> int | None:
-    """A stable boundary in ``text[start:end]``, the overlap of two chunks;
-    offsets are positions in ``text``.  None if there is no such place."""
-    last = end - 1
-    while last > start and not text[last].isspace():
-        last -= 1
-    if last <= start:
+#: kinds of characters are taken from a version that all regex engines know
+_kind = unicodedata.ucd_3_2_0.category
+
+
+def _splittable(text: str, p: int, specials: list[str]) -> bool:
+    """Neither normalisation nor a special string reaches over position ``p``,
+    and it is a word boundary or lies inside a run of letters or of symbols."""
+    a, b = text[p - 1], text[p]
+    if any(text.find(s, max(0, p - len(s) + 1), p + len(s) - 1) >= 0 for s in specials):
+        return False
+    if a in " \n":
+        return True
+    kind = _kind(b)
+    if kind[0] in "MC" or unicodedata.combining(b) or not unicodedata.is_normalized("NFC", a + b):
+        return False
+    return _kind(a)[0] == "L" or "Nd" in (_kind(a), kind) or (_kind(a)[0] in "PS" and kind[0] in "PS")
+
+
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def common_boundary(text: str, left: Tokens, right: Tokens, start: int, end: int, specials: list[str]) -> int | None:
+    """A stable boundary in ``text[start:end]``, within the overlap of two
+    chunks but not at its very start, for their tokens' ids, starts and ends
+    (positions in ``text``).  None if there is no such place."""
+
+    def clear(tokens: Tokens) -> np.ndarray:
+        """Places of the tokens that no earlier token reaches over."""
+        reach = np.maximum.accumulate(np.concatenate([[0], tokens[2][:-1]]))
+        new = np.concatenate([[True], tokens[1][1:] > tokens[1][:-1]])
+        return np.nonzero((reach <= tokens[1]) & new & (tokens[1] >= start) & (tokens[1] < end))[0]
+
+    if not len(left[0]) or not len(right[0]):
         return None
-    a = slice(*np.searchsorted(left[1], (start, last + 1)))
-    b = slice(*np.searchsorted(right[1], (start, last + 1)))
-    here = np.intersect1d(left[1][a], right[1][b])
-    here = [int(p) for p in here if p > start and text[p - 1] in " \n"]
-    for p in here:
-        i, j = np.searchsorted(left[1], (p, last + 1))
-        k, m = np.searchsorted(right[1], (p, last + 1))
-        if np.array_equal(left[1][i:j], right[1][k:m]) and np.array_equal(left[0][i:j], right[0][k:m]):
-            return p
+    # the left chunk's last token may end only because the chunk does
+    i, j = clear(left), clear(right)
+    i = i[left[2][i] < end]
+    _, x, y = np.intersect1d(left[1][i], right[1][j], return_indices=True)
+    for a, b in zip(i[x], j[y]):
+        if left[0][a] == right[0][b] and left[2][a] == right[2][b] and _splittable(text, int(left[1][a]), specials):
+            return int(left[1][a])
     return None
 
 
 def count_huge(text: str, counter: WordCounter, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     n = len(text)
+    specials = [t.content for t in counter.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, at = counter.offsets(text[a:b])
-        return ids, at + a
+    def encode(a: int, b: int) -> Tokens:
+        e = counter.tokenizer.encode(text[a:b], add_special_tokens=False)
+        spans = np.array(e.offsets, dtype=np.int64).reshape(-1, 2) + a
+        return np.array(e.ids, dtype=np.int64), spans[:, 0], spans[:, 1]
 
     begin, end, done, total = 0, min(n, chunk), 0, 0
     left = encode(begin, end)
@@ -70,7 +103,7 @@ def count_huge(text: str, counter: WordCounter, chunk: int = CHUNK_CHARS, overla
             wide = min(wide, end - begin)
             start, stop = end - wide, min(n, end - wide + chunk + wide)
             right = encode(start, stop)
-            at = common_boundary(text, left, right, start, end)
+            at = common_boundary(text, left, right, max(start + 1, done), end, specials)
             if at is not None:
                 break
             if wide == end - begin:  # nothing in the whole left chunk: it grows by the next
