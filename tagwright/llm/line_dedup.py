@@ -58,7 +58,9 @@ def dedup_lines(
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), F.posexplode(_lines(text)).alias("pos", "line"))
+        # a select of its own: beside the generator the hash would be worked out again for every line
+        .select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), _lines(text).alias("lines"))
+        .select("id", "row", F.posexplode("lines").alias("pos", "line"))
         .select("id", "row", "pos", strip_ws(F.col("line")).alias("line"))
         .where(F.length("line") >= min_chars)
         .select("id", "row", "pos", _digest(ascii_lower(F.col("line"))).alias("key"))
