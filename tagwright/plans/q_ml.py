@@ -5,6 +5,8 @@ cluster report (K6)."""
 from __future__ import annotations
 
 import math
+import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from ..operators.responses import preview_180, preview_300_oneline, sample_text
 from ..operators.scale import Standardizer, feature_mode, fit_pca
 from ..operators.split import cap_per_group, exact_sample
 from ..operators.tagger import LinearTagModel, classify, tag_classes, weak_labels
-from ..session import read_table
+from ..operators.training import training_counts, training_set
+from ..session import ensure_checkpoint_dir, read_table
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from . import derived as dv
@@ -90,6 +93,46 @@ def q_t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weak(spark, sf_dir).select("source_row", F.array_join("tags", ",").alias("tags"))
 
 
+TRAINING_SQL = f"""{CR}, tm AS (SELECT * FROM {values_sql()}), member AS (
+    SELECT cr.*, cluster AS top_cluster, CAST(source_row % 2 AS INTEGER) AS sub FROM cr), train AS (
+    SELECT m.*, tm.tags FROM member m JOIN tm ON m.top_cluster = tm.top_cluster AND m.sub = tm.subcluster
+    QUALIFY row_number() OVER (PARTITION BY m.top_cluster, m.sub
+        ORDER BY md5('{SEED}:' || concat_ws(chr(31), source_split, source_row, response_index))) <= {CAP})"""
+
+
+def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The folders of a sub-clustering run are written as the job expects them
+    and scanned by the library's own reader."""
+    tm = rd.parse_tag_matrix(rd.lines_from_text(spark, TAG_MATRIX_MD))
+    cr = dv.clustered_responses(spark, sf_dir).withColumnRenamed("cluster", "top").drop("embedding")
+    cr = cr.withColumn("cluster", (F.col("source_row") % 2).cast("int"))
+    root = posixpath.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    for top in range(10):
+        sk.write_parquet(cr.where(F.col("top") == top).drop("top"), f"{root}/cluster_{top}/clustered_responses.parquet")
+    return training_set(rd.subcluster_training_scan(spark, root), tm, cap=CAP, seed=SEED), tm
+
+
+@register(
+    "t10_t11_training_set",
+    f"WITH {TRAINING_SQL} SELECT top_cluster, sub AS cluster, source_row, array_to_string(tags, ',') AS tags, "
+    "md5(assistant_output) AS text_md5 FROM train",
+)
+def q_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _training(spark, sf_dir)
+    return train.select(
+        "top_cluster", "cluster", "source_row", F.array_join("tags", ",").alias("tags"), F.md5("assistant_output").alias("text_md5")
+    )
+
+
+@register(
+    "t10_t11_training_counts",
+    f"WITH {TRAINING_SQL} SELECT tm.top_cluster, tm.subcluster, count(t.source_row) AS rows, len(any_value(tm.tags)) AS n_tags "
+    "FROM tm LEFT JOIN train t ON t.top_cluster = tm.top_cluster AND t.sub = tm.subcluster GROUP BY tm.top_cluster, tm.subcluster",
+)
+def q_training_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_counts(*_training(spark, sf_dir))
+
+
 @register(
     "t13_previews",
     "SELECT doc_id, substr(text, 1, 180) AS preview, replace(substr(text, 1, 300), chr(10), ' ') AS oneline, "

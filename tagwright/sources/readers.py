@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,8 +103,13 @@ def filter_to_prior_cluster(
 def subcluster_training_scan(spark: SparkSession, root: str) -> DataFrame:
     """One scan over ``root/cluster_*/clustered_responses.parquet``; the
     top cluster id comes from the folder name (missing folders simply do not
-    appear)."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/cluster_*/clustered_responses.parquet")
+    appear; no folder at all is an :class:`InputError`)."""
+    try:
+        df = spark.read.parquet(f"{root.rstrip('/')}/cluster_*/clustered_responses.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise InputError(f"{root} holds no cluster_*/clustered_responses.parquet") from e
     require_columns(df, ["assistant_output", "cluster"], root)
     top = F.regexp_extract(F.col("_metadata.file_path"), r"/cluster_([0-9]+)/clustered_responses\.parquet(/[^/]+)?$", 1)
     return df.withColumn("top_cluster", F.when(top != "", top.cast("int"))).where(F.col("top_cluster").isNotNull())
