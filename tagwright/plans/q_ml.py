@@ -107,8 +107,12 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cr = dv.clustered_responses(spark, sf_dir).withColumnRenamed("cluster", "top").drop("embedding")
     cr = cr.withColumn("cluster", (F.col("source_row") % 2).cast("int"))
     root = posixpath.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    # one join for all folders; each is then copied from its own part
+    parts = f"{root}/parts"
+    cr.where(F.col("top").between(0, 9)).write.partitionBy("top").parquet(parts)
     for top in range(10):
-        sk.write_parquet(cr.where(F.col("top") == top).drop("top"), f"{root}/cluster_{top}/clustered_responses.parquet")
+        one = spark.read.schema(cr.schema).parquet(parts).where(F.col("top") == top)
+        sk.write_parquet(one.drop("top"), f"{root}/cluster_{top}/clustered_responses.parquet")
     return training_set(rd.subcluster_training_scan(spark, root), tm, cap=CAP, seed=SEED), tm
 
 
