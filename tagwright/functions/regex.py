@@ -73,7 +73,7 @@ OPENING_CHARS = 180  # = defaults.OPENING_CHARS
 # then whitespace.
 LIST_ITEM_BODY = rf"{WS}*(?:[-*]|\p{{Nd}}+[.)]){WS}+"
 CODE_FENCE = "```"
-SENTENCE_END_JAVA = rf"[.!?]+(?:{WS}|\z)"
+SENTENCE_END_JAVA = rf"[.!?]++(?:{WS}|\z)"
 SENTENCE_END_RE2 = rf"[.!?]+(?:{WS}|$)"
 WORD_RUN = f"{WORD_CLASS}+"
 
@@ -89,6 +89,7 @@ def _alternation(phrases: list[str]) -> str:
 # re.IGNORECASE and Java's (?iu) alike) treats as ASCII letters: capital I with
 # dot, dotless i, long s, Kelvin sign.  Checked over every code point.
 _EXTRA_CASE = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+ODD_LETTERS = "".join(_EXTRA_CASE.values())
 
 
 def _caseless(phrase: str) -> str:

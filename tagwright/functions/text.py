@@ -32,22 +32,39 @@ def f1(precision: ColumnOrName, recall: ColumnOrName) -> Column:
 
 def word_count(text: ColumnOrName) -> Column:
     """Number of maximal word-character runs."""
-    return F.regexp_count(_c(text), F.lit(rx.WORD_RUN)).cast("long")
+    return F.regexp_count(_c(text), F.lit(f"{rx.WORD_RUN}+")).cast("long")  # possessive: no way back is kept
 
 
 def opening(text: ColumnOrName) -> Column:
     return F.substring(_c(text), 1, rx.OPENING_CHARS)
 
 
+def _holds_none(text: Column, phrases: list[str]) -> Column:
+    """Whether no phrase can occur, by plain substring search of the lower-cased
+    text; false too if a letter occurs that only the pattern takes for an
+    ASCII one."""
+    shortest = [p for p in phrases if not any(q != p and q in p for q in phrases)]
+    low = F.lower(text)
+    found = low.contains(shortest[0])
+    for p in shortest[1:]:
+        found = found | low.contains(p)
+    for ch in rx.ODD_LETTERS:
+        found = found | text.contains(ch)
+    return ~found
+
+
 def phrase_flag(text: ColumnOrName, phrases: list[str], opening_only: bool = False) -> Column:
     """1.0 when any phrase occurs as whole words (case-insensitive)."""
-    t = opening(text) if opening_only else _c(text)
-    return t.rlike(rx.java_phrases(phrases)).cast("double")
+    if opening_only:
+        return opening(text).rlike(rx.java_phrases(phrases)).cast("double")
+    t = _c(text)
+    return F.when(_holds_none(t, phrases), F.lit(0.0)).otherwise(t.rlike(rx.java_phrases(phrases)).cast("double"))
 
 
 def phrase_count(text: ColumnOrName, phrases: list[str]) -> Column:
     """Number of non-overlapping whole-word phrase matches."""
-    return F.regexp_count(_c(text), F.lit(rx.java_phrases(phrases))).cast("double")
+    t = _c(text)
+    return F.when(_holds_none(t, phrases), F.lit(0.0)).otherwise(F.regexp_count(t, F.lit(rx.java_phrases(phrases))).cast("double"))
 
 
 def list_format_flag(text: ColumnOrName) -> Column:
@@ -72,10 +89,9 @@ def non_blank_lines(text: ColumnOrName) -> Column:
     return F.filter(F.split(_c(text), rx.LINE_BREAK), lambda line: line.rlike(rx.NON_WS))
 
 
-# A non-blank line is a maximal run of non-boundary characters holding a
-# non-space character; a list line starts (after in-line spaces) with a list
+# A non-blank line is counted by its first visible character; a list line starts (after in-line spaces) with a list
 # marker.  Counting them with one regex each avoids building line arrays.
-NON_BLANK_LINE = f"{rx.NON_WS}[^{rx.LB_CHARS}]*"  # first visible character to the end of its line
+NON_BLANK_LINE = f"(?:\\A|[{rx.LB_CHARS}]){rx.WS_IN_LINE}*+{rx.NON_WS}"  # its start up to that character
 LIST_LINE = f"(?:\\A|(?<=[{rx.LB_CHARS}])){rx.WS_IN_LINE}*(?:[-*]|\\p{{Nd}}+[.)]){rx.WS_IN_LINE}+"
 
 
