@@ -23,6 +23,7 @@ from ..functions.text import (
     word_count,
 )
 from .. import defaults as D
+from ..session import cut_lineage
 from .responses import sample_text
 from .quantile import grouped_medians
 from .topk import top_k_per_group
@@ -112,14 +113,21 @@ def top_terms(
 ) -> DataFrame:
     """A4: the ``limit`` most frequent term tokens per cluster; ties go to the
     term met first in row order (``order_cols``) and token position."""
-    first = F.struct(*[F.col(c) for c in order_cols], F.col("__pos"))
-    toks = df.select(
+    toks = df.select(F.col(cluster_col).alias("cluster"), F.explode(term_tokens(F.col(text))).alias("term"))
+    counts = toks.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("count"))
+    # counts alone stay in a hash table; only terms that can still be listed are looked up in row order
+    counts = cut_lineage(counts)
+    best = top_k_per_group(counts, ["cluster"], [F.desc("count"), F.asc("term")], limit, salt_cols=["term"])
+    least = best.groupBy(F.col("cluster").alias("__c")).agg(F.min("count").alias("__least"))
+    listed = counts.join(least, F.col("cluster").eqNullSafe(F.col("__c"))).where(F.col("count") >= F.col("__least"))
+    listed = cut_lineage(listed.select(F.col("cluster").alias("__c"), F.col("term").alias("__t"), "count"))
+    places = df.select(
         F.col(cluster_col).alias("cluster"), *order_cols, F.posexplode(term_tokens(F.col(text))).alias("__pos", "term")
     )
-    counts = toks.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("__first"))
-    ranked = top_k_per_group(
-        counts, ["cluster"], [F.desc("count"), F.asc("__first")], limit, salt_cols=["term"]
-    )
+    same = F.col("cluster").eqNullSafe(F.col("__c")) & (F.col("term") == F.col("__t"))
+    first = F.struct(*[F.col(c) for c in order_cols], F.col("__pos"))
+    firsts = join_small(places, listed, same, width_bytes=64).groupBy("cluster", "term", "count").agg(F.min(first).alias("__first"))
+    ranked = top_k_per_group(firsts, ["cluster"], [F.desc("count"), F.asc("__first")], limit, salt_cols=["term"])
     return ranked.select("cluster", "rank", "term", "count")
 
 
