@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.regex import WORD_RUN
 
 DIMS = 64
-#: tokens a task remembers before it starts anew; only speed depends on it
-KNOWN_TOKENS = 1_000_000
+#: tokens a task remembers before it starts anew (about 15 MB); only speed depends on it
+KNOWN_TOKENS = 1 << 16
 
 
 class _Codes(dict):
