@@ -25,6 +25,8 @@ from ..functions.regex import WORD_RUN
 DIMS = 64
 #: tokens a task remembers before it starts anew (about 15 MB); only speed depends on it
 KNOWN_TOKENS = 1 << 16
+#: rows that a worker holds at a time: texts can be long
+ARROW_ROWS = "1000"
 
 
 class _Codes(dict):
@@ -73,6 +75,7 @@ def with_hashed_embedding(
     A row's vector is worked out from its own text alone: no explode, shuffle
     or join back, and rows with a null or repeated key stay as they are.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     others = [c for c in df.columns if c not in (key_col, out)]
     return df.select(key_col, *others, hashed_vector(F.col(text_col), dims).alias(out))
 
