@@ -76,6 +76,11 @@ def stacked(vecs: pd.Series) -> np.ndarray:
     return np.stack(vecs.to_numpy()).astype(float)
 
 
+def vector_type(df: DataFrame, vec_col: str = "vec") -> str:
+    """Floats are sent as floats; they are compared as doubles either way."""
+    return "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Whether a row is among the ``k`` smallest ids of its equal rows: no
     other copy is one of the ``k`` nearest of any point."""
@@ -89,6 +94,20 @@ def first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
+def to_nearest(e: np.ndarray, sample: np.ndarray, rank: int) -> np.ndarray:
+    """Of each row about the distance to the ``rank``-th nearest of the sample."""
+    middle = sample.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = (sample - middle).astype(np.float32)
+        norm, out = np.einsum("ij,ij->i", s, s), np.empty(len(e))
+        for at in range(0, len(e), TILE):
+            x = (e[at : at + TILE] - middle).astype(np.float32)
+            square = norm - 2 * (x @ s.T)
+            own = np.einsum("ij,ij->i", x, x)
+            out[at : at + TILE] = np.partition(square, rank - 1, axis=1)[:, rank - 1] + own + (len(middle) + 16) * 2.0**-20 * (own + norm.max())
+    return np.sqrt(np.maximum(np.nan_to_num(out, nan=np.inf, posinf=np.inf), 0.0))
+
+
 class Side:
     """Rows of a block or group as matrices, in tiles of at most :data:`TILE`
     rows of one block, each with its middle and radius."""
@@ -178,18 +197,18 @@ class Cells:
     def to_pivots(self, x: np.ndarray) -> np.ndarray:
         return distances(placed(x, self.metric), self.pivots)
 
-    def _in_metric(self, e: np.ndarray) -> np.ndarray:
+    def in_metric(self, e: np.ndarray) -> np.ndarray:
         return e * e / 2 if self.metric == "cosine" else e
 
     def least(self, to_pivot: np.ndarray) -> np.ndarray:
         """Lower bound of the distance from each point to each cell."""
         own = to_pivot.min(axis=1, keepdims=True)
         low = np.maximum(np.maximum(to_pivot - self.hi, self.lo - to_pivot), (to_pivot - own) / 2)
-        return self._in_metric(np.maximum(low - _SLACK * (1 + to_pivot), 0.0))
+        return self.in_metric(np.maximum(low - _SLACK * (1 + to_pivot), 0.0))
 
     def most(self, to_pivot: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Upper bound of the distance from each point to any point of each cell."""
-        far = self._in_metric(to_pivot + self.hi + _SLACK * (1 + to_pivot))
+        far = self.in_metric(to_pivot + self.hi + _SLACK * (1 + to_pivot))
         if self.metric == "cosine":  # two zero vectors are at distance 1
             far = np.where(~x.any(axis=1, keepdims=True), np.maximum(far, 1.0), far)
         return far
@@ -210,7 +229,8 @@ def make_cells(
     """``(id, vec, keep..., cell, block)``, written, and the cells' figures
     (None for an empty table).  Rows without an id or a finite vector take no
     part."""
-    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *keep)
+    kind = vector_type(df, vec_col)
+    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"), *keep)
     odd = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     pts = pts.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~odd)
     counts = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
@@ -228,7 +248,7 @@ def make_cells(
                 yield b.assign(cell=to_pivot.argmin(axis=1).astype("int32"), at=to_pivot.min(axis=1))
 
     held = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = "id long, vec array<double>, " + (held + ", " if held else "") + "cell int, at double"
+    schema = f"id long, vec {kind}, " + (held + ", " if held else "") + "cell int, at double"
     pts = cut_lineage(pts.mapInPandas(assign, schema))
     figures = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).collect()
     m = len(pivots)
@@ -330,6 +350,28 @@ def nearest_in_block(pdf: pd.DataFrame, k: int, metric: str) -> tuple[Side, Near
     return a, out
 
 
+def nearest_for(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """``id, nbr, dist``: of every row of ``left`` the ``k`` nearest of ``right``,
+    but for its own block, that lie within its ``limit``."""
+    a = Side(left, metric)
+    b = Side(right, metric, a.centre)
+    near = Nearest(a, k, a.rows["limit"].to_numpy(dtype=float))
+    kept = first_copies(b.raw, b.ids, k)
+    least = a.least_to_tiles(b)
+    near.add_zero(b)
+    for s, rows in enumerate(a.tiles):
+        for t, cols in enumerate(b.tiles):
+            if b.block[t] == a.block[s] or not (least[rows, t] ** 2 <= near.reach[rows]).any():
+                continue
+            i, j = np.nonzero(~(a.squares(rows, b, cols) > near.reach[rows][:, None]) & kept[cols])
+            i, j = i + rows.start, j + cols.start
+            dist = exact(a, i, b, j)
+            ranked = np.round(dist, 12)
+            on = (ranked <= near.limit[i]) & ~a.zero[i]
+            near.add(i[on], b.ids[j[on]], dist[on], ranked[on])
+    return near.frame()
+
+
 def nearest_across(left: pd.DataFrame, right: pd.DataFrame | None, k: int, metric: str) -> pd.DataFrame:
     """``id, nbr, dist``: of every row of either group the ``k`` nearest of the
     other one that lie within its ``limit``; of one group (``right`` is None)

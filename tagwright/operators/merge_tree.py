@@ -10,6 +10,9 @@ contracted components, one more problem.  All problems of a round are
 contracted together, so the rounds grow with the logarithm of the edges;
 problems of at most ``block_edges`` edges are merged in one task.
 
+A whole tree of at most :data:`ONE_TASK` points needs none of these rounds:
+:func:`labels_of_tree` works out merge tree, clusters and choice in one task.
+
 The clusters come from the tree by aggregation and by :func:`climb`, which
 follows parent pointers in doubling steps.  Every loop ends by itself or
 raises; nothing but change flags reaches the driver.
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, release
 
 BLOCK_EDGES = 1 << 16
+ONE_TASK = 1 << 20
 NODE = "rep long, top double, size long, prep long, pw double"
 
 
@@ -66,6 +70,77 @@ def merge_sorted(reps, tops, sizes, a, b, w) -> list[tuple]:
     return out
 
 
+def followed(step: np.ndarray) -> np.ndarray:
+    """Where each position ends that follows ``step``, by doubling."""
+    while True:
+        ahead = step[step]
+        if (ahead == step).all():
+            return step
+        step = ahead
+
+
+def labels_of_tree(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int) -> np.ndarray:
+    """The label of each of ``n`` points, in the order of their ids, from the
+    edges of a forest over their positions: what :func:`merge_tree`,
+    :func:`condensed_clusters` and :func:`select_clusters` give (-1: none)."""
+    if min_size < 2:
+        raise ValueError("min_cluster_size must be at least 2")
+    order = np.argsort(w, kind="stable")
+    w = w[order]
+    m = len(w)
+    up, size, rep = list(range(n + m)), [1] * n + [0] * m, list(range(n + m))
+    above = np.arange(n + m)
+    for new, x, y in zip(range(n, n + m), a[order].tolist(), b[order].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        up[x] = up[y] = above[x] = above[y] = new
+        size[new], rep[new] = size[x] + size[y], min(rep[x], rep[y])
+    size, rep, at = np.array(size), np.array(rep), np.arange(n + m)
+    weight = np.concatenate([np.full(n, -1.0), w])
+    root = above == at
+    # merges of one weight are one node, named by the last of them
+    head = followed(np.where(weight[above] == weight, above, at))
+    parent = head[above]
+    node, root = head == at, root[head]
+    big = node & (size >= min_size)
+    big_children = np.bincount(parent[big & ~root], minlength=n + m)
+    starts = big & (root | (big_children[parent] >= 2))
+    cluster = followed(np.where(big & ~starts, parent, at))
+    least = w[w > 0].min(initial=np.inf)
+    density = 1.0 / np.maximum(w, least if np.isfinite(least) else 1.0)
+    density = np.concatenate([np.zeros(n), density])
+    birth = np.where(root, 0.0, density[above])
+    gain = np.zeros(n + m)
+    fallen = np.flatnonzero(node & ~big & ~root & big[parent])
+    np.add.at(gain, cluster[parent[fallen]], birth[fallen] * size[fallen])
+    born = np.flatnonzero(starts & ~root)
+    np.add.at(gain, cluster[parent[born]], birth[born] * size[born])
+    # a node comes after all below it
+    found = np.flatnonzero(starts).tolist()
+    below: dict[int, float] = {}
+    better = set()
+    for c in found:
+        own = gain[c] - birth[c] * size[c]
+        if c in below and below[c] > own * (1 + 1e-12):
+            better.add(c)
+        if not root[c]:
+            p = int(cluster[parent[c]])
+            below[p] = below.get(p, 0.0) + max(own, below.get(c, own))
+    chosen = np.full(n + m, -1)
+    for c in reversed(found):
+        if not root[c]:
+            held = chosen[cluster[parent[c]]]
+            chosen[c] = held if held >= 0 or c in better else c
+    names = np.unique(chosen[chosen >= 0])
+    number = np.full(n + m, -1)
+    number[names[np.argsort(rep[names], kind="stable")]] = np.arange(len(names))
+    last = followed(np.where(big | root, at, parent))[:n]
+    held = np.where(big[last], chosen[cluster[last]], -1)
+    return np.where(held >= 0, number[held], -1)
+
+
 def _merged_in_tasks(nodes: DataFrame, edges: DataFrame, n_edges: int, block_edges: int) -> DataFrame:
     buckets = F.pmod(F.xxhash64("sub"), F.lit(max(1, math.ceil(n_edges / block_edges))))
 

@@ -22,7 +22,7 @@ from ..operators.scale import Standardizer, feature_mode, fit_pca
 from ..operators.split import cap_per_group, exact_sample
 from ..operators.tagger import LinearTagModel, classify, tag_classes, weak_labels
 from ..operators.training import training_counts, training_set
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from . import derived as dv
@@ -656,9 +656,9 @@ def q_m7_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.density import hdbscan
 
     resp = marked_responses(spark, sf_dir)
-    feats = resp.select(*KEYS, *tx.cluster_feature_columns("assistant_output")).withColumn(
-        "rid", F.xxhash64(*KEYS)
-    )
+    feats = cut_lineage(
+        resp.select(*KEYS, *tx.cluster_feature_columns("assistant_output")).withColumn("rid", F.xxhash64(*KEYS))
+    )  # read three times, and the text patterns are slow
     vecs = feature_mode(feats, "behavior", [], tx.CLUSTER_FEATURES)
     labels, _ = hdbscan(vecs, "rid", "features", min_cluster_size=15, min_samples=5)
     j = feats.join(labels, "rid")
