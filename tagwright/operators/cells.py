@@ -81,6 +81,11 @@ def vector_type(df: DataFrame, vec_col: str = "vec") -> str:
     return "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
 
 
+def places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of few places in a matrix, by its faster way over a flat array."""
+    return np.divmod(np.flatnonzero(found), max(1, found.shape[1]))
+
+
 def first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Whether a row is among the ``k`` smallest ids of its equal rows: no
     other copy is one of the ``k`` nearest of any point."""
@@ -342,7 +347,7 @@ def nearest_in_block(pdf: pd.DataFrame, k: int, metric: str) -> tuple[Side, Near
         else:
             reach = np.full(len(low), np.inf)
         reach = np.where(a.zero[t], -1.0, reach)
-        row, col = np.nonzero(~(low > reach[:, None]))
+        row, col = places(~(low > reach[:, None]))
         row, col = row + t.start, kept[col]
         dist = exact(a, row, a, col)
         out.add(row, a.ids[col], dist, np.round(dist, 12))
@@ -363,7 +368,7 @@ def nearest_for(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str) ->
         for t, cols in enumerate(b.tiles):
             if b.block[t] == a.block[s] or not (least[rows, t] ** 2 <= near.reach[rows]).any():
                 continue
-            i, j = np.nonzero(~(a.squares(rows, b, cols) > near.reach[rows][:, None]) & kept[cols])
+            i, j = places(~(a.squares(rows, b, cols) > near.reach[rows][:, None]) & kept[cols])
             i, j = i + rows.start, j + cols.start
             dist = exact(a, i, b, j)
             ranked = np.round(dist, 12)
@@ -399,7 +404,7 @@ def nearest_across(left: pd.DataFrame, right: pd.DataFrame | None, k: int, metri
                 found |= ~(low > to_b[:, None]) & kept[-1][cols]
             if go_a.any():
                 found |= ~(low > to_a[None, :]) & kept[0][rows][:, None]
-            i, j = np.nonzero(found)
+            i, j = places(found)
             i, j = i + rows.start, j + cols.start
             dist = exact(a, i, b, j)
             ranked = np.round(dist, 12)
@@ -442,7 +447,7 @@ def lightest_across(active: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame
                 np.minimum.at(limit, code[at], high * (1 + 1e-6) + 1e-11)
                 reach = square_limit(limit[code[at]], "euclidean")
                 found = ~(low > reach[:, None]) & apart
-            i, j = np.nonzero(found & (core_b[cols][None, :] <= limit[code[at]][:, None]))
+            i, j = places(found & (core_b[cols][None, :] <= limit[code[at]][:, None]))
             i, j = at[i], j + cols.start
             w = np.maximum(exact(a, i, b, j), np.maximum(core_a[i], core_b[j]))
             on = w <= limit[code[i]]
