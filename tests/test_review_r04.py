@@ -36,7 +36,7 @@ def test_one_task_gives_the_clusters_of_the_joins(spark):
     got = {r["id"]: r["cluster"] for r in labels.collect()}
     jobs = len(sc.statusTracker().getJobIdsForGroup("one task"))
     sc.setJobGroup("joins", "")
-    labels, more = hdbscan(df, "id", "vec", min_cluster_size=8, min_samples=4, block_size=32, block_edges=30)
+    labels, more = hdbscan(df, "id", "vec", min_cluster_size=8, min_samples=4, block_size=32, block_edges=150)
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert got == {r["id"]: r["cluster"] for r in labels.collect()} and len(got) == len(x)
     assert facts == more and facts["cluster_count"] >= 4 and 0 < facts["noise_count"] < 40
